@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peaklane.llm.near_dedup import near_duplicates
 from peaklane.llm.substring_dedup import substring_dedup
 
 
@@ -17,7 +18,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed_spans").cast("long").alias("n_spans"))
 
 
-_QUERIES = [op3_substring_dedup]
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_QUERIES = [op3_substring_dedup, op6_near_dedup]
 _SQL: dict[str, str] = {}
 
 

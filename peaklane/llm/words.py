@@ -16,6 +16,9 @@ SLICE = 1 << 20
 #: Bytes that separate words: blank and the controls 0x09 to 0x0D.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: The ASCII bytes that are neither letters (lower case) nor digits.
+PLAIN_BLANK = np.zeros(256, bool)
+PLAIN_BLANK[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -61,8 +64,8 @@ class Words:
         at = at[at + size <= np.repeat(self.first[1:], np.diff(self.first))[: len(at)]]
         return at, mixed(total[at])
 
-    def joined(self, keep: np.ndarray) -> list[bytes]:
-        """Of each document the words under ``keep``, joined by one blank."""
+    def packed(self, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words under ``keep``, each with a blank after it, and the place of each (one entry more than words)."""
         size = (self.end - self.start)[keep]
         into = np.concatenate([[0], np.cumsum(size + 1)])
         out = np.full(into[-1], 0x20, np.uint8)
@@ -71,9 +74,23 @@ class Words:
             here = np.arange(into[a], into[b])
             within = here - np.repeat(into[a:b], size[a:b] + 1) < np.repeat(size[a:b], size[a:b] + 1)
             out[here[within]] = self.data[(here + np.repeat(shift[a:b], size[a:b] + 1))[within]]
-        raw, kept = out.tobytes(), np.concatenate([[0], np.cumsum(keep)])[self.first]
+        return out.tobytes(), into
+
+    def joined(self, keep: np.ndarray) -> list[bytes]:
+        """Of each document the words under ``keep``, joined by one blank."""
+        raw, into = self.packed(keep)
+        kept = np.concatenate([[0], np.cumsum(keep)])[self.first]
         return [raw[into[a] : max(into[a], into[b] - 1)] for a, b in zip(kept[:-1], kept[1:], strict=True)]
 
+    def stems(self, size: int, seed: int) -> np.ndarray:
+        """A 64-bit hash of the first ``size`` bytes of each word."""
+        table = _draw(seed, 256)
+        code, length = np.zeros(len(self.start), np.uint64), self.end - self.start
+        for k, power in enumerate(_draw(seed + 1, size)):
+            has = length > k
+            code[has] += table[self.data[self.start[has] + k]] * power
+        return mixed(code)
+
 
 def _slices(offsets: np.ndarray):
     """Ranges of items whose ``offsets`` span about ``SLICE``."""

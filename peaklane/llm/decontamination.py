@@ -63,14 +63,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", tex
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(ids).alias(ids), plain_words(text).alias("words"))
     # the null word after the last stands for the document itself
     places = rows.select("_row", ids, "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("p", "word"))
-    found = places.join(need, "word", "left")
+    end = F.col("p") == F.size("words")
     fits = (F.col("p") >= F.col("before")) & (F.size("words") - F.col("p") >= F.col("from"))
+    # this filter is plain enough to run inside the scan's generated code, before a row of its own is made for a word
+    found = places.join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
     left, right = _run(-1), _run(1)
-    whole = (left + right + 1) >= F.col("size")
-    end = F.col("p") == F.size("words")
-    hit = found.filter(end | (F.col("item_words").isNotNull() & fits & whole))
-    span = F.when(~end, F.struct((F.col("p") - left).alias("start"), (F.col("p") + right + 1).alias("end")))
-    told = hit.select("_row", ids, F.when(end, F.col("p")).alias("n"), span.alias("span"), F.when(~end, F.col("item").cast("string")).alias("item"))
+    whole = ~end & ((left + right + 1) >= F.col("size"))
+    span = F.when(whole, F.struct((F.col("p") - left).alias("start"), (F.col("p") + right + 1).alias("end")))
+    told = found.select("_row", ids, F.when(end, F.col("p")).alias("n"), span.alias("span"), F.when(whole, F.col("item").cast("string")).alias("item"))
     by_row = told.groupBy("_row", ids).agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     union = F.aggregate("spans", start, lambda a, x: F.struct((a.n + F.greatest(F.lit(0).cast("long"), x.end - F.greatest(x.start, a.to))).alias("n"), F.greatest(a.to, x.end).alias("to")), lambda a: a.n)

@@ -8,8 +8,8 @@ At similarity s two documents miss each other with a probability of about ``2 *
 for the defaults at 0.85, 1e-6 at 0.9.
 
 Sets that are equal collapse into classes first. Within a bucket, classes first meet one pivot (the class with most
-bucket mates); whatever is not connected after that meets every class of another component in the bucket, each pair
-once. So a large group costs a star, and no link between components is lost.
+bucket mates). Classes of buckets that are not connected after that meet those of other components by a prefix
+filter, which loses no similar pair. So a large group costs a star, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from peaklane.llm.components import components
 from peaklane.llm.scratch import written
@@ -99,6 +100,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(confirm, pairs.select("u", "v").schema)
 
 
+def _across(docs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``docs(rep, component, n)`` in different components that may be similar enough; none is missed.
+
+    With shingles in the order of rarity, two similar sets share one at places ``i`` and ``j`` that leave room for the
+    overlap they need: at the first that they share, the overlap is ``min(n - i, m - j)`` at most.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            codes, offsets = shingles(words(batch.column(1), seed=61, lower=True), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes.view(np.int64)))], names=["rep", "codes"])
+
+    lists = texts.join(docs.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(cut, f"rep {docs.schema['rep'].dataType.simpleString()}, codes array<long>")
+    held = written(lists.select("rep", F.explode("codes").alias("code")), "codes")
+    often = held.groupBy("code").count()
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("count", "code")) - 1
+    first = held.join(often, "code").withColumn("i", place).join(docs, "rep").filter(100 * (F.col("n") - F.col("i")) >= percent * F.col("n"))
+    first = written(first.filter("count > 1").select("code", "rep", "component", "n", "i"), "first")
+    a, b = first.alias("a"), first.select("code", *[F.col(c).alias(f"{c}_") for c in ("rep", "component", "n", "i")]).alias("b")
+    room = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) * (100 + percent) >= (F.col("n") + F.col("n_")) * percent
+    pairs = a.join(b, "code").filter((F.col("rep") < F.col("rep_")) & (F.col("component") != F.col("component_")) & _alike(F.col("n"), F.col("n_"), percent) & room)
+    return pairs.select(F.col("rep").alias("u"), F.col("rep_").alias("v")).distinct()
+
+
 def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -128,8 +153,7 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     texts = written(docs.select(F.col(ids).alias("rep"), F.col(text).alias("text")).join(mates.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
 
     weight = mates.groupBy("rep").agg(F.sum("m").alias("weight"))
-    sized = reps.select("rep", "n", "small").join(weight, "rep")
-    sized = written(sized.dropDuplicates(["rep"]), "sized")
+    sized = written(reps.select("rep", "n").join(weight, "rep").dropDuplicates(["rep"]), "sized")
     pivot = mates.join(sized.select("rep", "weight"), "rep").groupBy(bucket).agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select(*bucket, (-F.col("top.rep")).alias("pivot"))
     star = mates.join(pivot, bucket).filter("rep <> pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
     n = sized.select("rep", "n")
@@ -139,14 +163,10 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     links = written(_confirmed(tried, texts, size, percent), "links")
     part = written(components(links), "part")
 
-    seen = mates.join(sized.drop("weight"), "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = mates.join(part.withColumnRenamed("node", "rep"), "rep", "left").groupBy(bucket).agg(F.min(F.coalesce("component", "rep")).alias("lo"), F.max(F.coalesce("component", "rep")).alias("hi")).filter("lo <> hi").select(bucket)
-    seen = written(seen.join(open_, bucket, "left_semi"), "open")
-    a, b = seen.alias("a"), seen.select(*bucket, *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "small", "component")]).alias("b")
-    common = lambda start, count: F.exists(F.zip_with(F.slice("small", start, count), F.slice("small_", start, count), lambda x, y: x == y), lambda z: z)
-    first = ~common(F.lit(1), F.col("p")) & ~common(F.lit(keys + 1), F.col("q") - keys)  # of the tables that a pair shares
-    rest = a.join(b, bucket).filter((F.col("rep") < F.col("rep_")) & (F.col("component") != F.col("component_")) & _alike(F.col("n"), F.col("n_"), percent) & first).select(F.col("rep").alias("u"), F.col("rep_").alias("v"))
-    rest = written(rest.join(tried, ["u", "v"], "left_anti"), "rest")
+    own = mates.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = own.groupBy(bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(bucket)
+    unsettled = written(own.join(open_, bucket, "left_semi").select("rep", "component").distinct().join(n, "rep"), "unsettled")
+    rest = written(_across(unsettled, texts, size, percent).join(tried, ["u", "v"], "left_anti"), "rest")
     more = written(_confirmed(rest, texts, size, percent), "links")
     for k in "uv":
         more = more.join(part.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))

@@ -5,8 +5,8 @@ necessary word is enough to find it: the rarest by its count over all documents
 of rarity, at containment 1). Documents' words join these prefix words; a length bound and a positional bound drop
 places where the window can't fit, and the words around the rest are compared one by one.
 
-The prefix table is written first, so that Spark knows its size: below the broadcast threshold the words of the
-documents are probed inside the scan, beyond it the join shuffles.
+The prefix table is written first and measured: up to ``BROADCAST`` bytes it is broadcast and the words of the documents
+are probed inside the scan; beyond that narrow rows of one word each are shuffled to it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from peaklane.llm.scratch import written
 
+#: Bytes up to which a measured table of the benchmark's side is broadcast.
+BROADCAST = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of the documents and items, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,9 +34,15 @@ def item_windows(items: DataFrame, item: str, text: str, size: int) -> DataFrame
     return cut.withColumn("s", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("size"))))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+def measured(df: DataFrame, words: Column, limit: int) -> tuple[DataFrame, bool]:
+    """A written table and whether its words and 100 bytes a row stay within the limit; if so with a broadcast hint."""
+    small = df.agg(F.coalesce(F.sum(F.octet_length(words) + 100), F.lit(0)).alias("n")).first()["n"] <= limit
+    return (F.broadcast(df), True) if small else (df, False)
+
+
+def prefixes(docs: DataFrame, windows: DataFrame, text: str, limit: int) -> DataFrame:
     """For each window its rarest word; windows of an item that share that place become one row with the room they need."""
-    vocabulary = written(windows.select(F.explode("item_words").alias("word")).distinct(), "vocabulary")
+    vocabulary, _ = measured(written(windows.select(F.explode("item_words").alias("word")).distinct(), "vocabulary"), F.col("word"), limit)
     seen = docs.select(F.explode(plain_words(text)).alias("word")).join(vocabulary, "word").groupBy("word").count()
     places = windows.select("item", "item_words", "size", "s", F.posexplode(F.slice("item_words", F.col("s") + 1, F.col("size"))).alias("i", "word"))
     counted = places.join(seen, "word", "left").withColumn("order", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "i"))
@@ -50,7 +58,7 @@ def _run(sign: int) -> Column:
     return F.when(F.col("size") == 1, 0).when(first == 0, F.col("size").cast("long") - 1).otherwise(first - 1)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """(ids, n_words, n_hit, spans, items, contaminated) for every row of ``docs``.
 
     ``spans``: merged-able word ranges (end excluded) inside which windows of items occur; ``n_hit``: words in any of
@@ -59,14 +67,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", tex
     Null text: no words. Null or empty items: no window. Items with the same id are one. A null item id counts its
     words but is not listed. Repeated rows of ``docs`` give repeated rows. Empty tables: no hits, or no rows.
     """
-    need = prefixes(docs, item_windows(items, item, item_text, size), text)
+    need = prefixes(docs, item_windows(items, item, item_text, size), text, broadcast_bytes)
+    need, small = measured(need, F.array_join("item_words", " "), broadcast_bytes)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(ids).alias(ids), plain_words(text).alias("words"))
+    end = F.col("p") == F.col("n")
+    fits = (F.col("p") >= F.col("before")) & (F.col("n") - F.col("p") >= F.col("from"))
     # the null word after the last stands for the document itself
-    places = rows.select("_row", ids, "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("p", "word"))
-    end = F.col("p") == F.size("words")
-    fits = (F.col("p") >= F.col("before")) & (F.size("words") - F.col("p") >= F.col("from"))
-    # this filter is plain enough to run inside the scan's generated code, before a row of its own is made for a word
-    found = places.join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
+    placed = F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("p", "word")
+    if small:
+        # this filter is plain enough to run inside the scan's generated code, before a row of its own is made for a word
+        found = rows.select("_row", ids, "words", F.size("words").alias("n"), placed).join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
+    else:
+        narrow = rows.select("_row", F.size("words").alias("n"), F.posexplode("words").alias("p", "word")).join(need, "word").filter(fits)
+        whole_rows = rows.select("_row", ids, "words", F.size("words").alias("n"))
+        ends = whole_rows.select("*", F.col("n").alias("p"))
+        found = narrow.drop("n", "word").join(whole_rows, "_row").unionByName(ends, allowMissingColumns=True)
     left, right = _run(-1), _run(1)
     whole = ~end & ((left + right + 1) >= F.col("size"))
     span = F.when(whole, F.struct((F.col("p") - left).alias("start"), (F.col("p") + right + 1).alias("end")))

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from peaklane.llm.scratch import shared_dir, written
 
 #: Bytes of text for a part, texts encoded at once, and remembered pieces of text.
-PART, TEXTS, PIECES = 32 << 20, 256, 400_000
+PART, TEXTS, PIECES = 32 << 20, 256, 300_000
 _NULL_ID = np.iinfo(np.int64).min
 #: Characters for which the piece pattern below agrees with the library's.
 _PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
@@ -52,20 +52,30 @@ class Encoder:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t["content"] for t in told["added_tokens"]]
         self.by_piece = told["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces met lately, and those met before them
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._plain([text])[0]
-        pieces = _PIECE.findall(text)
-        if missing := list(set(pieces).difference(self.known)):
-            if len(self.known) > PIECES:
-                self.known, missing = {}, list(set(pieces))
-            self.known.update(zip(missing, self._plain(missing), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
+        missing = pieces.difference(self.known)
+        if again := missing.intersection(self.older):
+            self.known.update((p, self.older[p]) for p in again)
+            missing -= again
+        if missing := list(missing):  # one call, in which every piece counts as a word of its own
+            told = self.tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
+            raw, n = np.array(told.ids, self.width).tobytes(), int(self.width[-1])
+            cut = (np.searchsorted(np.array(told.word_ids, np.int64), np.arange(len(missing) + 1)) * n).tolist()
+            self.known.update(zip(missing, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_PIECE.findall(t) if self.by_piece and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        self._learn(set().union(*[c for c in cut if c]))
+        known = self.known.__getitem__
+        return [self._plain([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @functools.cache
@@ -112,8 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, ids: str
             for batch in batches:
                 keys.append(batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False))
                 for k in range(0, batch.num_rows, TEXTS):
-                    for t in batch.column(1).slice(k, TEXTS).to_pylist():
-                        raw = code.encode(t or "") + end
+                    for raw in code.encode([t or "" for t in batch.column(1).slice(k, TEXTS).to_pylist()]):
+                        raw += end
                         n += len(raw) // int(code.width[-1])
                         offsets.append(n)
                         out.write(raw)

@@ -78,6 +78,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", tex
         # this filter is plain enough to run inside the scan's generated code, before a row of its own is made for a word
         found = rows.select("_row", ids, "words", F.size("words").alias("n"), placed).join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
     else:
+        rows = written(rows, "rows")  # their numbers must be the same on both sides of the join
         narrow = rows.select("_row", F.size("words").alias("n"), F.posexplode("words").alias("p", "word")).join(need, "word").filter(fits)
         whole_rows = rows.select("_row", ids, "words", F.size("words").alias("n"))
         ends = whole_rows.select("*", F.col("n").alias("p"))

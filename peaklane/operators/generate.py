@@ -69,7 +69,14 @@ def candidate_sites(sequence: Column, n_term: Column, target: str) -> Column:
 def expand_isoforms(df: DataFrame, sequence: str, n_term: str, variable: list[tuple[str, str]], fixed: list[tuple[str, str]], k: int) -> DataFrame:
     """One row for each way to put 0 to ``k`` variable modifications (name, target) on different sites, with fixed ones
     on the sites that stay free; ``mods``: sorted array of struct(site, name). ``k`` bounds the rows of a peptide."""
-    sites = lambda rules: F.array_sort(F.flatten(F.array(*[F.transform(candidate_sites(F.col(sequence), F.col(n_term), target), lambda s, name=name: F.struct(s.alias("site"), F.lit(name).alias("name"))) for name, target in rules])) if rules else F.array().cast("array<struct<site:int,name:string>>"))
+    none = F.array().cast("array<struct<site:int,name:string>>")
+
+    def at(name: str, target: str) -> Column:
+        return F.transform(candidate_sites(F.col(sequence), F.col(n_term), target), lambda s: F.struct(s.alias("site"), F.lit(name).alias("name")))
+
+    def sites(rules: list[tuple[str, str]]) -> Column:
+        return F.array_sort(F.flatten(F.array(*[at(*rule) for rule in rules]))) if rules else none
+
     rows = df.withColumns({"_all": sites(variable), "_fixed": sites(fixed)})
     empty = F.array().cast("array<struct<site:int,name:string>>")
     level = F.array(F.struct(empty.alias("m"), F.lit(0).alias("upto"), F.lit(-1).alias("site")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peaklane.llm.scratch import written
+
 #: Characters of a chunk, texts encoded between two batches, and remembered words.
-CHUNK, TEXTS, WORDS = 1 << 16, 256, 300_000
+CHUNK, TEXTS, WORDS = 1 << 16, 128, 150_000
 _MARK = "▁"
-_WORD = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 _LEAST = -np.inf
 
 
+class _Solved(dict):
+    """Ids by word; a word that isn't there is solved."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORDS:  # words met lately are kept for as long again
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            _, back = self.model.best(word, 0, len(word))
+            ids = array("i", self.model.traced(word, back, 0, len(word))).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Model:
     """The pieces of a SentencePiece model file and their scores; characters without a piece are spelled in bytes."""
 
@@ -42,24 +63,38 @@ class Model:
         self.byte = {int(told.id_to_piece(i)[1:-1], 16): i for i in range(size) if told.is_byte(i)}
         spelled = {i: bytes([b]) for b, i in self.byte.items()}
         self.raw = [spelled.get(i, told.id_to_piece(i).encode() if not told.is_control(i) else b"") for i in range(size)]
-        self.words: dict[str, tuple[float, bytes]] = {}
+        self.root: dict = {}
+        for piece, score in self.score.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
+        # a word ends before a mark, around controls that no longer piece holds, and between a letter and a sign of
+        # punctuation that follows a letter in no piece: no path can cross there
+        alone = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in self.id))
+        signs = "".join(c for c in ".,;:!?" if not any(x.isalpha() and y == c for p in self.id for x, y in zip(p, p[1:], strict=False)))
+        more = f"[^{_MARK}{alone}{signs}]*"
+        tail = f"(?:(?<![^\\W\\d_])[{signs}]{more})*" if signs else ""
+        self.cut = re.compile((f"[{alone}]|" if alone else "") + f"(?:{_MARK}+|[^{_MARK}{alone}]){more}{tail}").findall
+        self.words = _Solved(self)
 
     def best(self, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
         """The best score of each place from ``start`` to ``stop`` and the place before it; of equal ones the earliest."""
         score, back = [_LEAST] * (len(text) + 1), [-1] * (len(text) + 1)
         score[start] = 0.0
-        get = self.score.get
-        for end in range(start + 1, stop + 1):
-            top, at = _LEAST, -1
-            for a in range(max(start, end - self.longest), end):
-                s = get(text[a:end])
-                if s is None:
-                    if a < end - 1:
-                        continue
-                    s = self.unknown
-                if score[a] + s > top:
-                    top, at = score[a] + s, a
-            score[end], back[end] = top, at
+        root, longest = self.root, self.longest
+        for a in range(start, stop):
+            base, node, end = score[a], root, a
+            for c in text[a : min(a + longest, stop)]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                s = node.get("")
+                if s is not None and base + s > score[end]:
+                    score[end], back[end] = base + s, a
+            if text[a] not in self.id and base + self.unknown > score[a + 1]:
+                score[a + 1], back[a + 1] = base + self.unknown, a
         return score, back
 
     def traced(self, text: str, back: list[int], start: int, end: int) -> list[int]:
@@ -71,21 +106,12 @@ class Model:
             end = back[end]
         return [i for ids in reversed(out) for i in ids]
 
-    def word(self, word: str) -> tuple[float, bytes]:
-        """Score and ids of a whole word."""
-        if (known := self.words.get(word)) is None:
-            if len(self.words) > WORDS:
-                self.words.clear()
-            score, back = self.best(word, 0, len(word))
-            known = self.words[word] = score[-1], np.array(self.traced(word, back, 0, len(word)), np.int32).tobytes()
-        return known
-
     def encode(self, text: str) -> bytes:
-        return b"".join([self.word(w)[1] for w in _WORD.findall(marked(text))])
+        return b"".join(map(self.words.__getitem__, self.cut(marked(text))))
 
     def _cuts(self, chunk: str, n: int) -> tuple[int, int] | None:
         """The first place, past any overhang, and the last place within the chunk at which a word begins."""
-        begins = [m.start() for m in _WORD.finditer(chunk) if self.longest - 1 <= m.start() <= n and (m.start() == 0 or chunk[m.start()] == _MARK)]
+        begins = [m.start() for m in re.finditer(f"(?<!{_MARK}){_MARK}", chunk) if self.longest - 1 <= m.start() <= n]
         return (begins[0], begins[-1]) if begins else None
 
     def matrix(self, chunk: str, n: int) -> np.ndarray:
@@ -96,7 +122,7 @@ class Model:
         if cuts := self._cuts(chunk, n):
             first, last = cuts
             head = [self.best(chunk[:first], s, first)[0][first] for s in range(size)]
-            middle = sum(self.word(w)[0] for w in _WORD.findall(chunk[first:last]))
+            middle = sum(self.best(w, 0, len(w))[0][-1] for w in self.cut(chunk[first:last]))
             tail = self._ends(chunk[last:], 0, n - last, reach - last)
             return np.add.outer(np.array(head) + middle, tail)
         for s in range(min(size, n + 1)):
@@ -125,7 +151,7 @@ class Model:
         parts = []
         if cuts:
             _, back = self.best(chunk[:first], enter, first)
-            parts = [np.array(self.traced(chunk[:first], back, enter, first), np.int32).tobytes(), *[self.word(w)[1] for w in _WORD.findall(chunk[first:last])]]
+            parts = [np.array(self.traced(chunk[:first], back, enter, first), np.int32).tobytes(), *map(self.words.__getitem__, self.cut(chunk[first:last]))]
         score, back = self.best(chunk, last, n)
         end = n + leave
         if leave:
@@ -173,16 +199,17 @@ def boundary_states(matrices: np.ndarray) -> list[int]:
     return [0, *states[::-1]]
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``pieces``, the ids of the text's best path under the model file ``path``.
+def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``pieces``, the ids of the text's best path under the model file ``path``; with ``decoded`` also the
+    text that they spell, made in the same pass.
 
     Null and empty texts have no pieces. Texts of more than ``chunk`` characters are cut and their chunks dealt out;
     they join their row again by a number that the scan gives it. Ties, repeated rows and an empty table need no care:
     rows are encoded one by one. A column named ``pieces`` is replaced.
     """
-    docs = docs.drop("pieces")
+    docs = docs.drop("pieces", *["decoded"] * decoded)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def whole(batches):
         known = model(path)
@@ -192,11 +219,12 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
                 raw = [known.encode(t or "") for t in part.column(at).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=schema.names)
+                shown = [pa.array([known.decode(np.frombuffer(r, np.int32).tolist()) for r in raw], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *shown], names=schema.names)
 
     size = F.coalesce(F.length(text), F.lit(0))
     short = docs.filter(size <= chunk).mapInArrow(whole, schema)
-    giant = docs.withColumn("_row", F.monotonically_increasing_id()).filter(size > chunk)
+    giant = written(docs.filter(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "giant")
 
     def bounds(k):
         return k * chunk + 1
@@ -230,7 +258,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
     moved = cut.mapInArrow(matrices, "_row long, k int, matrix binary").groupBy("_row").applyInArrow(states, "_row long, k int, enter int, leave int")
     traced = cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
     joined = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
-    return short.unionByName(giant.join(joined, "_row").select(*docs.columns, "pieces"))
+    whole_giant = giant.join(joined, "_row").select(*docs.columns, "pieces")
+    return short.unionByName(decode(whole_giant, path) if decoded else whole_giant)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

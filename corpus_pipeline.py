@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from peaklane.llm import pieces
 from peaklane.llm.decontamination import without_benchmark
 from peaklane.llm.near_dedup import keep_one
-from peaklane.llm.quality import quality_rules
+from peaklane.llm.quality import keep_good
 from peaklane.llm.queries import _tokenizer
 from peaklane.llm.scratch import written
 from peaklane.llm.substring_dedup import substring_dedup
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), path := _tokenizer("piece_bpe_32k.model")), path)
+    coded = pieces.encode(docs.select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), decoded=True)
     return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

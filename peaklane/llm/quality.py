@@ -107,3 +107,13 @@ def quality_rules(docs: DataFrame, *, text: str = "text", min_words: int = 50, m
     far = ((F.col("word_chars") >= class_guard) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= word_guard) & (F.col("word_distance") > max_word))
     docs = docs.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     return docs.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def keep_good(docs: DataFrame, **rules) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with the same columns.
+
+    The row number keeps the filter above the projection that judges: pushed below, it would repeat every signal's
+    expression inside the others.
+    """
+    judged = quality_rules(docs, **rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("kept AND _row >= 0").select(*docs.columns)

@@ -168,7 +168,7 @@ def substring_dedup(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     """``docs`` with ``n_words``, ``n_removed``, ``removed_spans`` (word ranges, end excluded) and ``kept_text``.
 
     A word is removed if a window of ``min_words`` words covers it whose words also start in a document with a
-    smaller id. Windows are judged on the input. Windows are equal if two independent 64-bit hashes agree.
+    smaller id. Windows are judged on the input. Windows count as equal if their 64-bit hashes do and an anchor agrees.
 
     Null text: no words. A null id stands after all others: it loses repeats and takes none from others. Rows with
     equal ids don't count as earlier for each other, so repeated rows stay whole unless a smaller id holds them.

@@ -1,6 +1,10 @@
-"""SentencePiece encoding and decoding by a max-plus scan.
+"""SentencePiece encoding and decoding: by merges for a BPE model, by a max-plus scan for a unigram model.
 
-A text's encoding is the path of greatest score through the lattice of vocabulary pieces. In max-plus algebra a chunk
+A BPE model joins, again and again, the neighbours whose joint piece has the greatest score, the leftmost of equal ones.
+No merge crosses two characters that stand side by side in no piece, so texts are cut there: the parts of a giant
+document are encoded in any task, and recurring words are solved once.
+
+For a unigram model a text's encoding is the path of greatest score through the lattice of vocabulary pieces. In max-plus algebra a chunk
 of text is a matrix: entry ``[s, e]`` is the best score of entering with the first ``s`` characters already taken by a
 piece of the chunk before, and leaving with a piece that reaches ``e`` characters into the next chunk. Matrices combine
 associatively, so the chunks of a giant document are evaluated in any task; prefix products give the best state at
@@ -11,6 +15,7 @@ words within a chunk are independent and recurring words are solved once.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from array import array
 
@@ -48,7 +53,8 @@ class _Solved(dict):
 
 
 class Model:
-    """The pieces of a SentencePiece model file and their scores; characters without a piece are spelled in bytes."""
+    """The pieces of a SentencePiece model file and their scores, read as a unigram lattice; characters without a piece
+    are spelled in bytes."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -167,9 +173,66 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
+class Merges(Model):
+    """A BPE model: pieces are made by its merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.price = {piece: -score for piece, score in self.score.items()}
+        self.pairs = {piece[k : k + 2] for piece in self.id for k in range(len(piece) - 1)}
+
+    def best(self, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
+        """No scores, and for each place where a piece of ``text[start:stop]`` ends the place where it begins."""
+        word = text[start:stop]
+        n, price = len(word), self.price
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins here; ends are 0 once it is merged away
+        heap = [(c, a, a + 1, a + 2) for a in range(n - 1) if (c := price.get(word[a : a + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, a, m, e = heapq.heappop(heap)
+            if end[a] != m or end[m] != e:
+                continue
+            end[a], end[m] = e, 0
+            if e < n:
+                before[e] = a
+                if (c := price.get(word[a : end[e]])) is not None:
+                    heapq.heappush(heap, (c, a, e, end[e]))
+            if (b := before[a]) >= 0 and (c := price.get(word[b:e])) is not None:
+                heapq.heappush(heap, (c, b, a, e))
+        back = [-1] * (len(text) + 1)
+        for a, e in enumerate(end):
+            if e:
+                back[start + e] = start + a
+        return [], back
+
+    def chunks(self, text: str, size: int) -> list[str]:
+        """``text`` in parts of ``size`` characters and as many more as it takes to a place that no merge crosses."""
+        out, a = [], 0
+        while a < len(text):
+            b = min(a + size, len(text))
+            while b < len(text) and text[b - 1 : b + 1] in self.pairs:
+                b += 1
+            out.append(text[a:b])
+            a = b
+        return out
+
+
 @functools.cache
 def model(path: str) -> Model:
-    return Model(path)
+    """The model of a file. What this module doesn't do as the library does is refused."""
+    from sentencepiece import sentencepiece_model_pb2 as told
+
+    proto = told.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    kind, norm = proto.trainer_spec, proto.normalizer_spec
+    if kind.model_type == told.TrainerSpec.UNIGRAM:
+        return Model(path)
+    odd = {p.type for p in proto.pieces} & {told.ModelProto.SentencePiece.USER_DEFINED, told.ModelProto.SentencePiece.UNUSED}
+    plain = norm.name == "identity" and not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+    if kind.model_type != told.TrainerSpec.BPE or not plain or not kind.byte_fallback or kind.treat_whitespace_as_suffix or odd:
+        raise ValueError(f"{path}: only BPE models with byte fallback, plain normalization and plain pieces are supported")
+    return Merges(path)
 
 
 def marked(text: str) -> str:
@@ -199,42 +262,32 @@ def boundary_states(matrices: np.ndarray) -> list[int]:
     return [0, *states[::-1]]
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
-    """``docs`` with ``pieces``, the ids of the text's best path under the model file ``path``; with ``decoded`` also the
-    text that they spell, made in the same pass.
+def _merged(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
+    """(_row, k, ids): the ids of each chunk of ``giant(_row, text)`` by merges."""
 
-    Null and empty texts have no pieces. Texts of more than ``chunk`` characters are cut and their chunks dealt out;
-    they join their row again by a number that the scan gives it. Ties, repeated rows and an empty table need no care:
-    rows are encoded one by one. A column named ``pieces`` is replaced.
-    """
-    docs = docs.drop("pieces", *["decoded"] * decoded)
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
+    def cut(batches):
+        known = model(path)
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = known.chunks(marked(t), chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["_row", "k", "chunk"])
 
-    def whole(batches):
+    def merge(batches):
         known = model(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(k, TEXTS)
-                raw = [known.encode(t or "") for t in part.column(at).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                shown = [pa.array([known.decode(np.frombuffer(r, np.int32).tolist()) for r in raw], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *shown], names=schema.names)
+            ids = [np.frombuffer(b"".join(map(known.words.__getitem__, known.cut(c))), np.int32) for c in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
 
-    size = F.coalesce(F.length(text), F.lit(0))
-    short = docs.filter(size <= chunk).mapInArrow(whole, schema)
-    giant = written(docs.filter(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "giant")
+    return giant.mapInArrow(cut, "_row long, k int, chunk string").repartition(parts, "_row", "k").mapInArrow(merge, "_row long, k int, ids array<int>")
 
-    def bounds(k):
-        return k * chunk + 1
 
-    seen = F.replace(F.concat(F.lit(_MARK), text), F.lit(" "), F.lit(_MARK))
+def _scanned(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
+    """(_row, k, ids): the ids of each chunk of ``giant(_row, text)`` by the scan."""
+    seen = F.replace(F.concat(F.lit(_MARK), "text"), F.lit(" "), F.lit(_MARK))
     look = 64  # characters of the next chunk, more than the longest piece
     cut = giant.select("_row", seen.alias("_seen")).withColumn("_n", F.length("_seen"))
     cut = cut.select("_row", "_n", "_seen", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / chunk).cast("int") - 1)).alias("k"))
-    cut = cut.select("_row", "k", F.substring("_seen", bounds(F.col("k")), F.lit(chunk + look)).alias("chunk"), F.least(F.lit(chunk), F.col("_n") - F.col("k") * chunk).alias("n"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.select("_row", "k", F.substring("_seen", F.col("k") * chunk + 1, F.lit(chunk + look)).alias("chunk"), F.least(F.lit(chunk), F.col("_n") - F.col("k") * chunk).alias("n"))
     cut = cut.repartition(parts, "_row", "k")
 
     def matrices(batches):
@@ -256,7 +309,38 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
 
     moved = cut.mapInArrow(matrices, "_row long, k int, matrix binary").groupBy("_row").applyInArrow(states, "_row long, k int, enter int, leave int")
-    traced = cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
+    return cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
+
+
+def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``pieces``, the ids of the text under the model file ``path``; with ``decoded`` also the text that they
+    spell, made in the same pass.
+
+    Null and empty texts have no pieces. Texts of more than ``chunk`` characters are cut and their chunks dealt out;
+    they join their row again by a number that the scan gives it. Under a BPE model a chunk ends where no merge can
+    cross, so a run of characters without such a place stays in one task. Ties, repeated rows and an empty table need no
+    care: rows are encoded one by one. A column named ``pieces`` is replaced.
+    """
+    docs = docs.drop("pieces", *["decoded"] * decoded)
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
+
+    def whole(batches):
+        known = model(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                raw = [known.encode(t or "") for t in part.column(at).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                shown = [pa.array([known.decode(np.frombuffer(r, np.int32).tolist()) for r in raw], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *shown], names=schema.names)
+
+    size = F.coalesce(F.length(text), F.lit(0))
+    short = docs.filter(size <= chunk).mapInArrow(whole, schema)
+    giant = written(docs.filter(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "giant")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    traced = (_merged if isinstance(model(path), Merges) else _scanned)(giant.select("_row", F.col(text).alias("text")), path, chunk, parts)
     joined = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
     whole_giant = giant.join(joined, "_row").select(*docs.columns, "pieces")
     return short.unionByName(decode(whole_giant, path) if decoded else whole_giant)

@@ -274,6 +274,47 @@ def test_pieces(spark, docs, empty, rows, vocabulary):
     assert pieces.encode(empty, vocabulary).count() == 0
 
 
+def _odd_texts(rows):
+    rng = random.Random(12)
+    odd = ["The internationalization of a name", "x" * 900, "aé中\n" * 200, "  two  blanks \t end ", " " * 70, "▁a ▁▁ b", "don't,stop:now...!?", "\x00\x01 🙂🙂 中国人", "".join(rng.choice("abcdefgh ABC.,\n\té") for _ in range(3000))]
+    return [*rows, *[(1000 + k, t, None) for k, t in enumerate(odd)]]
+
+
+@pytest.mark.parametrize("chunk", [7, 100, pieces.CHUNK])
+def test_pieces_are_those_of_the_library(spark, rows, vocabulary, chunk):
+    from sentencepiece import SentencePieceProcessor
+
+    library, texts = SentencePieceProcessor(model_file=vocabulary), _odd_texts(rows)
+    got = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(texts, DOCS), vocabulary, chunk=chunk, decoded=True).collect()}
+    assert len(got) == len(texts)
+    for i, t, _ in texts:
+        assert got[i].pieces == library.encode(t or "") and got[i].decoded == (t or "").replace("▁", " ")
+
+
+def test_pieces_of_a_unigram_model(spark, rows, vocabulary, tmp_path):
+    from pathlib import Path
+
+    from sentencepiece import sentencepiece_model_pb2
+
+    told = sentencepiece_model_pb2.ModelProto.FromString(Path(vocabulary).read_bytes())
+    told.trainer_spec.model_type = 1
+    path = tmp_path / "unigram.model"
+    path.write_bytes(told.SerializeToString())
+    model = pieces.model(str(path))
+    price = collections.defaultdict(lambda: model.unknown, {v: model.score[k] for k, v in model.id.items()})
+    assert type(model) is pieces.Model
+    df = spark.createDataFrame([r for r in rows if len(r[1] or "") < 5000], DOCS)
+    for r in pieces.encode(df, str(path), chunk=100, decoded=True).collect():
+        seen = pieces.marked(r.text or "")
+        score, _ = model.best(seen, 0, len(seen))
+        assert sum(price[i] for i in r.pieces) == score[-1] and r.decoded == (r.text or "")
+    told.pieces[-1].type = told.pieces[-1].UNUSED
+    told.trainer_spec.model_type = 2
+    path.with_name("odd.model").write_bytes(told.SerializeToString())
+    with pytest.raises(ValueError, match="plain pieces"):
+        pieces.model(str(path.with_name("odd.model")))
+
+
 def test_prefix_products_are_associative():
     rng = np.random.default_rng(3)
     m = rng.integers(-50, 0, (9, 4, 4)).astype(float)

@@ -44,23 +44,20 @@ def _distance(p: Column, q: list[float]) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of three words that occur twice or more, the first included.
 
-    Windows are sorted as one long each, 44 bits of hash above 20 bits of place (structs for texts of a million
-    words or more), and neighbours count as equal only if their words are.
+    Windows are sorted as structs of a 64-bit hash and their place, and neighbours count as equal only if their words
+    are.
     """
 
-    def spread(n_bits: int, w: Column) -> Column:
+    def spread(w: Column) -> Column:
         codes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.size(w) - 2)
-        top = F.lit(-(1 << n_bits))
-        low = F.lit((1 << n_bits) - 1)
-        packed = lambda c: F.sort_array(F.transform(c, lambda h, i: h.bitwiseAND(top).bitwiseOR(i.cast("long"))))
-        place = lambda x: x.bitwiseAND(low).cast("int")
-        window = lambda x: F.slice(w, place(x) + 1, F.lit(3))
-        equal = lambda x, y: F.coalesce((x.bitwiseAND(top) == y.bitwiseAND(top)) & (window(x) == window(y)), F.lit(False))
-        twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | equal(x, F.get(s, i - 1))), place))
+        placed = lambda c: F.sort_array(F.transform(c, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        window = lambda x: F.slice(w, x.i + 1, F.lit(3))
+        equal = lambda x, y: F.coalesce((x.h == y.h) & (window(x) == window(y)), F.lit(False))
+        twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | equal(x, F.get(s, i - 1))), lambda x: x.i))
         covered = lambda t: F.aggregate(F.transform(t, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(t, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-        return _let(codes, lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), 0).otherwise(_let(packed(c), lambda s: _let(twice(s), covered))))
+        return _let(codes, lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), 0).otherwise(_let(placed(c), lambda s: _let(twice(s), covered))))
 
-    return F.when(F.size(words) < 4, 0).when(F.size(words) < 1 << 20, spread(20, words)).otherwise(spread(31, words)).cast("long")
+    return F.when(F.size(words) < 4, 0).otherwise(spread(words)).cast("long")
 
 
 def quality_signals(docs: DataFrame, *, text: str = "text", classes: dict = CLASSES, common: dict = COMMON) -> DataFrame:

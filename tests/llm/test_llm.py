@@ -143,6 +143,13 @@ def test_quality_verdict(spark):
     assert got == {1: True, 2: False}
 
 
+def test_repeats_of_a_long_text(spark):
+    n = 140_000  # more than 2^20 words: windows that occur twice, each beside words that occur once
+    text = " ".join(f"a{k % n} b{k % n} c{k % n} u{k}" for k in range(2 * n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("words", F.split("text", " "))
+    assert df.select(quality._repeat_words(F.col("words")).alias("n")).first()["n"] == 6 * n
+
+
 @pytest.mark.parametrize("limit", [decontamination.BROADCAST, 0])
 def test_decontamination(spark, docs, empty, rows, limit):
     texts = [t for _, t, _ in rows if t]

@@ -331,6 +331,24 @@ def test_prefix_products_are_associative():
     assert (pieces.prefix_products(m)[-1] == left).all()
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{k}" for k in range(404)]
+        for swapped in (0, 7 + g % 3, 10):  # words; the five windows of each change: similarities of 0.798 to 0.840, and 0.778
+            rows.append((len(rows), " ".join(f"{w}x{swapped}" if 8 <= k <= 8 * swapped and k % 8 == 0 else w for k, w in enumerate(words))))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    low = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low[a] = min(low[a], low[b])
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [a for a in range(len(rows)) if low[a] == a] and sum(low[a] < a for a in range(len(rows))) >= 14
+
+
 def test_pipeline(spark, tmp_path, vocabulary):
     import corpus_pipeline
 

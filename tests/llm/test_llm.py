@@ -331,6 +331,27 @@ def test_prefix_products_are_associative():
     assert (pieces.prefix_products(m)[-1] == left).all()
 
 
+def test_pipeline_keeps_labelled_quality(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    judged = docs.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").transform(quality.quality_rules, max_word=corpus_pipeline.MAX_WORD)
+    n = collections.Counter((r.quality, r.kept) for r in judged.select("quality", "kept", "base_failed").collect() if not r.base_failed)
+    assert (n[1, False], n[1, True]) == (0, 3243)
+    assert (n[0, False], n[0, True]) == (268, 23)  # with the query's limit of 0.35: (150, 141)
+
+
+def test_pipeline_rejects_texts_without_common_words(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    menu = " | ".join(word() for _ in range(120))
+    prose = " ".join(rng.choice("the of and to a in is that".split()) if k % 6 == 0 else word() for k in range(240))
+    kept = corpus_pipeline.keep_quality(spark, spark.createDataFrame([(1, menu), (2, prose)], "doc_id long, text string"), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_pipeline_drops_near_copies_from_80_percent(spark, tmp_path):
     import corpus_pipeline
 

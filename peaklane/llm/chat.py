@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 class Layout:
     """``paths``: the record's schema with every scalar written as ``v``, fields in alphabetical order. ``turns``: pairs
     of a role (a path if it begins with ``$``, else itself) and the paths of the content, joined by blank lines, taken
-    from the record or from each element of ``each``. ``order``: the path of a turn's number where a record is one turn."""
+    from the record or from each element of ``each``; a path ``$.content[].text`` joins that field of a list of parts by line
+    ends. ``order``: the path of a turn's number where a record is one turn."""
 
     paths: str
     turns: tuple
@@ -30,6 +31,7 @@ class Layout:
 LAYOUTS = {
     "turn rows": Layout("OBJECT<conv_id: v, role: v, text: v, turn: v>", (("$.role", ("$.text",)),), key="$.conv_id", order="$.turn"),
     "messages": Layout("OBJECT<id: v, messages: ARRAY<OBJECT<content: v, role: v>>>", (("$.role", ("$.content",)),), each="$.messages"),
+    "messages of parts": Layout("OBJECT<id: v, messages: ARRAY<OBJECT<content: ARRAY<OBJECT<text: v, type: v>>, role: v>>>", (("$.role", ("$.content[].text",)),), each="$.messages"),
     "from and value": Layout("OBJECT<conversations: ARRAY<OBJECT<from: v, value: v>>, id: v>", (("$.from", ("$.value",)),), each="$.conversations"),
     "prompt and response": Layout("OBJECT<id: v, prompt: v, response: v>", (("user", ("$.prompt",)), ("assistant", ("$.response",)))),
     "prompt and completion": Layout("OBJECT<completion: v, id: v, prompt: v>", (("user", ("$.prompt",)), ("assistant", ("$.completion",)))),
@@ -49,7 +51,13 @@ def fingerprint(record: Column) -> Column:
 
 
 def _turns(layout: Layout, record: Column) -> Column:
-    text = lambda v, path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+
+    def text(v: Column, path: str) -> Column:
+        if "[]." not in path:
+            return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+        whole, field = path.split("[].")
+        parts = F.transform(F.try_variant_get(v, whole, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, f"$.{field}", "string"), F.lit("")))
+        return F.coalesce(F.array_join(parts, "\n"), F.lit(""))
 
     def made(v: Column) -> Column:
         named = [(text(v, role) if role[0] == "$" else F.lit(role), F.array_join(F.filter(F.array(*[text(v, p) for p in paths]), lambda x: x != "") if len(paths) > 1 else F.array(text(v, paths[0])), "\n\n")) for role, paths in layout.turns]
@@ -63,8 +71,11 @@ def _turns(layout: Layout, record: Column) -> Column:
 def canonical_turns(records: DataFrame, record: str = "record", *, layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
     """(key, turn, role, content, layout): the turns of all records, a variant column each.
 
-    A record whose fingerprint no layout has gives one row with null turn, role, content and layout. Null fields count
-    as fields; null contents are empty. Roles known by another name get the canonical one.
+    A record whose fingerprint no layout has gives one row with null turn, role, content and layout. It, and a record of
+    several turns without an id of its own, gets a key made of ``#``, a hash of its content and its row number, so records
+    that are not known never become one conversation. Rows of one turn each belong together by their key, so those with a
+    null key are one conversation. Null fields count as fields; null contents are empty. Roles known by another name get the
+    canonical one. An empty table gives an empty result; columns beside ``record`` are left out.
     """
     v, own = F.col(record), F.col("_own")
     name, turns, key, order = (F.lit(None).cast(t) for t in ("string", _TURNS, "string", "long"))
@@ -75,7 +86,8 @@ def canonical_turns(records: DataFrame, record: str = "record", *, layouts: dict
         key = F.when(is_it, F.try_variant_get(v, layout.key, "string")).otherwise(key)
         if layout.order:
             order = F.when(is_it, F.try_variant_get(v, layout.order, "long")).otherwise(order)
-    found = records.withColumn("_own", fingerprint(v)).select(key.alias("key"), order.alias("_order"), name.alias("layout"), F.posexplode_outer(turns).alias("_i", "_t"))
+    known_key = F.coalesce(key, F.when(order.isNull(), F.concat(F.lit("#"), F.hex(F.xxhash64(F.to_json(v))), F.lit("-"), F.col("_number").cast("string"))))
+    found = records.select(v.alias(record)).withColumns({"_own": fingerprint(v), "_number": F.monotonically_increasing_id()}).select(known_key.alias("key"), order.alias("_order"), name.alias("layout"), F.posexplode_outer(turns).alias("_i", "_t"))
     role = F.col("_t.role")
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return found.select("key", F.coalesce("_order", F.col("_i").cast("long")).alias("turn"), F.coalesce(F.get(F.array(known[role]), F.lit(0)), role).alias("role"), F.col("_t.content").alias("content"), "layout")

@@ -42,8 +42,9 @@ def measured(df: DataFrame, words: Column, limit: int) -> tuple[DataFrame, bool]
 
 def prefixes(docs: DataFrame, windows: DataFrame, text: str, limit: int) -> DataFrame:
     """For each window its rarest word; windows of an item that share that place become one row with the room they need."""
-    vocabulary, _ = measured(written(windows.select(F.explode("item_words").alias("word")).distinct(), "vocabulary"), F.col("word"), limit)
+    vocabulary, small = measured(written(windows.select(F.explode("item_words").alias("word")).distinct(), "vocabulary"), F.col("word"), limit)
     seen = docs.select(F.explode(plain_words(text)).alias("word")).join(vocabulary, "word").groupBy("word").count()
+    seen = F.broadcast(seen) if small else seen  # no more rows than the vocabulary
     places = windows.select("item", "item_words", "size", "s", F.posexplode(F.slice("item_words", F.col("s") + 1, F.col("size"))).alias("i", "word"))
     counted = places.join(seen, "word", "left").withColumn("order", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "i"))
     best = counted.groupBy("item", "item_words", "size", "s").agg(F.min("order").alias("o")).select("item", "item_words", "size", "s", F.col("o.word").alias("word"), (F.col("s") + F.col("o.i")).alias("q"))
@@ -65,35 +66,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", tex
     them; ``items``: sorted distinct item ids as strings.
 
     Null text: no words. Null or empty items: no window. Items with the same id are one. A null item id counts its
-    words but is not listed. Repeated rows of ``docs`` give repeated rows. Empty tables: no hits, or no rows.
+    words but is not listed. Repeated rows of ``docs``, and rows with repeated or null ids, give a row each. Other columns
+    are left out, whatever their names; ``ids`` may be named like a word column. Empty tables: no hits, or no rows.
     """
     need = prefixes(docs, item_windows(items, item, item_text, size), text, broadcast_bytes)
     need, small = measured(need, F.array_join("item_words", " "), broadcast_bytes)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(ids).alias(ids), plain_words(text).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(ids).alias("_id"), plain_words(text).alias("words"))
     end = F.col("p") == F.col("n")
     fits = (F.col("p") >= F.col("before")) & (F.col("n") - F.col("p") >= F.col("from"))
     # the null word after the last stands for the document itself
     placed = F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("p", "word")
     if small:
         # this filter is plain enough to run inside the scan's generated code, before a row of its own is made for a word
-        found = rows.select("_row", ids, "words", F.size("words").alias("n"), placed).join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
+        found = rows.select("_row", "_id", "words", F.size("words").alias("n"), placed).join(need, "word", "left").filter(end | (F.col("q").isNotNull() & fits))
     else:
         rows = written(rows, "rows")  # their numbers must be the same on both sides of the join
         narrow = rows.select("_row", F.size("words").alias("n"), F.posexplode("words").alias("p", "word")).join(need, "word").filter(fits)
-        whole_rows = rows.select("_row", ids, "words", F.size("words").alias("n"))
+        whole_rows = rows.select("_row", "_id", "words", F.size("words").alias("n"))
         ends = whole_rows.select("*", F.col("n").alias("p"))
         found = narrow.drop("n", "word").join(whole_rows, "_row").unionByName(ends, allowMissingColumns=True)
     left, right = _run(-1), _run(1)
     whole = ~end & ((left + right + 1) >= F.col("size"))
     span = F.when(whole, F.struct((F.col("p") - left).alias("start"), (F.col("p") + right + 1).alias("end")))
-    told = found.select("_row", ids, F.when(end, F.col("p")).alias("n"), span.alias("span"), F.when(whole, F.col("item").cast("string")).alias("item"))
-    by_row = told.groupBy("_row", ids).agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    told = found.select("_row", "_id", F.when(end, F.col("p")).alias("n"), span.alias("span"), F.when(whole, F.col("item").cast("string")).alias("item"))
+    by_row = told.groupBy("_row", "_id").agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     union = F.aggregate("spans", start, lambda a, x: F.struct((a.n + F.greatest(F.lit(0).cast("long"), x.end - F.greatest(x.start, a.to))).alias("n"), F.greatest(a.to, x.end).alias("to")), lambda a: a.n)
-    return by_row.withColumn("n_hit", union).select(ids, "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return by_row.withColumn("n_hit", union).select(F.col("_id").alias(ids), "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_benchmark(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    bad = written(decontaminate(docs, items, ids=ids, **how).filter("contaminated").select(ids).distinct(), "contaminated")
-    return docs.join(bad, ids, "left_anti")
+def without_benchmark(docs: DataFrame, items: DataFrame, *, ids: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with the same columns and values. A row goes by its id and
+    text, so of rows that share an id, or have none, only those that hold a window go."""
+    key = F.struct(F.col(ids).alias("id"), F.xxhash64(text).alias("told")).alias("_key")
+    rows = docs.select(key, F.col(text).alias("text"))
+    bad = written(decontaminate(rows, items, ids="_key", **how).filter("contaminated").select("_key.*").distinct(), "contaminated")
+    return docs.join(bad, docs[ids].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text]) == bad["told"]), "left_anti")

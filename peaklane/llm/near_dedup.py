@@ -66,11 +66,11 @@ def _signatures(codes: np.ndarray, offsets: np.ndarray, keys: int, rows: int) ->
 
 
 def _sketch(docs: DataFrame, ids: str, text: str, size: int, keys: int, rows: int) -> DataFrame:
-    schema = T.StructType([docs.schema[ids], T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[ids], T.StructField("told", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType()))])
 
     def sketch(batches):
         for batch in batches:
-            codes, offsets = shingles(words(batch.column(1), seed=61, lower=True), size)
+            codes, offsets = shingles(words(batch.column(2), seed=61, lower=True), size)
             n = np.diff(offsets)
             full = n > 0
             at = offsets[:-1][full]
@@ -78,9 +78,9 @@ def _sketch(docs: DataFrame, ids: str, text: str, size: int, keys: int, rows: in
             small = _signatures(codes, np.concatenate([at, offsets[-1:]]), keys, rows).view(np.int64)
             place = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 2 * keys, pa.int32()), pa.array(small.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(s).take(place) for s in sums], lists.take(place)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(s).take(place) for s in sums], lists.take(place)], names=schema.names)
 
-    return docs.select(ids, text).mapInArrow(sketch, schema)
+    return docs.select(ids, F.xxhash64(text).alias("told"), text).mapInArrow(sketch, schema)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -134,13 +134,16 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     A document's set holds its distinct shingles of ``size`` words (A-Z lower-cased). Documents are linked if
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links reach, ``kept`` says
     that it is the row's own. Null and empty texts have no set and no link. A null id is no member of a component
-    (null, not kept, unless a non-null id has the same set). Rows with the same id are one document. Other columns
-    don't matter. An empty table gives an empty result.
+    (null, not kept, unless a non-null id has the same set). Rows with the same id and text are one document; an id that
+    stands with different texts is one node, which takes part in links with the text whose set hashes lowest. Ids may be
+    of any type that has an order. Other columns don't matter. An empty table gives an empty result.
     """
     sketch = written(_sketch(docs, ids, text, size, keys, rows), "sketch")
-    same = sketch.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(ids).alias("rep"))
-    member = written(sketch.join(same, ["s1", "s2"], "left"), "member")
-    reps = member.filter(F.col(ids) == F.col("rep")).select("rep", F.col("n_shingles").alias("n"), "small")
+    classes = written(sketch.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(ids).alias("rep"), F.min_by("told", ids).alias("told"), F.count("*").alias("copies")), "classes")
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2"))
+    lead = classes.filter("rep IS NOT NULL").withColumn("_r", first).filter("_r = 1").drop("_r", "copies")
+    reps = sketch.withColumnRenamed(ids, "rep").join(lead, ["rep", "told", "s1", "s2"], "left_semi").dropDuplicates(["rep"]).select("rep", "told", F.col("n_shingles").alias("n"), "small")
+    reps = written(reps, "reps")
     single = reps.select("rep", F.posexplode("small").alias("pos", "key"))
     shared = single.groupBy("pos", "key").agg(F.count_distinct("rep").alias("m")).filter("m > 1").drop("m")
     held = single.join(shared, ["pos", "key"], "left_semi").groupBy("rep").agg(F.collect_set(F.struct("pos", "key")).alias("held"))
@@ -150,11 +153,13 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     bucket = ["p", "q", "x", "y"]
     counted = tables.groupBy(bucket).agg(F.count("*").alias("m")).filter("m > 1")
     mates = written(tables.join(counted, bucket), "mates")
-    texts = written(docs.select(F.col(ids).alias("rep"), F.col(text).alias("text")).join(mates.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    met = reps.select("rep", "told").join(mates.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(F.col(ids).alias("rep"), F.xxhash64(text).alias("told"), F.col(text).alias("text")).join(met, ["rep", "told"], "left_semi")
+    texts = written(texts.select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     weight = mates.groupBy("rep").agg(F.sum("m").alias("weight"))
-    sized = written(reps.select("rep", "n").join(weight, "rep").dropDuplicates(["rep"]), "sized")
-    pivot = mates.join(sized.select("rep", "weight"), "rep").groupBy(bucket).agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).select(*bucket, (-F.col("top.rep")).alias("pivot"))
+    sized = written(reps.select("rep", "n").join(weight, "rep"), "sized")
+    pivot = mates.join(sized.select("rep", "weight"), "rep").groupBy(bucket).agg(F.min(F.struct((-F.col("weight")).alias("weight"), "rep")).alias("top")).select(*bucket, F.col("top.rep").alias("pivot"))
     star = mates.join(pivot, bucket).filter("rep <> pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
     n = sized.select("rep", "n")
     for k in "uv":
@@ -171,13 +176,26 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     for k in "uv":
         more = more.join(part.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
     joined = components(more.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
-    whole = member.select(ids, "n_shingles", "rep").join(part.withColumnsRenamed({"node": "rep", "component": "c1"}), "rep", "left")
-    whole = whole.withColumn("c1", F.coalesce("c1", "rep")).join(joined.withColumnsRenamed({"node": "c1", "component": "c2"}), "c1", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("c2", "c1")).otherwise(F.col(ids))
+    named = classes.join(part.withColumnsRenamed({"node": "rep", "component": "c1"}), "rep", "left").withColumn("c1", F.coalesce("c1", "rep"))
+    named = named.join(joined.withColumnsRenamed({"node": "c1", "component": "c2"}), "c1", "left").select("s1", "s2", "copies", F.coalesce("c2", "c1").alias("_found"))
+    whole = _with_class(sketch.select(ids, "n_shingles", "s1", "s2"), written(named, "named"))
+    component = F.when(F.col("n_shingles") > 0, F.col("_found")).otherwise(F.col(ids))
     return whole.select(ids, "n_shingles", component.alias("component_id"), F.coalesce(F.col(ids) == component, F.lit(False)).alias("kept"))
 
 
+def _with_class(rows: DataFrame, named: DataFrame, parts: int = 1000) -> DataFrame:
+    """``rows`` with the ``_found`` of their class. Classes of more than a share of ``1 / parts`` of all rows, so fewer than
+    ``parts``, are broadcast: the copies of one text meet their class where they stand."""
+    on, limit = ["s1", "s2"], rows.count() // parts
+    large = F.broadcast(named.filter(F.col("copies") > limit).drop("copies"))
+    small = named.filter(F.col("copies") <= limit).drop("copies")
+    return rows.join(large, on).unionByName(rows.join(large, on, "left_anti").join(small, on, "left"), allowMissingColumns=True)
+
+
 def keep_one(docs: DataFrame, *, ids: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near-duplicates, with the same columns."""
-    kept = near_duplicates(docs, ids=ids, text=text, **how).filter("kept").select(ids).distinct()
-    return docs.join(kept, ids, "left_semi")
+    """The rows of ``docs`` that stand for their group of near-duplicates, with the same columns and values.
+
+    Rows that repeat an id stay or go with it. Rows with a null id and rows without words stay.
+    """
+    gone = near_duplicates(docs, ids=ids, text=text, **how)
+    return docs.join(gone.filter(~F.col("kept") & F.col(ids).isNotNull()).select(ids).distinct(), ids, "left_anti")

@@ -283,12 +283,17 @@ def _merged(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
 
 def _scanned(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
     """(_row, k, ids): the ids of each chunk of ``giant(_row, text)`` by the scan."""
-    seen = F.replace(F.concat(F.lit(_MARK), "text"), F.lit(" "), F.lit(_MARK))
     look = 64  # characters of the next chunk, more than the longest piece
-    cut = giant.select("_row", seen.alias("_seen")).withColumn("_n", F.length("_seen"))
-    cut = cut.select("_row", "_n", "_seen", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / chunk).cast("int") - 1)).alias("k"))
-    cut = cut.select("_row", "k", F.substring("_seen", F.col("k") * chunk + 1, F.lit(chunk + look)).alias("chunk"), F.least(F.lit(chunk), F.col("_n") - F.col("k") * chunk).alias("n"))
-    cut = cut.repartition(parts, "_row", "k")
+
+    def pieces_of(batches):
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = marked(t)
+                starts = range(0, len(seen), chunk)
+                found = [[row] * len(starts), range(len(starts)), [seen[a : a + chunk + look] for a in starts], [min(chunk, len(seen) - a) for a in starts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["_row", "k", "chunk", "n"])
+
+    cut = giant.mapInArrow(pieces_of, "_row long, k int, chunk string, n int").repartition(parts, "_row", "k")
 
     def matrices(batches):
         known = model(path)
@@ -314,12 +319,12 @@ def _scanned(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """``docs`` with ``pieces``, the ids of the text under the model file ``path``; with ``decoded`` also the text that they
-    spell, made in the same pass.
+    spell, made in the same pass. A mark (``▁``) in a text reads back as a blank, as it does in the library.
 
     Null and empty texts have no pieces. Texts of more than ``chunk`` characters are cut and their chunks dealt out;
     they join their row again by a number that the scan gives it. Under a BPE model a chunk ends where no merge can
     cross, so a run of characters without such a place stays in one task. Ties, repeated rows and an empty table need no
-    care: rows are encoded one by one. A column named ``pieces`` is replaced.
+    care: rows are encoded one by one. Other columns pass through; one named ``pieces`` (or ``decoded``) is replaced.
     """
     docs = docs.drop("pieces", *["decoded"] * decoded)
     at = docs.columns.index(text)
@@ -338,11 +343,11 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
 
     size = F.coalesce(F.length(text), F.lit(0))
     short = docs.filter(size <= chunk).mapInArrow(whole, schema)
-    giant = written(docs.filter(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "giant")
+    giant = written(docs.filter(size > chunk).withColumn("_giant", F.monotonically_increasing_id()), "giant")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    traced = (_merged if isinstance(model(path), Merges) else _scanned)(giant.select("_row", F.col(text).alias("text")), path, chunk, parts)
-    joined = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
-    whole_giant = giant.join(joined, "_row").select(*docs.columns, "pieces")
+    traced = (_merged if isinstance(model(path), Merges) else _scanned)(giant.select(F.col("_giant").alias("_row"), F.col(text).alias("text")), path, chunk, parts)
+    joined = traced.groupBy(F.col("_row").alias("_giant")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
+    whole_giant = giant.join(joined, "_giant").select(*docs.columns, "pieces")
     return short.unionByName(decode(whole_giant, path) if decoded else whole_giant)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peaklane.llm.quality import CLASSES, COMMON
+from peaklane.llm.quality import CLASSES, COMMON, MAX_WORD
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,7 +86,7 @@ a AS (SELECT b.doc_id, n, length(j) AS chars, length(t) - length(regexp_replace(
       FROM b LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) JOIN cd USING (doc_id) JOIN wd USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words,
        n < 50 OR 100 * n_rep > 50 * n AS base_failed,
-       NOT (n < 50 OR 100 * n_rep > 50 * n) AND NOT ((chars >= 500 AND cd > 0.25) OR (n >= 100 AND wd > 0.35)) AS kept
+       NOT (n < 50 OR 100 * n_rep > 50 * n) AND NOT ((chars >= 500 AND cd > 0.25) OR (n >= 100 AND wd > {MAX_WORD})) AS kept
 FROM a
 """
 

@@ -3,10 +3,11 @@
 Every document is cut into non-overlapping reference blocks of ``block`` words, which are indexed by hash. Every
 rolling window of ``block`` words probes that index. A repeat of ``min_words >= 2 * block - 1`` words holds a whole
 reference block of its earlier copy, wherever it starts, so each repeat has a hit; around the hits the repeat is
-extended word by word, by comparing the hashes of all ``min_words`` windows that touch a hit, and neighbouring
-windows merge into maximal spans.
+extended word by word, by comparing all ``min_words`` windows that touch a hit, and neighbouring windows merge into
+maximal spans. Hits may be false (their hashes are short); windows are compared by 128 bits made of two independent hashes of
+each word, so that the chance of one false match among 1e13 windows (some 100 TB) is below 1e-12.
 
-Documents are dealt into small batches by a hash of their id. A batch sends each distinct hash once to the bucket of
+Documents are dealt into small batches by a hash of their id and text. A batch sends each distinct hash once to the bucket of
 that hash and gets back one bit for it, so a passage that a third of all documents holds costs one entry for each
 batch, never a pair of documents. The exchange that deals out the batches is used three times by the one plan.
 """
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peaklane.llm.words import words
+from peaklane.llm.words import _draw, mixed, words
 
-#: Bytes of text in a batch, and bytes of text whose hashes share a bucket.
-BATCH, BUCKET = 3 << 19, 16 << 20
+#: Bytes of text in a batch and bytes of text whose hashes share a bucket: the least and the most. In between both grow with
+#: the root of the input, so the messages between them grow in proportion to it.
+BATCH, BUCKET = (3 << 19, 8 << 20), (16 << 20, 64 << 20)
+#: Bytes of text in a task, and the most tasks of a stage (tasks work through their batches one by one).
+TASK, TASKS = 5 << 19, 100_000
 _LAST = np.iinfo(np.int64).max
 _BITS = pa.schema([("_bucket", pa.int64()), ("_batch", pa.int64()), ("_kind", pa.int32()), ("_bits", pa.binary())])
 _BITS_DDL = "_bucket long, _batch long, _kind int, _bits binary"
@@ -44,7 +48,7 @@ class _Batch:
     def __init__(self, table: pa.Table, ids: str, text: str, block: int, size: int, buckets: int):
         id_column = table[ids].combine_chunks()
         key = id_column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-        self.order = np.argsort(key, kind="stable")
+        self.order = np.lexsort((table["_text"].to_numpy(), key))  # rows with the same id and text are alike
         self.table = table.take(pa.array(self.order))
         self.key, self.block, self.size, self.buckets = key[self.order], block, size, buckets
         self.words = words(self.table[text], seed=31)
@@ -80,16 +84,33 @@ class _Batch:
         return np.flatnonzero(near), at, code
 
     def long(self, near: np.ndarray, at: np.ndarray, code: np.ndarray):
-        """The distinct candidate windows in the order (first document, hash): hash, first document, bucket, place of each candidate."""
+        """The distinct candidate windows in the order (first document, hash): both hashes, first document, bucket, place of each candidate."""
         doc = self.words.doc[at[near]]
-        distinct, which = np.unique(code[near], return_inverse=True)
-        low = np.full(len(distinct), _LAST)
+        one, two = code[near], self._second(at[near])
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)]
+        which = np.empty(len(one), np.int64)
+        which[order] = np.cumsum(new) - 1
+        one, two = one[new], two[new]
+        low = np.full(len(one), _LAST)
         np.minimum.at(low, which, doc)
-        order = np.lexsort((distinct, low))
+        order = np.lexsort((two, one, low))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         first = self.key[low[order]] if len(order) else np.zeros(0, np.int64)
-        return distinct[order], first, self._bucket(distinct[order]), place[which], doc
+        return np.stack([one[order], two[order]], 1), first, self._bucket(one[order]), place[which], doc
+
+    def _second(self, at: np.ndarray) -> np.ndarray:
+        """A second hash of the windows at these places."""
+        inside = np.zeros(len(self.words.code) + 1, np.int64)
+        np.add.at(inside, at, 1)
+        np.add.at(inside, at + self.size, -1)
+        code = self.words.recoded(np.cumsum(inside)[:-1] > 0, 83)
+        total = np.zeros(len(at), np.uint64)
+        for k, c in enumerate(_draw(89, self.size)):
+            total += code[at + k] * c
+        return mixed(total)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -145,12 +166,13 @@ def _match_windows(table: pa.Table) -> pa.Table:
     """Of one bucket: which windows start in a document before those of the batch that sent them."""
     if table["_kind"][0].as_py():  # a batch's note to itself
         return table.select(["_bucket", "_batch", "_kind"]).append_column("_bits", table["_hash"])
-    code, sizes = _blobs(table, "_hash", "<u8", 8)
+    raw, sizes = _blobs(table, "_hash", "<u8", 16)
+    one, two = raw.reshape(-1, 2).T
     doc, _ = _blobs(table, "_doc", "<i8", 8)
-    order = np.lexsort((doc, code))
-    new = np.concatenate([[True], code[order][1:] != code[order][:-1]])[: len(code)]
+    order = np.lexsort((doc, two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])[: len(one)]
     first = doc[order][new][np.cumsum(new) - 1]
-    found = np.empty(len(code), bool)
+    found = np.empty(len(one), bool)
     found[order] = doc[order] > first
     return _replies(table, found, sizes, 0)
 
@@ -168,21 +190,27 @@ def substring_dedup(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     """``docs`` with ``n_words``, ``n_removed``, ``removed_spans`` (word ranges, end excluded) and ``kept_text``.
 
     A word is removed if a window of ``min_words`` words covers it whose words also start in a document with a
-    smaller id. Windows are judged on the input. Windows count as equal if their 64-bit hashes do and an anchor agrees.
+    smaller id. Windows are judged on the input.
 
-    Null text: no words. A null id stands after all others: it loses repeats and takes none from others. Rows with
-    equal ids don't count as earlier for each other, so repeated rows stay whole unless a smaller id holds them.
-    Fewer than ``min_words`` words, empty text: nothing is removed. An empty table gives an empty result. Other
+    Ids must be integers. Null text: no words. A null id stands after all others: it loses repeats and takes none from
+    others. Rows with equal ids don't count as earlier for each other, so repeated rows stay whole unless a smaller id
+    holds them. Fewer than ``min_words`` words, empty text: nothing is removed. An empty table gives an empty result. Other
     columns pass through; columns named like a new one are replaced.
+
+    A batch is handled in one piece: a document longer than a batch, or the copies of one row (same id and same text), must
+    fit the memory of a Python worker.
     """
     if min_words < 2 * block - 1:
         raise ValueError("a repeat of min_words must hold a whole block: min_words >= 2 * block - 1")
+    if not isinstance(docs.schema[ids].dataType, T.IntegralType):
+        raise ValueError(f"{ids}: the order of documents goes by integer ids")
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "removed_spans", "kept_text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
-    batches, buckets = total // BATCH + 1, max(64, total // BUCKET)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("_batch", F.pmod(F.xxhash64(ids), F.lit(batches))).repartition(max(parts, min(int(batches), 4 * parts)), "_batch")
+    batch, bucket = (min(most, max(least, int(share * total**0.5))) for (least, most), share in ((BATCH, 48), (BUCKET, 512)))
+    batches, buckets = total // batch + 1, max(64, total // bucket)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(total // TASK), TASKS))
+    dealt = docs.withColumn("_text", F.xxhash64(text)).withColumn("_batch", F.pmod(F.xxhash64(ids, "_text"), F.lit(batches))).repartition(tasks, "_batch")
     make = lambda table: _Batch(table, ids, text, block, min_words, int(buckets))
 
     def send_blocks(table: pa.Table) -> pa.Table:
@@ -231,11 +259,11 @@ def substring_dedup(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
         doc = w.doc[start]
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(w.first))), pa.int32()), pa.StructArray.from_arrays([pa.array(start - w.first[doc], pa.int32()), pa.array(end - w.first[doc], pa.int32())], ["start", "end"]))
         new = {"n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(np.diff(total[w.first]), pa.int64()), "removed_spans": spans.cast(span_type), "kept_text": pa.array(w.joined(~gone), pa.binary()).cast(pa.string())}
-        out = batch.table.drop_columns(["_batch"])
+        out = batch.table.drop_columns(["_batch", "_text"])
         return pa.table([*[out[f.name] for f in kept_fields], *new.values()], names=[*[f.name for f in kept_fields], *new])
 
     blocks = dealt.groupBy("_batch").applyInArrow(send_blocks, _SENT_DDL)
-    hits = blocks.groupBy("_bucket").applyInArrow(_match_blocks, _BITS_DDL)
+    hits = blocks.repartition(tasks, "_bucket").groupBy("_bucket").applyInArrow(_match_blocks, _BITS_DDL)
     windows = dealt.groupBy("_batch").cogroup(hits.groupBy("_batch")).applyInArrow(send_windows, _SENT_DDL)
-    repeats = windows.groupBy("_bucket").applyInArrow(_match_windows, _BITS_DDL)
+    repeats = windows.repartition(tasks, "_bucket").groupBy("_bucket").applyInArrow(_match_windows, _BITS_DDL)
     return dealt.groupBy("_batch").cogroup(repeats.groupBy("_batch")).applyInArrow(remove, out_type)

@@ -9,10 +9,6 @@ give the position of each part in the whole; readers map the files into memory.
 
 from __future__ import annotations
 
-import functools
-import json
-import re
-import unicodedata
 import uuid
 
 import numpy as np
@@ -22,65 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peaklane.llm.byte_pieces import encoder
 from peaklane.llm.scratch import shared_dir, written
 
-#: Bytes of text for a part, texts encoded at once, and remembered pieces of text.
-PART, TEXTS, PIECES = 32 << 20, 256, 300_000
-_NULL_ID = np.iinfo(np.int64).min
-#: Characters for which the piece pattern below agrees with the library's.
-_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
-
-
-def _kind(first: str) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == first)
-
-
-_L, _N, _S = _kind("L"), _kind("N"), r"\t-\r \u0085\u00a0"
-#: How byte-level BPE cuts a text into pieces that are encoded one by one.
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-
-
-class Encoder:
-    """Encodes texts with the tokenizers library; pieces of text that recur are encoded once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        pre = told["pre_tokenizer"] or {}
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = [t["content"] for t in told["added_tokens"]]
-        self.by_piece = told["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}  # pieces met lately, and those met before them
-        self.older: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
-        missing = pieces.difference(self.known)
-        if again := missing.intersection(self.older):
-            self.known.update((p, self.older[p]) for p in again)
-            missing -= again
-        if missing := list(missing):  # one call, in which every piece counts as a word of its own
-            told = self.tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            raw, n = np.array(told.ids, self.width).tobytes(), int(self.width[-1])
-            cut = (np.searchsorted(np.array(told.word_ids, np.int64), np.arange(len(missing) + 1)) * n).tolist()
-            self.known.update(zip(missing, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(t) if self.by_piece and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        self._learn(set().union(*[c for c in cut if c]))
-        known = self.known.__getitem__
-        return [self._plain([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+#: Bytes of text for a part, and documents read back at once.
+PART, TEXTS = 32 << 20, 256
 
 
 def _store(uri: str):
@@ -101,10 +43,11 @@ def _mapped(uri: str, kind: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, ids: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Write the token files of ``docs`` to ``folder``; returns (part, n_docs, n_tokens, width, base).
+    """Write the token files of ``docs`` to ``folder``; returns (part, n_docs, n_null, n_tokens, width, base).
 
-    Null text counts as empty: it has only the end id. Null ids come first and are kept as null. Documents with the
-    same id follow each other in the order of a hash of their text. An empty table gives parts without documents.
+    Null text counts as empty: it has only the end id. Null ids come first (``n_null`` of a part) and are read back as
+    null. Documents with the same id, repeated rows too, follow each other in the order of a hash of their text. An empty
+    table gives parts without documents. Other columns are left out. A text of any length is encoded whole, in slices.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART + 1)
@@ -113,28 +56,27 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, ids: str
 
     def write(batches):
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
-        end = np.array([end_id], code.width).tobytes()
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
         own = uuid.uuid4().hex
-        offsets, keys, n = [0], [], 0
+        counts, keys, nulls = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], 0
         with store.open_output_stream(f"{path}/{own}.bin") as out:
             for batch in batches:
-                keys.append(batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False))
-                for k in range(0, batch.num_rows, TEXTS):
-                    for raw in code.encode([t or "" for t in batch.column(1).slice(k, TEXTS).to_pylist()]):
-                        raw += end
-                        n += len(raw) // int(code.width[-1])
-                        offsets.append(n)
-                        out.write(raw)
-        for name, array in (("idx", np.array(offsets, "<i8")), ("doc", np.concatenate([np.zeros(0, np.int64), *keys]).astype("<i8"))):
+                nulls += batch.column(0).null_count
+                keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+                for found, n in code.encode(batch.column(1), end_id):
+                    out.write(found.tobytes())
+                    counts.append(n)
+        offsets = np.cumsum(np.concatenate(counts))
+        for name, array in (("idx", offsets.astype("<i8")), ("doc", np.concatenate(keys).astype("<i8"))):
             with store.open_output_stream(f"{path}/{own}.{name}") as out:
                 out.write(array.tobytes())
         for name in ("bin", "idx", "doc"):
             store.move(f"{path}/{own}.{name}", f"{path}/part-{part:06d}.{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([n], pa.int64()), pa.array([code.width])], names=["part", "n_docs", "n_tokens", "width"])
+        row = [pa.array([part], pa.int32()), *[pa.array([x], pa.int64()) for x in (len(offsets) - 1, nulls, int(offsets[-1]))], pa.array([code.width])]
+        yield pa.RecordBatch.from_arrays(row, names=["part", "n_docs", "n_null", "n_tokens", "width"])
 
-    told = written(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long, width string"), "parts")
+    told = written(dealt.mapInArrow(write, "part int, n_docs long, n_null long, n_tokens long, width string"), "parts")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
     return told.withColumn("base", F.coalesce(before, F.lit(0)))
 
@@ -151,8 +93,7 @@ def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
                     b = min(a + TEXTS, len(keys))
                     piece = np.asarray(data[offsets[a] : offsets[b]])
                     lists = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a], pa.int32()), pa.array(piece.astype(np.int32)))
-                    own = np.array(keys[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == _NULL_ID), pa.array(offsets[a:b] + row["base"], pa.int64()), pa.array(np.diff(offsets[a : b + 1]), pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys[a:b]), mask=np.arange(a, b) < row["n_null"]), pa.array(offsets[a:b] + row["base"], pa.int64()), pa.array(np.diff(offsets[a : b + 1]), pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids"])
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return parts.filter("n_docs > 0").repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")

@@ -64,6 +64,20 @@ class Words:
         at = at[at + size <= np.repeat(self.first[1:], np.diff(self.first))[: len(at)]]
         return at, mixed(total[at])
 
+    def recoded(self, keep: np.ndarray, seed: int) -> np.ndarray:
+        """A second 64-bit hash of the words under ``keep``, independent of ``code``; 0 for the others."""
+        out, held = np.zeros(len(self.code), np.uint64), np.flatnonzero(keep)
+        table, base = _draw(seed, 256), _draw(seed + 1, 1)[0]
+        size = (self.end - self.start)[held]
+        into = np.concatenate([[0], np.cumsum(size)])
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max(initial=0)), base, np.uint64)]))
+        for a, b in _slices(into):
+            here = np.arange(into[a], into[b])
+            inside = here - np.repeat(into[a:b], size[a:b])
+            found = table[self.data[np.repeat(self.start[held[a:b]], size[a:b]) + inside]] * power[inside]
+            out[held[a:b]] = mixed(np.add.reduceat(found, into[a:b] - into[a]))
+        return out
+
     def packed(self, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The words under ``keep``, each with a blank after it, and the place of each (one entry more than words)."""
         size = (self.end - self.start)[keep]

@@ -17,33 +17,38 @@ from peaklane.llm.queries import _tokenizer
 from peaklane.llm.scratch import written
 from peaklane.llm.substring_dedup import substring_dedup
 
-#: Farthest distance of common words. Fitted on ``labels`` of sf0.1: quality 1 of 100 words or more ends at 0.199, and of
-#: quality 0 what the other rules keep begins at 0.221.
-MAX_WORD = 0.21
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs, max_word=MAX_WORD)
+    """The documents that the quality rules keep. Null and empty texts go, since they have too few words."""
+    return keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies from a similarity of 0.80; rows with a null id stay."""
     return keep_one(docs, percent=80, keys=18)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated words change: their words are joined by blanks, and ``n_chars`` follows. Texts that hold
-    no repeat stay as they are; a text of which nothing is left stays as an empty document."""
-    cut = substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut.select(*docs.columns)
+    no repeat stay as they are; a text of which nothing is left stays as an empty document. Other columns keep their values,
+    whatever their names."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substring_dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest")))
+    changed = F.col("n_removed") > 0
+    new = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    new |= {c: F.col("_rest").getField(c) for c in rest}
+    if "n_chars" in rest:
+        size = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, size).otherwise(new["n_chars"])
+    return cut.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of a benchmark item occurs."""
     return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, and digests of the pieces and of the text that they spell). Null text: no pieces."""
     coded = pieces.encode(docs.select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), decoded=True)
     return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

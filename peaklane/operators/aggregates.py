@@ -37,6 +37,19 @@ def vote(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.groupBy(*group, "a", "b").agg(F.count_if(va > vb).alias("n_pos"), F.count_if(va < vb).alias("n_neg"), flag(differ & (va > 0)).alias("a_detected"), flag(differ & (vb > 0)).alias("b_detected"), flag((va > 0) & (vb > 0)).alias("both_detected"))
 
 
+def vote_runs(pairs: DataFrame, runs: str = "runs") -> DataFrame:
+    """``vote`` for pairs whose runs stand in one array (``pair_runs``): counted within the row, without a shuffle."""
+    some = lambda test: F.exists(runs, test).cast("int")
+    many = lambda test: F.size(F.filter(runs, test)).cast("long")
+    return pairs.withColumns({
+        "n_pos": many(lambda r: r.va > r.vb),
+        "n_neg": many(lambda r: r.va < r.vb),
+        "a_detected": some(lambda r: (r.va != r.vb) & (r.va > 0)),
+        "b_detected": some(lambda r: (r.va != r.vb) & (r.vb > 0)),
+        "both_detected": some(lambda r: (r.va > 0) & (r.vb > 0)),
+    }).drop(runs)
+
+
 def _binomial_cdf(k: Column, n: Column) -> Column:
     """P(X <= k) for n fair trials."""
     start = F.struct(F.pow(F.lit(0.5), n).alias("p"), F.pow(F.lit(0.5), n).alias("s"))

@@ -76,6 +76,17 @@ def ion_quality_flags(df: DataFrame, kind: str, number: str, correlation: str, m
     return df.withColumn("flag", F.when(low, 1).when(F.col(mz) < min_mz, 2).when(F.coalesce(F.col(correlation), F.lit(0.0)) < min_correlation, 3).otherwise(0))
 
 
+def drop_y1(df: DataFrame, kind: str, number: str) -> DataFrame:
+    """Without the y ions of number 1."""
+    return df.filter(~(F.coalesce(F.col(kind).startswith("y"), F.lit(False)) & F.coalesce(F.col(number) == 1, F.lit(False))))
+
+
+def min_matched_ions(df: DataFrame, key: list[str], intensity: str, n: int) -> DataFrame:
+    """Matches of which ``n`` ions or more have an intensity above zero."""
+    found = F.count_if(F.col(intensity) > 0).over(Window.partitionBy(*key))
+    return df.withColumn("_n", found).filter(F.col("_n") >= n).drop("_n")
+
+
 def base_peak_valid(df: DataFrame, key: list[str], intensity: str, flag: str) -> DataFrame:
     """For each match: whether its most intense ion (of equal ones the better flag) is valid and above zero."""
     top = F.max(F.struct(F.col(intensity).alias("i"), (-F.col(flag)).alias("f")))

@@ -77,17 +77,23 @@ def group_pairs(df: DataFrame, group: list[str], item: str) -> DataFrame:
     return items.join(items.withColumnRenamed("a", "b"), group).filter("a < b")
 
 
+def pair_runs(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:
+    """(group, a, b, runs): every detected item with every candidate of its group but itself, and for each run in which
+    either was measured struct(run, va, vb); a missing value is 0. An item's values travel as one map, so the pairs are
+    made by a single join and never shuffled by run."""
+    measured = values.groupBy(group, item, run).agg(F.max(F.col(value).cast("double")).alias("_v"))
+    maps = measured.groupBy(group, item).agg(F.map_from_entries(F.collect_list(F.struct(run, "_v"))).alias("_m"))
+    others = candidates.select(group, item).distinct().join(maps, [group, item], "full").select(group, F.col(item).alias("b"), F.coalesce("_m", F.create_map().cast(maps.schema["_m"].dataType)).alias("_mb"))
+    pairs = maps.select(group, F.col(item).alias("a"), F.col("_m").alias("_ma")).join(others, group).filter("a <> b")
+    at = lambda m, r: F.coalesce(F.col(m)[r], F.lit(0.0))
+    runs = F.transform(F.array_union(F.map_keys("_ma"), F.map_keys("_mb")), lambda r: F.struct(r.alias(run), at("_ma", r).alias("va"), at("_mb", r).alias("vb")))
+    return pairs.select(group, "a", "b", runs.alias("runs"))
+
+
 def rank_pairs(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:
-    """(group, run, a, b, va, vb): every detected item with every candidate of its group but itself, in each run in which
-    either was measured; a missing value is 0."""
-    detected = values.select(group, F.col(item).alias("a")).distinct()
-    others = candidates.select(group, F.col(item).alias("b")).unionByName(values.select(group, F.col(item).alias("b"))).distinct()
-    pairs = detected.join(others, group).filter("a <> b")
-    measured = values.groupBy(group, item, run).agg(F.max(value).alias("_v"))
-    left = pairs.join(measured.select(group, F.col(item).alias("a"), run, F.col("_v").alias("va")), [group, "a"]).select(group, run, "a", "b", "va", F.lit(None).cast("double").alias("vb"))
-    right = pairs.join(measured.select(group, F.col(item).alias("b"), run, F.col("_v").alias("vb")), [group, "b"]).select(group, run, "a", "b", F.lit(None).cast("double").alias("va"), "vb")
-    both = left.unionByName(right).groupBy(group, run, "a", "b").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
-    return both.withColumns({"va": F.coalesce("va", F.lit(0.0)), "vb": F.coalesce("vb", F.lit(0.0))})
+    """(group, run, a, b, va, vb): ``pair_runs`` with one row a run."""
+    rows = pair_runs(values, candidates, group, item, run, value).select(group, "a", "b", F.explode("runs").alias("_r"))
+    return rows.select(group, f"_r.{run}", "a", "b", "_r.va", "_r.vb")
 
 
 def rank_pairs_single_run(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:

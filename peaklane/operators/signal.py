@@ -157,15 +157,20 @@ def best_ion(ions: DataFrame, match: list[str], ion: str, values: str, start: st
     return cor.join(best, match).filter(F.col("j") == F.col("best_ion")).select(*match, F.col("i").alias(ion), "best_ion", F.when(F.col("i") == F.col("best_ion"), 1.0).otherwise(F.col("cor")).alias("cor"))
 
 
-def refine_peak(ions: DataFrame, match: list[str], values: str, start: str, end: str, cor: str, min_cor: float = 0.75) -> DataFrame:
-    """(match, apex, left, right, min_smoothed) from the median over well correlated ions, in the place of the whole
-    series; no row for a peak of fewer than 5 scans or 3 such ions, or if the refined one is a single scan."""
+def refine_peak(ions: DataFrame, match: list[str], values: str, start: str, end: str, cor: str, apex: str = "apex", low: str = "min_smoothed", min_cor: float = 0.75) -> DataFrame:
+    """(match, apex, left, right, min_smoothed, refined) for every match: from the median over well correlated ions, in
+    the place of the whole series. A peak of fewer than 5 scans or 3 such ions, or whose refined one is a single scan, stays
+    as it is."""
+    old = ions.groupBy(*match).agg(*[F.first(c, True).alias(k) for k, c in (("_apex", apex), ("_left", start), ("_right", end), ("_low", low))])
     good = ions.filter((F.col(cor) >= min_cor) & (F.col(end) - F.col(start) + 1 >= 5))
     enough = good.withColumn("_n", F.count("*").over(Window.partitionBy(*match))).filter("_n >= 3")
     points = enough.select(*match, F.col(start).alias("_s"), F.posexplode(F.slice(values, F.col(start) + 1, F.col(end) - F.col(start) + 1)).alias("_i", "_v"))
     series = points.groupBy(*match, "_s", "_i").agg(F.median("_v").alias("_m")).groupBy(*match, "_s").agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_l"))
     peak = series.withColumn("p", find_peak(F.transform("_l", lambda x: x["_m"]))).filter("p.right - p.left >= 1")
-    return peak.select(*match, (F.col("_s") + F.col("p.apex")).alias("apex"), (F.col("_s") + F.col("p.left")).alias("left"), (F.col("_s") + F.col("p.right")).alias("right"), F.col("p.min_smoothed").alias("min_smoothed"))
+    new = {"apex": F.col("_s") + F.col("p.apex"), "left": F.col("_s") + F.col("p.left"), "right": F.col("_s") + F.col("p.right"), "min_smoothed": F.col("p.min_smoothed")}
+    both = old.join(peak.select(*match, *[c.alias(k) for k, c in new.items()], F.lit(True).alias("refined")), match, "left")
+    kept = {"apex": "_apex", "left": "_left", "right": "_right", "min_smoothed": "_low"}
+    return both.select(*match, *[F.when(F.col("refined"), F.col(k)).otherwise(F.col(o)).alias(k) for k, o in kept.items()], F.coalesce("refined", F.lit(False)).alias("refined"))
 
 
 def sort_peaks(df: DataFrame, window: list[str], peaks: str) -> DataFrame:

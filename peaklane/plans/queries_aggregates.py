@@ -50,7 +50,7 @@ SELECT grp, a, b, count(*) FILTER (WHERE va > vb) AS n_pos, count(*) FILTER (WHE
 
 def _votes(t):
     v = tb.values(t)
-    return ag.vote(jn.rank_pairs(v, v, "grp", "item", "run", "v"), ["grp"])
+    return ag.vote_runs(jn.pair_runs(v, v, "grp", "item", "run", "v"))
 
 
 @query("a05_vote", _VOTES)

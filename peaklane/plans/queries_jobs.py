@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from peaklane.operators import scoring
 from peaklane.plans import jobs
 from peaklane.plans import tables as tb
+from peaklane.plans.queries_aggregates import _CENTER, _COS
+from peaklane.plans.queries_signal import _order
+from peaklane.plans.queries_sources import _scratch
 from peaklane.plans.registry import query
+from peaklane.sources import io
 
-_K1 = f"""WITH rep AS ({tb.REPORT_SQL}), ok AS (SELECT grp, item, run, max(v) AS v FROM rep WHERE NOT (q1 > 0.05 OR q2 > 0.05) GROUP BY ALL),
+_K1 = f"""WITH rep AS ({tb.REPORT_SQL}), ok AS (SELECT grp, item, run, max(v) AS v FROM rep WHERE NOT (q1 > 0.02 OR q2 > 0.02) GROUP BY ALL),
 one AS (SELECT item FROM ok GROUP BY item HAVING count(DISTINCT grp) = 1), two AS (SELECT grp FROM ok WHERE item IN (SELECT item FROM one) GROUP BY grp HAVING count(DISTINCT item) >= 2),
-v AS (SELECT * FROM ok WHERE item IN (SELECT item FROM one) AND grp IN (SELECT grp FROM two)), p AS (SELECT DISTINCT x.grp, x.item AS a, y.item AS b FROM v x JOIN v y ON x.grp = y.grp AND x.item <> y.item),
-r AS (SELECT grp, a, b, run FROM p JOIN v USING (grp) WHERE v.item IN (a, b) GROUP BY ALL),
+v AS (SELECT * FROM ok WHERE item IN (SELECT item FROM one) AND grp IN (SELECT grp FROM two)), found AS (SELECT DISTINCT grp, item FROM v), d AS (SELECT grp, count(*) AS d FROM found GROUP BY grp),
+u AS (SELECT grp, item, d, row_number() OVER (PARTITION BY grp ORDER BY {_order('item', 7)}, item) AS r FROM (SELECT p_brand || '|' || p_type AS grp, p_partkey AS item FROM part) JOIN d USING (grp) WHERE item NOT IN (SELECT item FROM found)),
+o AS (SELECT grp, item FROM u WHERE r <= greatest(ceil((d - 1) / 2.0 / 2), 1) UNION SELECT grp, item FROM found), p AS (SELECT x.grp, x.item AS a, y.item AS b FROM found x JOIN o y ON x.grp = y.grp AND x.item <> y.item),
+r AS (SELECT p.grp, a, b, run FROM p JOIN v ON v.grp = p.grp AND v.item IN (a, b) GROUP BY ALL),
 w AS (SELECT r.grp, r.a, r.b, coalesce(x.v, 0) AS va, coalesce(y.v, 0) AS vb FROM r LEFT JOIN v x ON x.grp = r.grp AND x.item = r.a AND x.run = r.run LEFT JOIN v y ON y.grp = r.grp AND y.item = r.b AND y.run = r.run),
 n AS (SELECT grp, a, b, count(*) FILTER (WHERE va > vb) AS n_pos, count(*) FILTER (WHERE va < vb) AS n_neg, max((va <> vb AND va > 0)::INT) AS a_detected, max((va <> vb AND vb > 0)::INT) AS b_detected, max((va > 0 AND vb > 0)::INT) AS both_detected FROM w GROUP BY ALL)
 SELECT *, (n_pos > n_neg)::INT AS label FROM n"""
@@ -20,7 +26,8 @@ SELECT *, (n_pos > n_neg)::INT AS label FROM n"""
 
 @query("k01_rank_label_job", _K1)
 def _(spark, t):
-    return jobs.rank_label_job(tb.report(t), None, group="grp", item="item", run="run", value="v", q_values=["q1", "q2"], limit=0.05)
+    known = t("part").select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_partkey").alias("item"))
+    return jobs.rank_label_job(tb.report(t), known, group="grp", item="item", run="run", value="v", q_values=["q1", "q2"], limit=0.02)
 
 
 @query("k02_rank_pairs_job", """WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark), p AS (SELECT DISTINCT item_id, unnest(string_split(replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '|P', 'P'), '|')) AS pep FROM s),
@@ -30,11 +37,15 @@ def _(spark, t):
     return jobs.rank_pairs_job(proteins, proteins, group="item_id", sequence="seq", low=2, high=3, missed=0, min_len=7, max_len=35)
 
 
-@query("k03_rt_table_job", f"""WITH e AS (SELECT * FROM ({tb.EVENTS_SQL})), s AS (SELECT min(sec) AS lo, max(sec) AS hi FROM e), f AS (SELECT * FROM e WHERE value <= 60 AND (event_type <> 'error' OR value >= 5)),
-m AS (SELECT user_id, event_type, avg(sec) AS sec, count(sec) AS n FROM f GROUP BY ALL) SELECT user_id, event_type, round(sec, 4) AS sec, n, round((sec - lo) / (hi - lo), 6) AS rt_norm FROM m, s""")
+@query("k03_rt_table_job", f"""WITH e AS (SELECT * FROM ({tb.EVENTS_SQL})), s AS (SELECT min(sec) AS lo, max(sec) AS hi, count(DISTINCT user_id) AS n_runs FROM e), f AS (SELECT * FROM e WHERE value <= 60 AND event_type <> 'signup' AND (event_type <> 'error' OR value >= 5)),
+m AS (SELECT user_id, event_type, avg(sec) AS sec, count(sec) AS n FROM f GROUP BY ALL) SELECT user_id, event_type, round(sec, 4) AS sec, n, round((sec - lo) / (hi - lo), 6) AS rt_norm, n_runs FROM m, s""")
 def _(spark, t):
-    rows, _meta = jobs.rt_table_job(tb.events(t), None, keys=["user_id", "event_type"], rt="sec", run="user_id", q="value", cutoff=60, when=F.col("event_type") == "error", keep=F.col("value") >= 5)
-    return rows.select("user_id", "event_type", F.round("sec", 4).alias("sec"), "n", F.round("rt_norm", 6).alias("rt_norm"))
+    mapped = t("events").select("event_type").filter("event_type <> 'signup'").distinct()
+    rows, meta = jobs.rt_table_job(tb.events(t), mapped, keys=["user_id", "event_type"], rt="sec", run="user_id", q="value", cutoff=60, when=F.col("event_type") == "error", keep=F.col("value") >= 5, modification="event_type")
+    path = _scratch(spark)
+    io.write_run_meta(meta, "user_id", path)
+    runs = io.read_run_meta(spark, path, "user_id", "rt_min long, rt_max long").agg(F.count("*").alias("n_runs"))
+    return rows.crossJoin(F.broadcast(runs)).select("user_id", "event_type", F.round("sec", 4).alias("sec"), "n", F.round("rt_norm", 6).alias("rt_norm"), "n_runs")  # one row
 
 
 _K4 = f"""WITH d AS (SELECT doc_id AS row, n_chars AS mz, length(lang) + doc_id % 7 AS number, n_chars % 97 AS intensity FROM documents), p AS (SELECT o_orderkey AS id, o_custkey AS s, o_custkey + 1 + o_orderkey % 6 AS e FROM orders),
@@ -78,9 +89,33 @@ def _(spark, t):
     return found.withColumn("cor", F.round("cor", 4)).withColumn("min_smoothed", F.round("min_smoothed", 2))
 
 
-@query("k07_evaluation_job")
+def _k7(share: float) -> str:
+    values = f"list_transform(range(0, len(x)), lambda i: x[i + 1] * (1 - {share} - vec_id % 3 * 0.1) + sin(i) * ({share} + vec_id % 3 * 0.1))"
+    valid = "list_transform(list_filter(range(1, len(x) + 1), lambda i: x[i] <= 0), lambda i: {0}[i])"
+    return f"""SELECT vec_id, pcc, cos, 1 - 2 * acos(least(cos, 1.0)) / pi() AS sa FROM (SELECT vec_id, {_COS} AS cos FROM (SELECT vec_id, {valid.format("x")} AS x, {valid.format("y")} AS y FROM (SELECT vec_id, x, {values} AS y FROM test)))
+JOIN (SELECT vec_id, {_COS} AS pcc FROM (SELECT vec_id, {_CENTER.format("x")} AS x, {_CENTER.format("y")} AS y FROM (SELECT vec_id, {valid.format("x")} AS x, {valid.format("y")} AS y FROM (SELECT vec_id, x, {values} AS y FROM test)))) USING (vec_id)"""
+
+
+_K7 = f"""WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY {_order("vec_id", 7)}, vec_id) AS r, count(*) OVER () AS n FROM embeddings),
+test AS (SELECT vec_id, x FROM o WHERE r > n - greatest(1, least(1000, ceil(n * 0.1) - 10))), b AS ({_k7(0.5)}), c AS ({_k7(0.2)}),
+bm AS (SELECT metric, median(v) AS base FROM (UNPIVOT b ON pcc, cos, sa INTO NAME metric VALUE v) GROUP BY metric),
+cm AS (SELECT metric, median(v) AS candidate, count(v) AS n, avg(v) AS mean, min(v) AS lowest, max(v) AS highest, count(*) FILTER (WHERE v > 0.9) / count(*) AS above_90 FROM (UNPIVOT c ON pcc, cos, sa INTO NAME metric VALUE v) GROUP BY metric)
+SELECT metric, round(base, 5) AS base, round(candidate, 5) AS candidate, n, round(mean, 5) AS mean, round(lowest, 5) AS lowest, round(highest, 5) AS highest, round(above_90, 5) AS above_90,
+(SELECT bool_and(candidate > base) FROM bm JOIN cm USING (metric)) AS candidate_wins, (SELECT count(*) < 100 FROM embeddings) AS skipped, round(candidate, 5) AS manifest FROM bm JOIN cm USING (metric)"""
+
+
+@query("k07_evaluation_job", _K7)
 def _(spark, t):
-    rows = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("observed"))
-    noisy = lambda share: lambda df: scoring.linear_score(df.withColumn("predicted", F.transform("observed", lambda x, i: x * (1 - share) + F.sin(i.cast("double")) * share)), "predicted", 1.0, 0.0)
-    found = jobs.evaluation_job(rows, noisy(0.5), noisy(0.2), sequence="vec_id", key="vec_id", observed="observed", predicted="predicted", seed=7)
-    return found.withColumns({c: F.round(c, 5) for c in ("base", "candidate")})
+    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("observed")).withColumns({"length": F.size("observed"), "valid": F.col("observed")})
+
+    def noisy(share: float):
+        def score(df):
+            told = scoring.score_batches(df, lambda frame: share + frame["vec_id"] % 3 * 0.1, "share", "length")
+            return told.withColumn("predicted", F.transform("observed", lambda x, i: x * (1 - F.col("share")) + F.sin(i.cast("double")) * F.col("share")))
+
+        return score
+
+    found = jobs.evaluation_job(rows, noisy(0.5), noisy(0.2), sequence="vec_id", key="vec_id", observed="observed", predicted="predicted", seed=7, mask="valid")
+    old = found.select(F.lit("m").alias("model"), F.lit("test").alias("stage"), "metric", F.col("base").alias("value"))
+    manifest = jobs.evaluation_manifest(old, found, "m", "test").select("metric", F.col("value").alias("manifest"))
+    return found.join(manifest, "metric").withColumns({c: F.round(c, 5) for c in ("base", "candidate", "mean", "lowest", "highest", "above_90", "manifest")})

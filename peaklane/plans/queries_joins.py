@@ -82,6 +82,12 @@ def _(spark, t):
     return fl.ion_quality_flags(kinds, "kind", "l_linenumber", "l_discount", "l_extendedprice", min_b=2, min_y=3, min_correlation=0.03, min_mz=20000).groupBy("l_returnflag", "flag").agg(F.count("*").alias("n"))
 
 
+@query("f12_matched_ions", "SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) FILTER (WHERE l_quantity > 10) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE NOT (l_returnflag <> 'A' AND l_linenumber = 1)) WHERE n >= 2")
+def _(spark, t):
+    ions = t("lineitem").withColumns({"kind": F.when(F.col("l_returnflag") == "A", "b1").otherwise("y1"), "above": F.col("l_quantity") - 10})
+    return fl.min_matched_ions(fl.drop_y1(ions, "kind", "l_linenumber"), ["l_orderkey"], "above", 2).select("l_orderkey", "l_linenumber")
+
+
 @query("f13_base_peak_valid", "WITH x AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS f FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY q DESC, f) AS r FROM x) SELECT l_orderkey, f = 0 AND q > 0 AS valid FROM r WHERE r = 1")
 def _(spark, t):
     return fl.base_peak_valid(t("lineitem").withColumn("f", (F.col("l_discount") > 0.05).cast("int")), ["l_orderkey"], "l_quantity", "f")
@@ -164,7 +170,19 @@ SELECT r.grp, r.run, r.a, r.b, coalesce(x.v, 0) AS va, coalesce(y.v, 0) AS vb FR
 @query("j09_rank_pairs", f"SELECT grp, a, b, count(*) AS n_runs, round(sum(va), 2) AS va, round(sum(vb), 2) AS vb FROM ({_PAIRS}) GROUP BY grp, a, b")
 def _(spark, t):
     v = tb.values(t)
-    return jn.rank_pairs(v, v, "grp", "item", "run", "v").groupBy("grp", "a", "b").agg(F.count("*").alias("n_runs"), F.round(F.sum("va"), 2).alias("va"), F.round(F.sum("vb"), 2).alias("vb"))
+    total = lambda k: F.round(F.aggregate(F.transform("runs", lambda r: r[k]), F.lit(0.0), lambda s, x: s + x), 2)
+    pairs = jn.pair_runs(v, v, "grp", "item", "run", "v")
+    return pairs.select("grp", "a", "b", F.size("runs").cast("long").alias("n_runs"), total("va").alias("va"), total("vb").alias("vb"))
+
+
+@query("j09_rank_pairs_by_run", f"""WITH v AS ({tb.VALUES_SQL}), c AS (SELECT p_brand || '|' || p_type AS grp, p_partkey AS b FROM part WHERE p_size > 20 UNION SELECT grp, item FROM v),
+p AS (SELECT DISTINCT v.grp, v.item AS a, c.b FROM v JOIN c USING (grp) WHERE v.item <> c.b), r AS (SELECT DISTINCT p.grp, a, b, run FROM p JOIN v ON v.grp = p.grp AND v.item IN (a, b)),
+w AS (SELECT r.grp, r.run, coalesce(x.v, 0) AS va, coalesce(y.v, 0) AS vb FROM r LEFT JOIN v x ON x.grp = r.grp AND x.item = a AND x.run = r.run LEFT JOIN v y ON y.grp = r.grp AND y.item = b AND y.run = r.run)
+SELECT grp, run, count(*) AS n, round(sum(va), 2) AS va, round(sum(vb), 2) AS vb FROM w GROUP BY ALL""")
+def _(spark, t):
+    some = t("part").filter("p_size > 20").select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_partkey").alias("item"))  # undetected ones too
+    pairs = jn.rank_pairs(tb.values(t), some, "grp", "item", "run", "v")
+    return pairs.groupBy("grp", "run").agg(F.count("*").alias("n"), F.round(F.sum("va"), 2).alias("va"), F.round(F.sum("vb"), 2).alias("vb"))
 
 
 @query("j10_rank_pairs_single_run", f"""WITH v AS ({tb.VALUES_SQL}), c AS (SELECT DISTINCT p_brand || '|' || p_type AS grp, p_partkey AS item FROM part),

@@ -80,25 +80,41 @@ def _ions(df):
     return df.select("user_id", "ion", "best_ion", F.round("cor", 4).alias("cor"))
 
 
-@query("w08_best_ion")
+def _best_sql(rule: str) -> str:
+    """Every ion's correlation with the best ion of its user, ``best`` chosen by ``rule`` from x(user_id, i, score, skew)."""
+    return f"""WITH d AS ({tb.ION_SERIES_SQL}), w AS (SELECT user_id, ion, v AS a FROM d WHERE day = apex),
+c AS (SELECT x.user_id, x.ion AS i, y.ion AS j, CASE WHEN x.ion = y.ion THEN 1.0 ELSE greatest(CASE WHEN stddev_pop(x.v) > 0 AND stddev_pop(y.v) > 0 THEN corr(x.v, y.v) ELSE 0 END, 0) END AS cor
+FROM d x JOIN d y ON x.user_id = y.user_id AND x.day = y.day WHERE x.day BETWEEN x.lo AND x.hi GROUP BY x.user_id, x.ion, y.ion),
+s AS (SELECT c.user_id, i, round(CASE WHEN sum(a) <> 0 THEN sum(cor * a) / sum(a) END, 12) AS score FROM c JOIN w ON w.user_id = c.user_id AND w.ion = c.j GROUP BY c.user_id, i),
+e AS (SELECT user_id, ion, max(v) FILTER (WHERE day = lo) AS s, max(v) FILTER (WHERE day = hi) AS e, max(v) FILTER (WHERE day = apex) AS a FROM d GROUP BY user_id, ion),
+m AS (SELECT user_id, 1.5 * median(s) AS ms, 1.5 * median(e) AS me, max(a) AS top FROM e GROUP BY user_id),
+k AS (SELECT e.user_id, ion, (s > ms AND s > p * a)::INT + (e > me AND e > p * a)::INT AS skew FROM (SELECT e.*, ms, me, CASE WHEN a >= 0.5 * top THEN 0.10 ELSE 0.25 END AS p FROM e JOIN m USING (user_id)) e),
+x AS (SELECT s.user_id, i, score, skew FROM s JOIN k ON k.user_id = s.user_id AND k.ion = s.i), b AS (SELECT user_id, {rule} AS best_ion FROM x GROUP BY user_id)
+SELECT c.user_id, i AS ion, best_ion::INT AS best_ion, round(cor, 4) AS cor FROM c JOIN b ON b.user_id = c.user_id AND b.best_ion = c.j"""
+
+
+_FIRST = "coalesce((list(i ORDER BY score DESC, i) FILTER (WHERE {0}))[1], min(i))"
+
+
+@query("w08_best_ion", _best_sql(_FIRST.format("score IS NOT NULL")))
 def _(spark, t):
-    return _ions(sg.best_ion(tb.ion_series(t), ["user_id"], "ion", "values", "left", "right", "apex"))
+    return _ions(sg.best_ion(tb.plain_ion_series(t), ["user_id"], "ion", "values", "left", "right", "apex"))
 
 
-@query("w09_best_ion_without_skew")
+@query("w09_best_ion_without_skew", _best_sql(_FIRST.format("score IS NOT NULL AND skew = 0")))
 def _(spark, t):
-    return _ions(sg.best_ion(tb.ion_series(t), ["user_id"], "ion", "values", "left", "right", "apex", skew=True))
+    return _ions(sg.best_ion(tb.plain_ion_series(t), ["user_id"], "ion", "values", "left", "right", "apex", skew=True))
 
 
-@query("w10_chosen_ion")
+@query("w10_chosen_ion", _best_sql("any_value(user_id % 5)"))
 def _(spark, t):
-    ions = tb.ion_series(t).withColumn("chosen", (F.col("user_id") % 5).cast("int"))
+    ions = tb.plain_ion_series(t).withColumn("chosen", (F.col("user_id") % 5).cast("int"))
     return _ions(sg.best_ion(ions, ["user_id"], "ion", "values", "left", "right", "apex", chosen="chosen"))
 
 
 @query("w11_refine_peak")
 def _(spark, t):
-    ions = tb.ion_series(t).withColumns({"left": F.lit(5), "right": F.lit(20), "cor": F.lit(1.0)})
+    ions = tb.ion_series(t).withColumn("cor", F.when((F.col("user_id") % 3 == 0) & (F.col("ion") > 1), 0.5).otherwise(1.0))
     return sg.refine_peak(ions, ["user_id"], "values", "left", "right", "cor").withColumn("min_smoothed", F.round("min_smoothed", 2))
 
 

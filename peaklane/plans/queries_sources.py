@@ -39,7 +39,7 @@ _LIB = """SELECT 'PEP' || translate(l_orderkey::VARCHAR, '0123456789', 'ACDEFGHI
 @query("s01_read_fasta", f"SELECT 'doc' || doc_id AS accession, length(seq) AS n, md5(seq) AS digest FROM ({tb.PROTEINS_SQL})")
 def _(spark, t):
     path = _scratch(spark)
-    lines = tb.proteins(t).select(F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" a record\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    lines = tb.proteins(t).select(F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" a 3'->5' record\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
     lines.write.text(path)
     return io.read_fasta(spark, path).select("accession", F.length("sequence").alias("n"), F.md5("sequence").alias("digest"))
 
@@ -92,6 +92,13 @@ def _(spark, t):
     return io.first_by(t("part").select(F.col("p_name").alias("peptide"), F.col("p_brand").alias("proteins"), "p_partkey"), "peptide", "proteins", "p_partkey")
 
 
+@query("s08_read_peptide_index", "SELECT p_name AS peptide, arg_min(p_brand, p_partkey) AS proteins FROM part GROUP BY p_name")
+def _(spark, t):
+    path = _scratch(spark)
+    t("part").select("p_name", "p_brand", "p_partkey").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey").write.option("sep", "\t").option("header", True).csv(path)
+    return io.read_peptide_index(spark, path)
+
+
 @query("s09_write_library", f"SELECT pep AS ModifiedPeptide, number AS FragmentNumber, i::FLOAT AS RelativeIntensity, printf('%.4f', i) AS shown FROM ({_LIB})")
 def _(spark, t):
     path = _scratch(spark)
@@ -105,13 +112,28 @@ def _(spark, t):
 @query("s10_library_tables", f"SELECT pep AS peptideModSeq, count(*) AS numPeaks, 2 AS ionMobilityType, count(*) AS n_annotations, round(sum(i), 2) AS total FROM ({_LIB}) GROUP BY pep")
 def _(spark, t):
     path = _scratch(spark)
-    io.write_library_tables({k: v for k, v in io.to_library_tables(_library(t)).items() if k.startswith("RefSpectra")}, path)
+    io.write_library_tables(_library(t), path)
     read = lambda n: spark.read.parquet(f"{path}/{n}")
     notes = read("RefSpectraPeakAnnotations").groupBy("RefSpectraID").agg(F.count("*").alias("n_annotations"))
     peaks = read("RefSpectraPeaks").select("RefSpectraID", F.round(F.aggregate("peakIntensity", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
     return read("RefSpectra").select("RefSpectraID", "peptideModSeq", "numPeaks", "ionMobilityType").join(notes, "RefSpectraID").join(peaks, "RefSpectraID").drop("RefSpectraID")
 
 
+@query("s10_library_side_tables", f"""WITH l AS (SELECT pep FROM ({_LIB}) GROUP BY pep) SELECT 'LibInfo' AS name, 1 AS n, count(*)::VARCHAR AS told FROM l
+UNION ALL SELECT 'RetentionTimes', count(*), '1' FROM l UNION ALL SELECT 'Modifications', count(*), 'Oxidation' FROM l
+UNION ALL SELECT * FROM (VALUES ('SpectrumSourceFiles', 1, 'own'), ('IonMobilityTypes', 4, 'none'), ('ScoreTypes', 1, 'UNKNOWN'))""")
+def _(spark, t):
+    path = _scratch(spark)
+    modified = _library(t).withColumn("ModifiedPeptide", F.concat(F.lit("P[Oxidation]"), F.substring("ModifiedPeptide", 2, 1000)))
+    io.write_library_tables(modified, path, "own")
+    read = lambda n, told: spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n"), F.min(told).cast("string").alias("told")).select(F.lit(n).alias("name"), "n", "told")
+    tables = [read("LibInfo", "numSpecs"), read("RetentionTimes", "bestSpectrum"), read("Modifications", "mass"), read("SpectrumSourceFiles", "fileName"), read("ScoreTypes", "scoreType")]
+    first = read("IonMobilityTypes", F.expr("CASE WHEN id = 0 THEN ionMobilityType END"))
+    for table in tables:
+        first = first.unionByName(table)
+    return first
+
+
 @query("s11_export_mgf", f"""SELECT user_id, 3 + 1 + count(*) FILTER (WHERE v > 1e-12) + 1 AS n_lines FROM ({tb.DAILY_SQL}) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id""")
 def _(spark, t):
     scans = tb.series(t).withColumn("mz", F.transform("values", lambda x, i: i)).withColumn("pm", F.lit(500.5))
@@ -141,14 +163,20 @@ def _(spark, t):
     return spark.read.option("sep", "\t").option("header", True).schema("p_brand string, p_type string, p_partkey long").csv(path)
 
 
+@query("s14_write_filtered_intensities", f"SELECT grp, item, run, v FROM ({tb.VALUES_SQL})")
+def _(spark, t):
+    path = _scratch(spark)
+    rows = tb.report(t).filter("q1 <= 0.05").withColumn("v", F.round("v", 2))
+    io.write_filtered_intensities(rows, path, group="grp", item="item", run="run", value="v")
+    return spark.read.option("sep", "\t").option("header", True).schema("grp string, item long, run int, v double").csv(path)
+
+
 @query("s15_run_meta", f"SELECT event_type, count(*) AS n, max(sec) AS last FROM ({tb.EVENTS_SQL}) GROUP BY event_type")
 def _(spark, t):
     meta = tb.events(t).groupBy("event_type").agg(F.count("*").alias("n"), F.max("sec").alias("last"))
-    text = io.run_meta_json(meta, "event_type")
     path = _scratch(spark)
-    io.write_run_meta(meta, path)
-    back = text.select(F.explode(F.from_json("meta", "map<string,struct<n:long,last:long>>")).alias("event_type", "v")).select("event_type", "v.n", "v.last")
-    return back.join(spark.read.schema("event_type string, n long, last long").json(path), ["event_type", "n", "last"])
+    io.write_run_meta(meta, "event_type", path)
+    return io.read_run_meta(spark, path, "event_type", "n long, last long")
 
 
 @query("s16_merge_metrics", """SELECT coalesce(a.model, b.model) AS model, 's' AS stage, coalesce(a.metric, b.metric) AS metric, CASE WHEN b.model IS NOT NULL THEN CASE WHEN b.metric = 'click' THEN NULL ELSE b.v END ELSE a.v END AS value

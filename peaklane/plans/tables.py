@@ -70,6 +70,20 @@ def ion_series(t) -> DataFrame:
     return ions.join(middle, "user_id")
 
 
+#: The same users and ions with plain bounds: five days on either side of the day of the user's greatest sum.
+ION_SERIES_SQL = f"""SELECT k.user_id, ion, r.day, coalesce(s.v, 0.0) AS v, apex, greatest(apex - 5, 0) AS lo, least(apex + 5, 29) AS hi
+FROM (SELECT DISTINCT user_id, event_type, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS ion FROM events) k CROSS JOIN (SELECT unnest(range(0, 30)) AS day) r
+LEFT JOIN (SELECT user_id, event_type, sec // 86400 AS day, round(sum(value), 2) AS v FROM ({EVENTS_SQL}) GROUP BY ALL) s ON s.user_id = k.user_id AND s.event_type = k.event_type AND s.day = r.day
+JOIN (SELECT user_id, min(day) FILTER (WHERE v = top) AS apex FROM (SELECT *, max(v) OVER (PARTITION BY user_id) AS top FROM ({DAILY_SQL})) GROUP BY user_id) a ON a.user_id = k.user_id"""
+
+
+def plain_ion_series(t) -> DataFrame:
+    order = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    ions = series(t, "user_id", "event_type").withColumn("ion", (F.array_position(order, F.col("event_type")) - 1).cast("int")).drop("event_type")
+    top = series(t).select("user_id", (F.array_position("values", F.array_max("values")) - 1).cast("int").alias("apex"))
+    return ions.join(top, "user_id").withColumns({"left": F.greatest(F.col("apex") - 5, F.lit(0)), "right": F.least(F.col("apex") + 5, F.lit(29))})
+
+
 PROTEINS_SQL = "SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents"
 
 

@@ -23,15 +23,16 @@ PROFILES = {
 
 
 def parse_fasta(records: DataFrame, record: str = "value") -> DataFrame:
-    """(accession, header, sequence) of text records that begin after ``>``."""
-    body = F.regexp_replace(F.col(record), "\r", "")
+    """(accession, header, sequence) of text records, with or without the ``>`` that begins them."""
+    body = F.regexp_replace(F.regexp_replace(F.col(record), "\r", ""), r"^\s*>", "")
     header = F.split_part(body, F.lit("\n"), F.lit(1))
     sequence = F.regexp_replace(F.when(F.instr(body, "\n") > 0, body.substr(F.instr(body, "\n") + 1, F.length(body))).otherwise(""), r"\s", "")
     return records.filter(F.trim(record) != "").select(F.regexp_extract(header, r"^(\S*)", 1).alias("accession"), header.alias("header"), sequence.alias("sequence"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return parse_fasta(spark.read.option("lineSep", ">").text(path))
+    """Records begin with ``>`` at the start of a line; inside a header it is an ordinary character."""
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
 
 
 def read_report(spark: SparkSession, path: str, *, columns: list[str] | None = None, schema=None) -> DataFrame:
@@ -80,9 +81,11 @@ def first_by(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 
 def read_peptide_index(spark: SparkSession, path: str) -> DataFrame:
-    """(peptide, proteins): of a peptide that stands twice the first row of the file counts."""
-    df = spark.read.option("sep", "\t").option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
-    return first_by(df, df.columns[0], df.columns[1], "_line").toDF("peptide", "proteins")
+    """(peptide, proteins): of a peptide that stands twice the first row counts, in the order of file names, blocks of a file
+    and rows."""
+    df = spark.read.option("sep", "\t").option("header", True).csv(path)
+    line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return first_by(df.withColumn("_line", line), df.columns[0], df.columns[1], "_line").toDF("peptide", "proteins")
 
 
 #: Columns of the flat library, in order, and whether text shows them with a fixed number of decimals.
@@ -111,11 +114,19 @@ def dense_ids(df: DataFrame, key: list[str], out: str = "id", slots: int = 1024)
     return keys.withColumn("_i", number).join(F.broadcast(offsets.select("_slot", "_b")), "_slot").select(*key, (F.col("_b") + F.col("_i")).alias(out))
 
 
-def to_library_tables(lib: DataFrame, source: str = "library") -> dict[str, DataFrame]:
-    """The flat library as related tables with a surrogate spectrum id."""
-    spark = lib.sparkSession
+def keyed_library(lib: DataFrame) -> DataFrame:
+    """The flat library with a surrogate spectrum id."""
     key = ["ModifiedPeptide", "PrecursorCharge"]
-    rows = lib.join(dense_ids(lib, key, "RefSpectraID"), key)
+    return lib.join(dense_ids(lib, key, "RefSpectraID"), key)
+
+
+def to_library_tables(lib: DataFrame, source: str = "library") -> dict[str, DataFrame]:
+    """The flat library as related tables."""
+    return _tables(keyed_library(lib), source)
+
+
+def _tables(rows: DataFrame, source: str) -> dict[str, DataFrame]:
+    spark = rows.sparkSession
     spectra = rows.groupBy("RefSpectraID").agg(F.first("StrippedPeptide").alias("peptideSeq"), F.first("ModifiedPeptide").alias("peptideModSeq"), F.first("PrecursorMz").alias("precursorMZ"), F.first("PrecursorCharge").alias("precursorCharge"), F.count("*").alias("numPeaks"), F.first("IonMobility").alias("ionMobility"), F.first("Tr_recalibrated").alias("retentionTime"), F.first("ProteinID").alias("protein"))
     spectra = spectra.withColumn("ionMobilityType", F.when(F.col("ionMobility").isNull(), 0).otherwise(2)).withColumn("collisionalCrossSectionSqA", F.lit(None).cast("double")).withColumn("fileID", F.lit(1))
     peaks = rows.groupBy("RefSpectraID").agg(F.array_sort(F.collect_list(F.struct(F.col("FragmentMz").alias("mz"), F.col("RelativeIntensity").alias("intensity")))).alias("_p")).select("RefSpectraID", F.col("_p.mz").alias("peakMZ"), F.col("_p.intensity").alias("peakIntensity"))
@@ -138,8 +149,10 @@ def to_library_tables(lib: DataFrame, source: str = "library") -> dict[str, Data
     }
 
 
-def write_library_tables(tables: dict[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
+def write_library_tables(lib: DataFrame, path: str, source: str = "library") -> None:
+    """All tables of the library; its keyed rows are written once, beside them, and every table is made from that."""
+    keyed_library(lib).write.mode("overwrite").parquet(f"{path}/_keyed")
+    for name, df in _tables(lib.sparkSession.read.parquet(f"{path}/_keyed"), source).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -185,15 +198,26 @@ def write_pairs(df: DataFrame, path: str) -> None:
 write_consensus = write_pairs
 
 
+def write_filtered_intensities(df: DataFrame, path: str, *, group: str, item: str, run: str, value: str) -> None:
+    """The rows that passed the filters, one for each group, item and run with its greatest value."""
+    write_pairs(df.groupBy(group, item, run).agg(F.max(value).alias(value)), path)
+
+
 def run_meta_json(df: DataFrame, run: str) -> DataFrame:
-    """One row: a JSON object from run to its values."""
+    """(run, meta): for each run a JSON object from its name to its values; readers merge them."""
     rest = [c for c in df.columns if c != run]
-    return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(run).alias("k"), F.struct(*rest).alias("v")))))).alias("meta"))
+    return df.select(run, F.to_json(F.create_map(F.col(run), F.struct(*rest))).alias("meta"))
+
+
+def write_run_meta(df: DataFrame, run: str, path: str) -> None:
+    """One JSON object a run and line."""
+    run_meta_json(df, run).select("meta").write.mode("overwrite").text(path)
 
 
-def write_run_meta(df: DataFrame, path: str) -> None:
-    """One JSON object a run."""
-    df.write.mode("overwrite").json(path)
+def read_run_meta(spark: SparkSession, path: str, run: str, values: str) -> DataFrame:
+    """The runs and their values (a DDL schema) again."""
+    lines = spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,struct<{values}>>")).alias(run, "_v"))
+    return lines.select(run, "_v.*")
 
 
 def merge_metrics(old: DataFrame, new: DataFrame, key: tuple = ("model", "stage", "metric"), value: str = "value") -> DataFrame:

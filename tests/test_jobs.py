@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,46 @@ def test_library_tables(spark):
 def test_melt_rejects_unknown_names(spark):
     with pytest.raises(ValueError):
         gen.melt_fragments(spark.range(1).withColumn("q_z1", F.lit(1.0)), ["id"], ["q_z1"])
+
+
+def test_fasta_headers_may_hold_the_sign_that_begins_records(spark, tmp_path):
+    text = ">sp|A|B 3'->5' exonuclease\r\nMKV\r\nLL\r\n>x second > more\nAC\n\n>y\n"
+    (tmp_path / "a.fasta").write_bytes(text.encode())
+    got = sorted(tuple(r) for r in io.read_fasta(spark, str(tmp_path / "a.fasta")).collect())
+    assert got == [("sp|A|B", "sp|A|B 3'->5' exonuclease", "MKVLL"), ("x", "x second > more", "AC"), ("y", "y", "")]
+
+
+def test_peptide_index_goes_by_file_and_row(spark, tmp_path):
+    for k, rows in enumerate([["B\t2", "A\t1"], ["A\t3", "C\t4", "C\t5"]]):
+        (tmp_path / f"part-{k}.tsv").write_text("peptide\tproteins\n" + "\n".join(rows) + "\n")
+    assert sorted(tuple(r) for r in io.read_peptide_index(spark, str(tmp_path)).collect()) == [("A", "1"), ("B", "2"), ("C", "4")]
+
+
+def test_pair_runs_agree_with_rank_pairs_and_votes(spark):
+    rng = random.Random(3)
+    rows = [(g, i, r, float(rng.randrange(4))) for g in "xyz" for i in range(5) for r in range(4) if rng.random() < 0.6]
+    values = spark.createDataFrame([*rows, rows[0]], "g string, i int, r int, v double")
+    others = spark.createDataFrame([(g, i) for g in "xy" for i in range(3, 8)], "g string, i int")
+    best = {}
+    for g, i, r, v in rows:
+        best[g, i, r] = max(v, best.get((g, i, r), 0.0))
+    detected = {(g, i) for g, i, _, _ in rows}
+    partners = detected | {(g, i) for g in "xy" for i in range(3, 8)}
+    want = {(g, r, a, b, best.get((g, a, r), 0.0), best.get((g, b, r), 0.0)) for g, a in detected for h, b in partners if g == h and a != b for r in range(4) if (g, a, r) in best or (g, b, r) in best}
+    long = jn.rank_pairs(values, others, "g", "i", "r", "v")
+    assert {tuple(r) for r in long.select("g", "r", "a", "b", "va", "vb").collect()} == want and long.count() == len(want)
+    names = ["g", "a", "b", "n_pos", "n_neg", "a_detected", "b_detected", "both_detected"]
+    votes = ag.vote_runs(jn.pair_runs(values, others, "g", "i", "r", "v"))
+    # an undetected partner without values has a row too, with the other item's runs
+    assert sorted(map(tuple, votes.select(names).collect())) == sorted(map(tuple, ag.vote(long, ["g"]).select(names).collect()))
+
+
+def test_chromatogram_job_finds_a_peak(spark):
+    """Four ions rise and fall together around scan 10, one is noise on the other side."""
+    shape = [max(0.0, 8.0 - 2.0 * abs(k - 10)) for k in range(21)]
+    rows = [("w", k, k * 0.1, [100.0 + j for j in range(5)], [float(v * (j + 1)) + 0.5 for j in range(4)] + [9.0 - v]) for k, v in enumerate(shape)]
+    scans = spark.createDataFrame(rows, "window string, scan int, rt double, mz_values array<double>, intensities array<double>")
+    targets = spark.createDataFrame([("w", 1, j, 100.0 + j, 1.0) for j in range(5)], "window string, match int, ion int, target_mz double, target_rt double")
+    got = jobs.chromatogram_job(scans, targets, window=["window"], scan="scan", time="rt", fraction=0.0, tolerance=10, rt_window=5.0).collect()
+    assert {r.ion for r in got} == set(range(5)) and {(r.apex, r.left < 10 < r.right) for r in got} == {(10, True)}
+    assert all(r.best_ion < 4 for r in got) and all((r.cor > 0.99) == (r.ion < 4) for r in got)

@@ -65,11 +65,14 @@ def test_best_ion_against_numpy(spark):
             assert got[m, i][0] == best and abs(got[m, i][1] - cor[best, i]) < 1e-9
 
 
-def test_refine_needs_scans_and_ions(spark):
+def test_refine_keeps_the_old_peak_where_it_refuses(spark):
     v = [0.0, 1.0, 4.0, 9.0, 4.0, 1.0, 0.0]
-    rows = [(1, i, v, 0, 6, 0.9) for i in range(3)] + [(2, i, v, 0, 6, 0.9) for i in range(2)] + [(3, i, v, 0, 3, 0.9) for i in range(3)]
-    ions = spark.createDataFrame(rows, "m int, ion int, v array<double>, s int, e int, c double")
-    assert [tuple(r) for r in sg.refine_peak(ions, ["m"], "v", "s", "e", "c").collect()] == [(1, 3, 0, 6, 0.0)]
+    flat = [0.0] * 7  # its refined peak is a single scan
+    rows = [(1, i, v, 0, 6, 0.9) for i in range(3)] + [(2, i, v, 0, 6, 0.9) for i in range(2)] + [(2, 3, v, 0, 6, 0.1)] + [(3, i, v, 0, 3, 0.9) for i in range(3)] + [(4, i, flat, 1, 6, 0.9) for i in range(3)]
+    ions = spark.createDataFrame([(*r, 2, 0.5) for r in rows], "m int, ion int, v array<double>, s int, e int, c double, apex int, min_smoothed double")
+    got = sorted(tuple(r) for r in sg.refine_peak(ions, ["m"], "v", "s", "e", "c").collect())
+    _, left, right, _ = peak(flat[1:])
+    assert right - left < 1 and got == [(1, 3, 0, 6, 0.0, True), (2, 2, 0, 6, 0.5, False), (3, 2, 0, 3, 0.5, False), (4, 2, 1, 6, 0.5, False)]
 
 
 def test_smoothing_arrays_and_rows_agree(spark):

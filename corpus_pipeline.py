@@ -18,8 +18,9 @@ from peaklane.llm.scratch import written
 from peaklane.llm.substring_dedup import substring_dedup
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep. Null and empty texts go, since they have too few words."""
-    return keep_good(docs)
+    """The documents that the quality rules keep. Short texts are not judged by their length, and by their histograms only
+    from the guards on; null and empty texts go."""
+    return keep_good(docs, min_words=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,13 +98,14 @@ def fragments(df: DataFrame, sequence: str, charge: str, losses: tuple = (), *,
     precursor's with ``below``), ``loss`` and ``frag_mz``. Unknown residues weigh nothing."""
     table = F.create_map(*[F.lit(x) for pair in RESIDUE_MASS.items() for x in pair])
     weights = F.transform(residues(F.col(sequence)), lambda r: F.coalesce(table[r], F.lit(0.0)))
-    rows = df.withColumn("_w", weights).withColumn("_n", F.size("_w"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # one running sum a sequence; an ion's mass is the difference of two of its places
+    sums = F.aggregate(weights, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    rows = df.withColumn("_w", sums).withColumn("_n", F.size("_w") - 1)
     sides = F.array(*[F.struct(F.lit(ion).alias("ion"), F.lit(extra).alias("extra")) for ion, extra in (("b", 0.0), ("y", WATER))])
     rows = rows.withColumn("_side", F.explode(sides)).withColumn("number", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n") - 1, F.lit(1))))).filter("number < _n")
-    part = F.when(F.col("_side.ion") == "b", F.slice("_w", F.lit(1), F.col("number"))).otherwise(F.slice("_w", F.col("_n") - F.col("number") + 1, F.col("number")))
+    part = F.when(F.col("_side.ion") == "b", F.get("_w", "number")).otherwise(F.get("_w", "_n") - F.get("_w", F.col("_n") - F.col("number")))
     top = F.least(F.col(charge) - (1 if below else 0), F.lit(max_charge))
-    rows = rows.withColumn("_m", total(part) + F.col("_side.extra")).filter(top >= 1).withColumn("frag_charge", F.explode(F.sequence(F.lit(1), top)))
+    rows = rows.withColumn("_m", part + F.col("_side.extra")).filter(top >= 1).withColumn("frag_charge", F.explode(F.sequence(F.lit(1), top)))
     lost = F.array(*[F.struct(F.lit(n).alias("loss"), F.lit(m).alias("mass")) for n, m in (("", 0.0), *[(n, LOSSES[n]) for n in losses])])
     rows = rows.withColumn("_l", F.explode(lost))
     return rows.select(*df.columns, F.col("_side.ion").alias("ion"), "number", "frag_charge", F.col("_l.loss").alias("loss"), ((F.col("_m") - F.col("_l.mass")) / F.col("frag_charge") + PROTON).alias("frag_mz"))

@@ -142,19 +142,23 @@ def rt_window_join(matches: DataFrame, scans: DataFrame, time: str, scan_time: s
     return spread.join(placed, [*by, "_bin"]).filter(F.abs(F.col(scan_time) - center) <= window).drop("_bin")
 
 
-def shared_peaks(df: DataFrame, key: str, peak: list[str], start: str, end: str) -> DataFrame:
-    """(key, n_shared): with how many other matches a match shares a peak while their time ranges overlap."""
-    a = df.select(*peak, F.col(key).alias("a"), F.col(start).alias("sa"), F.col(end).alias("ea"))
-    b = df.select(*peak, F.col(key).alias("b"), F.col(start).alias("sb"), F.col(end).alias("eb"))
-    pairs = a.join(b, peak).filter((F.col("a") != F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea"))).select("a", "b").distinct()
+def shared_peaks(df: DataFrame, key: str, peak: list[str], start: str, end: str, *, width: float) -> DataFrame:
+    """(key, n_shared): with how many other matches a match shares a peak while their time ranges overlap. Ranges meet in
+    time bins (``width`` wide, best about that of a range) and only in the bin where the later one begins, so a peak of
+    many matches costs the pairs that do overlap."""
+    a = df.select(*peak, F.col(key).alias("a"), F.col(start).alias("sa"), F.col(end).alias("ea")).distinct().withColumn("_bin", _bins(F.col("sa"), F.col("ea"), width))
+    b = a.withColumnsRenamed({"a": "b", "sa": "sb", "ea": "eb"})
+    later = F.floor(F.greatest("sa", "sb") / width)
+    pairs = a.join(b, [*peak, "_bin"]).filter((F.col("a") != F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) & (F.col("_bin") == later)).select("a", "b").distinct()
     counted = pairs.groupBy(F.col("a").alias(key)).agg(F.count("*").alias("n_shared"))
     return df.select(key).distinct().join(counted, key, "left").na.fill(0, ["n_shared"])
 
 
-def grid_search(df: DataFrame, grid: DataFrame, key: list[str], score: Callable[[], Column], parameters: list[str]) -> DataFrame:
-    """For each key the grid point with the best mean score; of equal ones the smallest parameters. The grid is a
-    parameter list, broadcast, and rows are scored before one aggregate."""
-    scored = df.crossJoin(F.broadcast(grid)).withColumn("_s", score())
+def grid_search(df: DataFrame, grid: DataFrame, key: list[str], score: Callable[[], Column], parameters: list[str], *, most: int = 100_000) -> DataFrame:
+    """For each key the grid point with the best mean score; of equal ones the smallest parameters. Every row is scored at
+    every point before one aggregate. The grid is counted, and broadcast up to ``most`` points; beyond that Spark chooses."""
+    few = grid.limit(most + 1).count() <= most
+    scored = df.crossJoin(F.broadcast(grid) if few else grid).withColumn("_s", score())
     means = scored.groupBy(*key, *parameters).agg(F.avg("_s").alias("score"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), *parameters))
     return means.withColumn("_r", rank).filter("_r = 1").drop("_r")

@@ -239,7 +239,7 @@ SELECT d.k, coalesce(n, 0) AS n_shared FROM (SELECT DISTINCT k FROM x) d LEFT JO
 def _(spark, t):
     day = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
     x = t("lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p"), day.alias("s"), (day + 10).alias("e"))
-    return jn.shared_peaks(x, "k", ["p"], "s", "e")
+    return jn.shared_peaks(x, "k", ["p"], "s", "e", width=10)
 
 
 @query("j17_grid_search", """WITH g AS (SELECT a, b FROM (VALUES (1), (2), (3)) t(a), (VALUES (0), (500)) u(b)), m AS (SELECT l_suppkey, a, b, avg(-abs(l_extendedprice - a * 1000 * l_quantity - b)) AS score FROM lineitem, g GROUP BY ALL),

@@ -105,9 +105,12 @@ def write_library(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         library_text(df).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def dense_ids(df: DataFrame, key: list[str], out: str = "id", slots: int = 1024) -> DataFrame:
-    """(key, out): numbers from 1 without gaps for the distinct keys, by hash slots and the counts before them."""
-    keys = df.select(*key).distinct().withColumn("_slot", F.pmod(F.xxhash64(*key), F.lit(slots)))
+def dense_ids(df: DataFrame, key: list[str], out: str = "id", slot_rows: int = 1_000_000) -> DataFrame:
+    """(key, out): numbers from 1 without gaps for the distinct keys, by hash slots of some ``slot_rows`` keys (1,024 slots
+    at least) and the counts before them."""
+    keys = df.select(*key).distinct()
+    slots = F.broadcast(keys.agg(F.greatest(F.lit(1024), F.ceil(F.count("*") / slot_rows)).alias("_slots")))  # one row
+    keys = keys.crossJoin(slots).withColumn("_slot", F.pmod(F.xxhash64(*key), F.col("_slots"))).drop("_slots")
     before = F.sum("_c").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))  # slots rows
     offsets = keys.groupBy("_slot").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(before, F.lit(0)))
     number = F.row_number().over(Window.partitionBy("_slot").orderBy(*key))

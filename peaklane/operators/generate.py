@@ -43,7 +43,8 @@ def digest(proteins: DataFrame, key: list[str], sequence: str, enzyme: str | int
 
         # bound once: the pieces must not be cut again for each of them
         cut = proteins.select(*key, s.alias("_s")).select(*key, F.element_at(F.transform(F.array(pieces), runs), 1).alias("_p"))
-    rows = cut.select(*key, F.explode("_p").alias("_q")).select(*key, "_q.peptide", "_q.n_term")
+    # the outer form: before a plain explode Spark would test the list for rows, which cuts the sequence again
+    rows = cut.select(*key, F.explode_outer("_p").alias("_q")).select(*key, "_q.peptide", "_q.n_term")
     if clip_m:
         both = F.when(F.col("n_term") & F.col("peptide").startswith("M") & (F.length("peptide") >= min_len + 1), F.array("peptide", F.col("peptide").substr(F.lit(2), F.length("peptide")))).otherwise(F.array("peptide"))
         rows = rows.select(*key, "n_term", F.explode(F.array_distinct(both)).alias("peptide"))
@@ -84,7 +85,7 @@ def expand_isoforms(df: DataFrame, sequence: str, n_term: str, variable: list[tu
     for _ in range(k):  # each round adds one modification at a later place and another site
         grow = lambda s: F.transform(F.filter(F.transform("_all", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: (z["i"] >= s.upto) & (z["x"]["site"] > s.site)), lambda z: F.struct(F.concat(s.m, F.array(z["x"])).alias("m"), (z["i"] + 1).alias("upto"), z["x"]["site"].alias("site")))
         rows = rows.withColumn("_level", F.flatten(F.transform("_level", grow))).withColumn("_sets", F.concat("_sets", F.transform("_level", lambda s: s.m)))
-    rows = rows.withColumn("_set", F.explode("_sets"))
+    rows = rows.withColumn("_set", F.explode_outer("_sets"))  # never empty
     free = F.filter("_fixed", lambda f: ~F.exists("_set", lambda v: v["site"] == f["site"]))
     return rows.withColumn("mods", F.array_sort(F.concat("_set", free))).drop("_all", "_fixed", "_level", "_sets", "_set")
 
@@ -102,7 +103,7 @@ def fragments(df: DataFrame, sequence: str, charge: str, losses: tuple = (), *,
     sums = F.aggregate(weights, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
     rows = df.withColumn("_w", sums).withColumn("_n", F.size("_w") - 1)
     sides = F.array(*[F.struct(F.lit(ion).alias("ion"), F.lit(extra).alias("extra")) for ion, extra in (("b", 0.0), ("y", WATER))])
-    rows = rows.withColumn("_side", F.explode(sides)).withColumn("number", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n") - 1, F.lit(1))))).filter("number < _n")
+    rows = rows.withColumn("_side", F.explode(sides)).withColumn("number", F.explode_outer(F.when(F.col("_n") > 1, F.sequence(F.lit(1), F.col("_n") - 1)))).filter("number IS NOT NULL")
     part = F.when(F.col("_side.ion") == "b", F.get("_w", "number")).otherwise(F.get("_w", "_n") - F.get("_w", F.col("_n") - F.col("number")))
     top = F.least(F.col(charge) - (1 if below else 0), F.lit(max_charge))
     rows = rows.withColumn("_m", part + F.col("_side.extra")).filter(top >= 1).withColumn("frag_charge", F.explode(F.sequence(F.lit(1), top)))

@@ -92,7 +92,8 @@ def pair_runs(values: DataFrame, candidates: DataFrame, group: str, item: str, r
 
 def rank_pairs(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:
     """(group, run, a, b, va, vb): ``pair_runs`` with one row a run."""
-    rows = pair_runs(values, candidates, group, item, run, value).select(group, "a", "b", F.explode("runs").alias("_r"))
+    # no list of runs is empty; the outer form keeps Spark from making each list twice to test that
+    rows = pair_runs(values, candidates, group, item, run, value).select(group, "a", "b", F.explode_outer("runs").alias("_r"))
     return rows.select(group, f"_r.{run}", "a", "b", "_r.va", "_r.vb")
 
 

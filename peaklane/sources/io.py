@@ -138,7 +138,7 @@ def _tables(rows: DataFrame, source: str) -> dict[str, DataFrame]:
     found = F.regexp_extract_all("peptideModSeq", F.lit(r"[A-Z]|\[[^\]]*\]"), F.lit(0))
     step = lambda a, x: F.struct(F.when(x.startswith("["), a.n).otherwise(a.n + 1).alias("n"), F.when(x.startswith("["), F.concat(a.out, F.array(F.struct(a.n.alias("position"), F.regexp_replace(x, r"[\[\]]", "").alias("mass"))))).otherwise(a.out).alias("out"))
     mods = F.aggregate(found, F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<position:int,mass:string>>").alias("out")), step, lambda a: a.out)
-    modifications = spectra.select("RefSpectraID", F.explode(mods).alias("m")).select("RefSpectraID", "m.position", "m.mass")
+    modifications = spectra.select("RefSpectraID", F.explode_outer(mods).alias("m")).filter("m IS NOT NULL").select("RefSpectraID", "m.position", "m.mass")
     return {
         "LibInfo": spectra.agg(F.lit(source).alias("libLSID"), F.count("*").alias("numSpecs")),
         "SpectrumSourceFiles": spark.createDataFrame([(1, source)], "id int, fileName string"),

@@ -49,7 +49,10 @@ def smooth(df: DataFrame, key: list[str], order: str, value: str, n: int, out: s
 
 def smooth_array(values: str, n: int) -> Column:
     """The same on an array column."""
-    v = F.col(values)
+    return _let(F.col(values), lambda v: _smoothed(v, n))
+
+
+def _smoothed(v: Column, n: int) -> Column:
     at = lambda i: F.get(v, i)
     if n == 3:
         three = lambda x, i: F.when(at(i - 1).isNull() & at(i + 1).isNull(), x).when(at(i - 1).isNull(), x * 2 / 3 + at(i + 1) / 3).when(at(i + 1).isNull(), x * 2 / 3 + at(i - 1) / 3).otherwise(at(i - 1) / 4 + x / 2 + at(i + 1) / 4)

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from peaklane.llm import chat, pieces, token_files
 from peaklane.llm.decontamination import decontaminate
+from peaklane.llm.lexical import lexical_search
 from peaklane.llm.licenses import license_scan
+from peaklane.llm.merkle import lower_where, merkle_manifest
 from peaklane.llm.near_dedup import near_duplicates
 from peaklane.llm.quality import quality_rules
 from peaklane.llm.sharding import assign_shards
 from peaklane.llm.sql import SQL
 from peaklane.llm.substring_dedup import substring_dedup
 from peaklane.llm.toxicity import toxicity, train
+from peaklane.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +101,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-_QUERIES = [op1_sharding, op2_toxicity, op3_substring_dedup, op4_license_scan, op5_token_files, op6_near_dedup, op7_quality_rules, op8_chat_format, op9_decontamination, op10_sentencepiece]
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle_manifest(docs, changed=lower_where(F.col("text"), _fold("doc_id") == 0)).drop("n_siblings")
+
+
+#: The rules of the contract: text and action.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("action")) for r, a in RULES])
+    rules = spark.range(1).select(F.inline(listed))
+    return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+_QUERIES = [op1_sharding, op2_toxicity, op3_substring_dedup, op4_license_scan, op5_token_files, op6_near_dedup, op7_quality_rules, op8_chat_format, op9_decontamination, op10_sentencepiece, op11_lexical_search, op12_merkle_manifest, op13_url_filter]
 
 
 def queries() -> dict:

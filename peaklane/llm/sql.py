@@ -90,4 +90,70 @@ SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS
 FROM a
 """
 
-SQL = {"op3_substring_dedup": _OP3, "op6_near_dedup": _OP6, "op7_quality_rules": _OP7, "op8_chat_format": _OP8, "op9_decontamination": _OP9}
+_OP11 = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS ws FROM documents),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_PLAIN}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT item_id, term, times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM q JOIN f USING (term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM w JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+#: Levels of the trees that the SQL of op12 can build: 8 ** 7 leaves a language.
+_HEIGHT = 7
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC = "(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT))"
+
+
+def _tree(name: str, leaves: str, height: int) -> str:
+    """CTEs name0 to nameH (tree, idx, n, h) over ``leaves(tree, idx, n, h)``, runs of their children, and roots."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(height + 1):
+        out.append(f"{name}r{k} AS (SELECT tree, idx // 8 AS run, any_value(n) AS n, list(h ORDER BY idx) AS hs FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 8)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, run AS idx, (n + 7) // 8 AS n, sha256(array_to_string(hs, '')) AS h FROM {name}r{k})")
+    tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(height + 2))
+    out.append(f"{name}top AS ({tops})")
+    return ",\n".join(out)
+
+
+def _climb(name: str, frm: str, height: int) -> str:
+    """CTEs that carry (row, tree, idx, proof, fold) from the leaves to the roots of a forest."""
+    out = [f"{name}c0 AS ({frm})"]
+    for k in range(height + 1):
+        hs = f"r.hs[:c.idx % 8] || [c.fold] || r.hs[c.idx % 8 + 2:]"
+        out.append(
+            f"{name}c{k + 1} AS (SELECT c.row, c.tree, c.idx // 8 AS idx, CASE WHEN r.run IS NULL THEN c.proof ELSE c.proof || array_to_string(r.hs[:c.idx % 8] || r.hs[c.idx % 8 + 2:], '') END AS proof,"
+            f" CASE WHEN r.run IS NULL THEN c.fold ELSE sha256(array_to_string({hs}, '')) END AS fold"
+            f" FROM {name}c{k} c LEFT JOIN {name}r{k} r ON r.tree IS NOT DISTINCT FROM c.tree AND r.run = c.idx // 8)"
+        )
+    return ",\n".join(out)
+
+
+_TAB = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i))"
+_OP12 = f"""
+WITH d AS (SELECT *, row_number() OVER () AS row, sha256({_LEAF.format(text='text')}) AS leaf,
+                  CASE WHEN {_CRC} % 3 = 0 THEN {_LOWER.replace("coalesce(text, '')", 'text')} ELSE text END AS told FROM documents, {_TAB}),
+e AS (SELECT *, sha256({_LEAF.format(text='told')}) AS changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_tree('a', 'SELECT lang AS tree, idx, n, leaf AS h FROM e', _HEIGHT)},
+{_tree('b', 'SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx, count(*) OVER () AS n, h FROM atop', 2)},
+g AS (SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx FROM atop),
+{_climb('a', "SELECT row, lang AS tree, idx, '' AS proof, changed AS fold FROM e", _HEIGHT)},
+{_climb('b', f'SELECT c.row, 0 AS tree, g.idx, c.proof, c.fold FROM ac{_HEIGHT + 1} c JOIN g ON g.tree IS NOT DISTINCT FROM c.tree', 2)}
+SELECT doc_id, leaf, g.h AS subroot, btop.h AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = btop.h AS verified
+FROM e JOIN bc3 c USING (row) JOIN g ON g.tree IS NOT DISTINCT FROM e.lang, btop
+"""
+
+_HOST, _PATH_OF = r"regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')", r"regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_OP13 = f"""
+WITH u AS (SELECT page_id, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH_OF} AS path FROM pages),
+r(host, path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT u.*, r.host || r.path AS rule, action FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(action, length(rule)), 'allow') AS verdict FROM f GROUP BY page_id, host, path
+"""
+
+SQL = {"op3_substring_dedup": _OP3, "op6_near_dedup": _OP6, "op7_quality_rules": _OP7, "op8_chat_format": _OP8, "op9_decontamination": _OP9, "op11_lexical_search": _OP11, "op12_merkle_manifest": _OP12, "op13_url_filter": _OP13}

@@ -137,7 +137,7 @@ def build_index(docs: DataFrame, *, ids: str = "doc_id", text: str = "text") ->
 
 def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
     """(item, term, times): the terms of all distinct texts of an item."""
-    terms = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    terms = F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     cut = items.select(F.struct(F.col(item).alias("id")).alias("item"), F.col(text).alias("text")).distinct()
     return cut.select("item", F.explode(terms.alias("t")).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
 

@@ -63,12 +63,16 @@ def node(children: list[str]) -> str:
     return hashlib.sha256("".join(children).encode()).hexdigest()
 
 
-def append_log(leaves: list[str], levels: int, arity: int = ARITY) -> list[str]:
-    """What one builder writes: the nodes up to ``levels`` above its leaves, each as soon as its children are complete. A
-    builder of a whole tree stops at the root."""
+def built_levels(n: int, levels: int, arity: int = ARITY) -> int:
+    """How far a builder of a tree of ``n`` leaves climbs: up to the root, or ``levels`` if others take part. So a last builder
+    of few leaves ends with runs of one node."""
+    return levels if n > arity**levels else len(widths(n, arity)) - 1
+
+
+def append_log(leaves: list[str], top: int, arity: int = ARITY) -> list[str]:
+    """What one builder writes: the nodes up to ``top`` levels above its leaves, each as soon as its children are complete."""
     log: list[str] = []
-    waiting: list[list[str]] = [[] for _ in range(levels + 1)]
-    top = min(levels, len(widths(len(leaves), arity)) - 1)
+    waiting: list[list[str]] = [[] for _ in range(top + 1)]
 
     def done(digest: str, level: int) -> None:
         log.append(digest)
@@ -88,13 +92,13 @@ def append_log(leaves: list[str], levels: int, arity: int = ARITY) -> list[str]:
     return log
 
 
-def siblings(log: list[str], index: int, n: int, levels: int, arity: int = ARITY) -> list[tuple[int, list[str]]]:
+def siblings(log: list[str], index: int, n: int, top: int, arity: int = ARITY) -> list[tuple[int, list[str]]]:
     """For each level of a builder from its leaf on: the place of the node in its run and the others of the run, read from
     the log of its ``n`` leaves by their postorder places."""
-    out, wide = [], widths(n, arity)
-    for level in range(min(levels, len(wide) - 1)):
+    out = []
+    for level in range(top):
         start = index // arity * arity
-        run = range(start, min(start + arity, wide[level]))
+        run = range(start, min(start + arity, -(-n // arity**level)))
         out.append((index - start, [log[postorder(level, k, n, arity)] for k in run if k != index]))
         index //= arity
     return out
@@ -135,7 +139,7 @@ def build_round(leaves: DataFrame, depth: int, levels: int = LEVELS, arity: int
 
     def build(batches):
         for batch in batches:
-            logs = [append_log(d.as_py(), levels, arity) for d in batch.column("digest")]
+            logs = [append_log(d.as_py(), built_levels(n.as_py(), levels, arity), arity) for d, n in zip(batch.column("digest"), batch.column("n"), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.list_(pa.string())), pa.array([x[-1] for x in logs], pa.string())], names=schema.names)
 
     return written(made.mapInArrow(build, schema), "segments")
@@ -165,16 +169,17 @@ def node_log(rounds: list[DataFrame], levels: int = LEVELS, arity: int = ARITY)
     def place(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("segment", "total", "depth", "held", "log")}
+                row = {c: batch.column(c)[k].as_py() for c in ("segment", "n", "total", "depth", "held", "log")}
                 found = []
-                for level, wide in enumerate(widths(row["held"], arity)[: levels + 1]):
+                for level in range(built_levels(row["n"], levels, arity) + 1):
+                    wide = -(-row["held"] // arity**level)
                     for i in range(wide if level or not row["depth"] else 0):  # a later round's leaves are roots of the round before
                         at = (row["depth"] + level, row["segment"] * arity ** (levels - level) + i)
                         found.append((postorder(*at, row["total"], arity), *at, row["log"][postorder(level, i, row["held"], arity)]))
                 tree = batch.column("tree").take(pa.array([k] * len(found), pa.int64()))
                 yield pa.RecordBatch.from_arrays([tree, *[pa.array(c) for c in zip(*found, strict=True)]], names=kind.names)
 
-    parts = [r.select("tree", "segment", "total", "depth", F.size("digest").alias("held"), "log").mapInArrow(place, kind) for r in rounds]
+    parts = [r.select("tree", "segment", "n", "total", "depth", F.size("digest").alias("held"), "log").mapInArrow(place, kind) for r in rounds]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -182,8 +187,7 @@ def read_proofs(log: DataFrame, wanted: DataFrame, arity: int = ARITY) -> DataFr
     """(tree, index, proof) for ``wanted(tree, index, n)``: the siblings of some leaves, read from ``node_log`` at their
     computed places only."""
 
-    @F.udf("array<struct<step:int,position:bigint>>")
-    def places(index: int, n: int):
+    def places(index, n):
         out = []
         for level, wide in enumerate(widths(n, arity)[:-1]):
             start = index // arity * arity
@@ -191,7 +195,8 @@ def read_proofs(log: DataFrame, wanted: DataFrame, arity: int = ARITY) -> DataFr
             index //= arity
         return list(enumerate(out))
 
-    steps = wanted.select("tree", "index", F.explode_outer(places("index", "n")).alias("s")).select("tree", "index", "s.*")
+    listed = F.udf(places, "array<struct<step:int,position:bigint>>")("index", "n")
+    steps = wanted.select("tree", "index", F.explode_outer(listed).alias("s")).select("tree", "index", "s.*")
     found = steps.join(log.select("tree", "position", "digest"), ["tree", "position"], "left")
     lists = found.groupBy("tree", "index").agg(F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "digest")))).alias("s"))
     return lists.select("tree", "index", F.col("s.digest").alias("proof"))
@@ -207,13 +212,14 @@ def _paths(segments: DataFrame, levels: int, arity: int) -> DataFrame:
     def read(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                held, log, first = batch.column("held")[k].as_py(), batch.column("log")[k].as_py(), batch.column("segment")[k].as_py() * arity**levels
-                paths = [[{"place": p, "others": o} for p, o in siblings(log, i, held, levels, arity)] for i in range(held)]
+                n, held, log, segment = (batch.column(c)[k].as_py() for c in ("n", "held", "log", "segment"))
+                top, first = built_levels(n, levels, arity), segment * arity**levels
+                paths = [[{"place": p, "others": o} for p, o in siblings(log, i, held, top, arity)] for i in range(held)]
                 same = pa.array([k] * held, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("tree").take(same), batch.column("segment").take(same), pa.array(range(first, first + held), pa.int64()), pa.array(paths, _ARROW_PATH)], names=["tree", "segment", "index", "path"])
 
     schema = T.StructType([segments.schema["tree"], T.StructField("segment", T.LongType()), T.StructField("index", T.LongType()), T.StructField("path", T.DataType.fromDDL(_PATH))])
-    return segments.select("tree", "segment", F.size("digest").alias("held"), "log").mapInArrow(read, schema)
+    return segments.select("tree", "segment", "n", F.size("digest").alias("held"), "log").mapInArrow(read, schema)
 
 
 def leaf_paths(rounds: list[DataFrame], levels: int = LEVELS, arity: int = ARITY) -> DataFrame | None:
@@ -260,24 +266,24 @@ def merkle_manifest(docs: DataFrame, *, ids: str = "doc_id", group: str = "lang"
     across = F.broadcast(across) if across.count() <= FEW else across
 
     upper = leaf_paths(rounds[1:], levels, arity)
-    segments = rounds[0].select("tree", "segment", "id", "digest", "told", "log")
+    segments = rounds[0].select("tree", "segment", "n", "id", "digest", "told", "log")
     if upper is None:
         segments = segments.withColumn("upper", F.array().cast(_PATH))
     else:
         segments = segments.join(upper.select("tree", F.col("index").alias("segment"), F.col("path").alias("upper")), ["tree", "segment"], "left").withColumn("upper", F.coalesce("upper", F.array().cast(_PATH)))
-    whole = segments.join(across, "tree").select("id", "digest", "told", "log", F.concat("upper", "outer").alias("above"), "subroot", "all_root")
+    whole = segments.join(across, "tree").select("n", "id", "digest", "told", "log", F.concat("upper", "outer").alias("above"), "subroot", "all_root")
     names = ["id", "leaf", "subroot", "root", "proof_sha256", "n_siblings", "folded_root"]
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *[T.StructField(c, T.LongType() if c == "n_siblings" else T.StringType()) for c in names[1:]]])
 
     def prove(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("digest", "told", "log", "above", "subroot", "all_root")}
+                row = {c: batch.column(c)[k].as_py() for c in ("n", "digest", "told", "log", "above", "subroot", "all_root")}
                 above = [(p["place"], p["others"]) for p in row["above"]]
                 rest = [x for _, others in above for x in others]
-                held, proofs = len(row["digest"]), []
+                held, top, proofs = len(row["digest"]), built_levels(row["n"], levels, arity), []
                 for i, (digest, other) in enumerate(zip(row["digest"], row["told"], strict=True)):
-                    own = siblings(row["log"], i, held, levels, arity)
+                    own = siblings(row["log"], i, held, top, arity)
                     proof = [*(x for _, others in own for x in others), *rest]
                     proofs.append((node(proof), len(proof), fold(other or digest, [*own, *above])))
                 sums, sizes, folded = zip(*proofs, strict=True)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peaklane.operators.quantiles import GATHER, exact_quantiles, group_key
+
 
 def peptide_to_proteins(df: DataFrame, peptide: str, accession: str) -> DataFrame:
     """(peptide, proteins): distinct accessions in order, joined by ``;``."""
@@ -50,12 +54,35 @@ def vote_runs(pairs: DataFrame, runs: str = "runs") -> DataFrame:
     }).drop(runs)
 
 
+#: ln(n!) less Stirling's formula for n up to 15, where the series below isn't exact enough; 0 stands at n = 0.
+_STIRLING = [0.0, *[math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]]
+
+
+def _stirling_error(n: Column) -> Column:
+    """ln(n!) less Stirling's formula."""
+    x = n.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / (x * x)) / (x * x)) / (x * x)) / (x * x)) / x
+    return F.when(n <= 15, F.get(F.array(*[F.lit(v) for v in _STIRLING]), n.cast("int"))).otherwise(series)
+
+
+def _binomial_term(k: Column, n: Column) -> Column:
+    """P(X = k) for n fair trials, by the saddle-point form: no power of 0.5 that could vanish before it is multiplied."""
+    j = n - k
+    distance = k * F.log(2.0 * k / n) + j * F.log(2.0 * j / n)
+    inner = F.exp(_stirling_error(n) - _stirling_error(k) - _stirling_error(j) - distance) * F.sqrt(n / (2.0 * math.pi * k * j))
+    return F.when((k == 0) | (j == 0), F.pow(F.lit(0.5), n)).otherwise(inner)
+
+
 def _binomial_cdf(k: Column, n: Column) -> Column:
-    """P(X <= k) for n fair trials."""
-    start = F.struct(F.pow(F.lit(0.5), n).alias("p"), F.pow(F.lit(0.5), n).alias("s"))
-    step = lambda a, i: F.struct((a.p * (n - i + 1) / i).alias("p"), (a.s + a.p * (n - i + 1) / i).alias("s"))
-    places = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(places, start, step, lambda a: a.s)
+    """P(X <= k) for n fair trials. The terms of the lighter tail are summed from the greatest one down, until no further term
+    counts in double precision; the tail of any number of trials takes a multiple of its root."""
+    tail = F.least(k, n - k - 1)  # P(X <= k) = 1 - P(X <= n - k - 1)
+    needed = F.least(tail, F.ceil(5 * F.sqrt(n)).cast("long") + 40)
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("s"))
+    step = lambda a, i: F.struct((a.p * (tail - i + 1) / (n - tail + i)).alias("p"), (a.s + a.p * (tail - i + 1) / (n - tail + i)).alias("s"))
+    places = F.when(needed >= 1, F.sequence(F.lit(1).cast("long"), needed.cast("long"))).otherwise(F.array().cast("array<long>"))
+    light = F.least(F.aggregate(places, start, step, lambda a: a.s) * _binomial_term(tail, n), F.lit(1.0))
+    return F.when(tail < 0, F.lit(1.0)).when(k <= n - k - 1, light).otherwise(1 - light)
 
 
 def consensus(votes: DataFrame, method: str = "majority", tau: float = 0.05) -> DataFrame:
@@ -73,9 +100,12 @@ def merge_values(df: DataFrame, keys: list[str], value: str, how: str = "mean",
     return df.groupBy(*keys).agg(merged, F.count(value).alias("n"), *more)
 
 
-def median_by(df: DataFrame, keys: list[str], columns: list[str], *, approximate: bool = False) -> DataFrame:
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approximate else F.median
-    return df.groupBy(*keys).agg(*[median(c).alias(c) for c in columns])
+def median_by(df: DataFrame, keys: list[str], columns: list[str], *, approximate: bool = False, gather: int = GATHER) -> DataFrame:
+    """(keys, columns): medians of each key, exact for keys of any number of rows (``exact_quantiles``), or approximate."""
+    if approximate:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5).alias(c) for c in columns])
+    found = exact_quantiles(df, keys, {c: F.col(c) for c in columns}, [0.5], gather=gather)
+    return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[F.get(c, F.lit(0)).alias(c) for c in columns])
 
 
 def run_metadata(scans: DataFrame, run: list[str], values: str, intensities: str, precursor: str, time: str) -> DataFrame:
@@ -116,19 +146,29 @@ def count_tokens(df: DataFrame, column: str, sep: str = ";") -> DataFrame:
     return df.select(token.alias("token")).withColumn("token", F.when(change, "mutation").otherwise(F.col("token"))).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token")
 
 
-def describe_metrics(df: DataFrame, columns: list[str], cuts: tuple = (0.9, 0.75)) -> DataFrame:
-    """One row a metric: count, mean, std, min, quartiles, max, and the share of all rows above each cut."""
+def describe_metrics(df: DataFrame, columns: list[str], cuts: tuple = (0.9, 0.75), *, gather: int = GATHER) -> DataFrame:
+    """One row a metric: count, mean, std, min, exact quartiles, max, and the share of all rows above each cut."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
-    quarter = lambda q: F.percentile("v", F.lit(q))
     above = [(F.count_if(F.col("v") > c) / F.count(F.lit(1))).alias(f"above_{int(round(c * 100))}") for c in cuts]
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("lowest"), quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"), F.max("v").alias("highest"), *above)
+    plain = long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("lowest"), F.max("v").alias("highest"), *above)
+    quarters = exact_quantiles(long, ["metric"], {"q": F.col("v")}, [0.25, 0.5, 0.75], gather=gather)
+    quarters = quarters.select("_key.metric", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))])
+    return plain.join(F.broadcast(quarters), "metric").select("metric", "n", "mean", "std", "lowest", "q25", "q50", "q75", "highest", *[f"above_{int(round(c * 100))}" for c in cuts])  # a row a metric
 
 
-def regression_metrics(df: DataFrame, observed: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+def regression_metrics(df: DataFrame, observed: str, predicted: str, by: list[str] | None = None, *, gather: int = GATHER) -> DataFrame:
+    """Of each group: Pearson r, R2, exact median and 95th percentile of the absolute error, and the rows with both values.
+    Without ``by`` one row, for an empty table too."""
+    by = by or []
     o, p = F.col(observed).cast("double"), F.col(predicted).cast("double")
-    error = F.abs(o - p)
     full = df.filter(o.isNotNull() & p.isNotNull())
-    return full.groupBy(*(by or [])).agg(F.corr(o, p).alias("r"), (1 - F.sum((o - p) * (o - p)) / (F.var_pop(o) * F.count("*"))).alias("r2"), F.median(error).alias("median_error"), F.percentile(error, F.lit(0.95)).alias("error_95"), F.count("*").alias("n"))
+    sums = [F.corr(o, p).alias("r"), (1 - F.sum((o - p) * (o - p)) / (F.var_pop(o) * F.count("*"))).alias("r2"), F.count("*").alias("n")]
+    errors = exact_quantiles(full, by, {"_e": F.abs(o - p)}, [0.5, 0.95], gather=gather)
+    if by:
+        joined = full.groupBy(group_key(by)).agg(*sums).join(errors, "_key")
+    else:
+        joined = full.agg(*sums).join(F.broadcast(errors), F.lit(True), "left")  # one row at most
+    return joined.select(*[F.col(f"_key.{k}").alias(k) for k in by], "r", "r2", F.get("_e", F.lit(0)).alias("median_error"), F.get("_e", F.lit(1)).alias("error_95"), "n")
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -148,7 +188,7 @@ def best_row(df: DataFrame, by: list[str], metric: str, step: str) -> DataFrame:
 
 def all_better(base: DataFrame, candidate: DataFrame, metric: str, value: str) -> DataFrame:
     """One row: whether the candidate's median is above the base's for every metric."""
-    b, c = (d.groupBy(metric).agg(F.median(value).alias(k)) for d, k in ((base, "b"), (candidate, "c")))
+    b, c = (median_by(d, [metric], [value]).withColumnRenamed(value, k) for d, k in ((base, "b"), (candidate, "c")))
     return b.join(c, metric, "left").agg(F.coalesce(F.bool_and(F.coalesce(F.col("c") > F.col("b"), F.lit(False))), F.lit(False)).alias("candidate_wins"), F.count("*").alias("n_metrics"))
 
 

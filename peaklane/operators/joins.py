@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peaklane.operators.intervals import fixed_level, range_join
+from peaklane.operators.quantiles import group_key
+from peaklane.operators.slices import SLICE, large_groups, ranged, split_groups
+from peaklane.operators.stored import small, stored
+
 
 def annotate_proteins(df: DataFrame, pep2pro: DataFrame, peptide: str = "peptide", proteins: str = "proteins", prefix: str = "rev_") -> DataFrame:
     """Attach the protein list and ``decoy`` ("Yes" if every accession begins with the prefix, else "No"). A peptide that
@@ -41,33 +47,46 @@ def _bins(low: Column, high: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
 
 
-def interval_join(points: DataFrame, windows: DataFrame, value: str, lower: str, upper: str, key: list[str], *, how: str = "all", width: float) -> DataFrame:
-    """Points with the windows that hold them: all, or the first by lower bound for each ``key``. ``width``: of the
-    bins, best about that of a window."""
-    spread = windows.withColumn("_bin", _bins(F.col(lower), F.col(upper), width))
-    found = points.withColumn("_bin", F.floor(F.col(value) / width)).join(spread, "_bin").filter(F.col(value).between(F.col(lower), F.col(upper))).drop("_bin")
+def interval_join(points: DataFrame, windows: DataFrame, value: str, lower: str, upper: str, key: list[str], *, how: str = "all") -> DataFrame:
+    """Points with the windows that hold them: all, or the first by lower bound for each ``key``. Windows may be of any length,
+    open ones (infinite bounds) too, and lengths may differ by any factor."""
+    found = range_join(points, windows, value, lower, upper)
     if how == "all":
         return found
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(lower, upper))
     return found.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def interval_lookup(points: DataFrame, windows: DataFrame, value: str, lower: str, upper: str, result: str, key: list[str], default: float, *, width: float) -> DataFrame:
+def interval_lookup(points: DataFrame, windows: DataFrame, value: str, lower: str, upper: str, result: str, key: list[str], default: float) -> DataFrame:
     """The window's value; beyond the covered range that of the nearest edge window; else the default."""
-    inside = interval_join(points.select(*key, value), windows, value, lower, upper, key, how="first", width=width).select(*key, F.col(result).alias("_in"))
+    inside = interval_join(points.select(*key, value), windows, value, lower, upper, key, how="first").select(*key, F.col(result).alias("_in"))
     edges = windows.agg(F.min(lower).alias("_lo"), F.max(upper).alias("_hi"), F.min_by(result, lower).alias("_first"), F.max_by(result, upper).alias("_last"))
     joined = points.join(inside, key, "left").crossJoin(F.broadcast(edges))  # one row
     edge = F.when(F.col(value) < F.col("_lo"), F.col("_first")).when(F.col(value) > F.col("_hi"), F.col("_last"))
     return joined.withColumn(result, F.coalesce("_in", edge, F.lit(default))).drop("_in", "_lo", "_hi", "_first", "_last")
 
 
-def band_join(targets: DataFrame, peaks: DataFrame, target: str, peak: str, tolerance: float, *, ppm: bool = True, width: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    """Targets with the peaks within the tolerance. Targets are spread over the bins that their band touches."""
+def band_bins(value: Column, tolerance: float, ppm: bool) -> Column:
+    """The bin of a value, so wide that a band of the tolerance touches two at most: bins grow with the value for ppm (they are
+    even in its logarithm), and are even otherwise. Values of 0 or less have one bin of their own for ppm."""
+    if not ppm:
+        return F.floor(value / max(2 * tolerance * (1 + 1e-6), 1e-9))
+    ratio = (1 + tolerance / 1e6) / (1 - tolerance / 1e6)
+    width = max(math.log(ratio) * (1 + 1e-6), 1e-12)
+    return F.when(value > 0, F.floor(F.log(value) / width)).otherwise(F.lit(-(1 << 62)))
+
+
+def band_join(targets: DataFrame, peaks: DataFrame, target: str, peak: str, tolerance: float, *, ppm: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Targets with the peaks within the tolerance. A target stands in the two bins at most that its band touches, at every
+    magnitude; null and NaN match nothing."""
+    if tolerance < 0 or ppm and tolerance >= 1e6:
+        raise ValueError("a tolerance is not negative, and below 1,000,000 ppm")
     by = by or []
     t = F.col(target)
     lower, upper = (t / (1 + tolerance / 1e6), t / (1 - tolerance / 1e6)) if ppm else (t - tolerance, t + tolerance)
-    spread = targets.withColumns({"_lower": lower, "_upper": upper}).withColumn("_bin", _bins(F.col("_lower"), F.col("_upper"), width))
-    placed = peaks.withColumn("_bin", F.floor(F.col(peak) / width))
+    spread = targets.withColumns({"_lower": lower, "_upper": upper}).filter((F.col("_lower") <= F.col("_upper")) & ~F.isnan("_upper"))
+    spread = spread.withColumn("_bin", F.explode(F.sequence(band_bins(F.col("_lower"), tolerance, ppm), band_bins(F.col("_upper"), tolerance, ppm))))
+    placed = peaks.withColumn("_bin", band_bins(F.col(peak), tolerance, ppm))
     return spread.join(placed, [*by, "_bin"]).filter(F.col(peak).between(F.col("_lower"), F.col("_upper"))).drop("_bin", "_lower", "_upper")
 
 
@@ -116,14 +135,33 @@ def exclude(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_anti")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, key: str, right_id: str) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, key: str, right_id: str, *, most: int = SLICE) -> DataFrame:
     """Each left row (``key`` names it) with the right row of the same ``by`` that is nearest on the order column; of
-    equally near ones the lower, then the smaller id. One sort of both sides, no product."""
+    equally near ones the lower, then the smaller id. One sort of both sides, no product.
+
+    A group of more than ``most`` rows is cut into ranges of its order. To each range the last right row before it and the
+    first after it are carried, so every range is matched on its own, and ``by`` may be empty.
+    """
     l_rows = left.select(*by, F.col(left_on).alias("_o"), F.col(key).alias("_k"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"), F.lit(1).alias("_side"))
     r_rows = right.groupBy(*by, F.col(right_on).alias("_o")).agg(F.min(right_id).alias("_id")).select(*by, "_o", F.lit(None).cast(left.schema[key].dataType).alias("_k"), "_id", F.lit(0).alias("_side"))
-    order = Window.partitionBy(*by).orderBy("_o", "_side")
+    both = l_rows.unionByName(r_rows).withColumn("_key", group_key(by))
     mark = F.when(F.col("_side") == 0, F.struct("_o", "_id"))
-    both = l_rows.unionByName(r_rows).withColumn("_before", F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    none = F.lit(None).cast(both.select(mark.alias("m")).schema["m"].dataType)
+    carried = {"_part": F.lit(-1).cast("long"), "_carried": none, "_coming": none}
+    large = large_groups(both, most)
+    if large is None:
+        both = both.withColumns(carried)
+    else:
+        few, many = split_groups(both, large)
+        cut = ranged(many, large, ["_o", "_side"], most).drop("_at")
+        ends = cut.groupBy("_key", "_part").agg(F.max(mark).alias("_last"), F.min(mark).alias("_first"))  # a row for each range and large group in it
+        along = Window.partitionBy("_key").orderBy("_part")
+        before, after = F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        ends = stored(ends.select("_key", "_part", before.alias("_carried"), after.alias("_coming")))
+        ends = F.broadcast(ends) if small(ends) else ends
+        both = few.withColumns(carried).unionByName(cut.join(ends, ["_key", "_part"]))
+    order = Window.partitionBy("_key", "_part").orderBy("_o", "_side")
+    both = both.withColumn("_before", F.coalesce(F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_carried")).withColumn("_after", F.coalesce(F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing)), "_coming"))
     down, up = F.col("_o") - F.col("_before._o"), F.col("_after._o") - F.col("_o")
     pick = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull() | (down <= up), F.col("_before")).otherwise(F.col("_after"))
     return both.filter("_side = 1").withColumn("_p", pick).select(*by, F.col("_k").alias(key), F.col("_o").alias(left_on), F.col("_p._o").alias(f"nearest_{right_on}"), F.col("_p._id").alias(f"nearest_{right_id}"))
@@ -136,11 +174,12 @@ def adjacent(df: DataFrame, scans: DataFrame, window: list[str], index: str, n:
 
 
 def rt_window_join(matches: DataFrame, scans: DataFrame, time: str, scan_time: str, window: float, by: list[str], *, offset: float = 0.0) -> DataFrame:
-    """Scans within ``window`` of a match's time plus offset, met in time bins as wide as the window."""
+    """Scans within ``window`` of a match's time plus offset; an infinite window takes all scans of the same ``by``."""
     center = F.col(time) + offset
-    spread = matches.withColumn("_bin", _bins(center - window, center + window, window))
-    placed = scans.withColumn("_bin", F.floor(F.col(scan_time) / window))
-    return spread.join(placed, [*by, "_bin"]).filter(F.abs(F.col(scan_time) - center) <= window).drop("_bin")
+    slack = (F.abs(center) + window) * 2.0**-50  # the bounds are rounded, the difference below decides
+    known = fixed_level(2 * window) if 0 < window < float("inf") else None
+    met = range_join(scans, matches, scan_time, center - window - slack, center + window + slack, by, level=known)
+    return met.filter(F.abs(F.col(scan_time) - center) <= window)
 
 
 def shared_peaks(df: DataFrame, key: str, peak: list[str], start: str, end: str, *, width: float) -> DataFrame:

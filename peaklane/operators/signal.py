@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+from peaklane.operators.quantiles import group_key
 from peaklane.operators.similarity import pearson
+from peaklane.operators.slices import SLICE, large_groups, number_rows, with_halo
 
 #: Smoothing weights by width, from the first to the last point. Fixed values.
 KERNELS = {
@@ -20,9 +22,9 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scan_index(scans: DataFrame, window: list[str], scan: str) -> DataFrame:
-    """``scan_index``: the place of a scan in its window, from 0."""
-    return scans.withColumn("scan_index", F.row_number().over(Window.partitionBy(*window).orderBy(scan)) - 1)
+def scan_index(scans: DataFrame, window: list[str], scan: str, *, most: int = SLICE) -> DataFrame:
+    """``scan_index``: the place of a scan in its window, from 0. A window of more than ``most`` scans is numbered in ranges."""
+    return number_rows(scans, window, [scan], "scan_index", most)
 
 
 def scan_by_index(indexed: DataFrame, window: list[str], scan: str, index: int) -> DataFrame:
@@ -33,18 +35,26 @@ def top_n(df: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def smooth(df: DataFrame, key: list[str], order: str, value: str, n: int, out: str = "smoothed") -> DataFrame:
-    """Savitzky-Golay over 5, 7 or 9 points, zeros beyond the ends; 3 points: 1/4, 1/2, 1/4, with 2/3, 1/3 at the ends."""
-    w = Window.partitionBy(*key).orderBy(order)
+def smooth(df: DataFrame, key: list[str], order: str, value: str, n: int, out: str = "smoothed", *, most: int = SLICE) -> DataFrame:
+    """Savitzky-Golay over 5, 7 or 9 points, zeros beyond the ends; 3 points: 1/4, 1/2, 1/4, with 2/3, 1/3 at the ends. A series
+    of more than ``most`` points is smoothed in slices that hold the points next to their borders, too."""
+    if large_groups(df.select(group_key(key)), most) is None:
+        return df.withColumn(out, _smooth_rows(Window.partitionBy(*key).orderBy(order), value, n))
+    cut = with_halo(number_rows(df, key, [order], "_i", most), "_i", n // 2, most)
+    done = cut.withColumn(out, _smooth_rows(Window.partitionBy(*key, "_slice").orderBy("_i"), value, n))
+    return done.filter("_own").drop("_i", "_slice", "_own")
+
+
+def _smooth_rows(w: WindowSpec, value: str, n: int) -> Column:
     if n == 3:
         before, after, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
         both = F.when(before.isNull() & after.isNull(), v).when(before.isNull(), v * 2 / 3 + after / 3).when(after.isNull(), v * 2 / 3 + before / 3)
-        return df.withColumn(out, both.otherwise(before / 4 + v / 2 + after / 4))
+        return both.otherwise(before / 4 + v / 2 + after / 4)
     weights, norm = KERNELS[n]
     total = F.lit(0.0)
     for k, c in enumerate(weights):
         total = total + F.coalesce(F.lag(value, n // 2 - k).over(w) if k != n // 2 else F.col(value), F.lit(0.0)) * c
-    return df.withColumn(out, total / norm)
+    return total / norm
 
 
 def smooth_array(values: str, n: int) -> Column:

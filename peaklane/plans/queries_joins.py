@@ -138,8 +138,8 @@ def _(spark, t):
 @query("j05_interval_join", f"WITH w AS ({tb.WINDOWS_SQL}) SELECT p_partkey, count(*) AS n_windows, min(lo) AS first_lo FROM part JOIN w ON p_retailprice BETWEEN lo AND hi GROUP BY p_partkey")
 def _(spark, t):
     points = t("part").select("p_partkey", "p_retailprice")
-    every = jn.interval_join(points, tb.windows(t), "p_retailprice", "lo", "hi", ["p_partkey"], width=12.0).groupBy("p_partkey").agg(F.count("*").alias("n_windows"))
-    first = jn.interval_join(points, tb.windows(t), "p_retailprice", "lo", "hi", ["p_partkey"], how="first", width=12.0)
+    every = jn.interval_join(points, tb.windows(t), "p_retailprice", "lo", "hi", ["p_partkey"]).groupBy("p_partkey").agg(F.count("*").alias("n_windows"))
+    first = jn.interval_join(points, tb.windows(t), "p_retailprice", "lo", "hi", ["p_partkey"], how="first")
     return every.join(first.select("p_partkey", F.col("lo").alias("first_lo")), "p_partkey")
 
 
@@ -148,13 +148,13 @@ f AS (SELECT p_partkey, min_by(center, lo) AS c FROM part JOIN w ON p_retailpric
 SELECT p.p_partkey, coalesce(f.c, CASE WHEN p_retailprice < e.lo THEN e.a WHEN p_retailprice > e.hi THEN e.b END, -1.0) AS center FROM part p LEFT JOIN f ON f.p_partkey = p.p_partkey, e""")
 def _(spark, t):
     some = tb.windows(t).filter("center BETWEEN 930 AND 960 AND center <> 945").drop("width")
-    return jn.interval_lookup(t("part").select("p_partkey", "p_retailprice"), some, "p_retailprice", "lo", "hi", "center", ["p_partkey"], -1.0, width=12.0).select("p_partkey", "center")
+    return jn.interval_lookup(t("part").select("p_partkey", "p_retailprice"), some, "p_retailprice", "lo", "hi", "center", ["p_partkey"], -1.0).select("p_partkey", "center")
 
 
 @query("j07_band_join", "SELECT a.p_partkey, count(*) AS n, sum(b.p_partkey)::BIGINT AS keys FROM part a JOIN part b ON b.p_retailprice BETWEEN a.p_retailprice / (1 + 250 / 1e6) AND a.p_retailprice / (1 - 250 / 1e6) GROUP BY a.p_partkey")
 def _(spark, t):
     peaks = t("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("mz"))
-    return jn.band_join(t("part").select("p_partkey", "p_retailprice"), peaks, "p_retailprice", "mz", 250, width=0.5).groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    return jn.band_join(t("part").select("p_partkey", "p_retailprice"), peaks, "p_retailprice", "mz", 250).groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
 @query("j08_group_pairs", "SELECT a.p_brand, a.p_type, a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peaklane.operators.stored import shared_folder as _scratch
 from peaklane.plans import tables as tb
 from peaklane.plans.registry import query
 from peaklane.sources import io
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder below the shared one, or a temporary one for a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base or tempfile.gettempdir()}/peaklane-{uuid.uuid4().hex}"
-
-
 def _library(t) -> DataFrame:
     """Lines as library rows: orders are precursors, lines fragments."""
     rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("mz"), F.max("l_quantity").alias("i"), F.min("l_returnflag").alias("f"))

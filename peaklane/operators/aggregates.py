@@ -41,19 +41,6 @@ def vote(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.groupBy(*group, "a", "b").agg(F.count_if(va > vb).alias("n_pos"), F.count_if(va < vb).alias("n_neg"), flag(differ & (va > 0)).alias("a_detected"), flag(differ & (vb > 0)).alias("b_detected"), flag((va > 0) & (vb > 0)).alias("both_detected"))
 
 
-def vote_runs(pairs: DataFrame, runs: str = "runs") -> DataFrame:
-    """``vote`` for pairs whose runs stand in one array (``pair_runs``): counted within the row, without a shuffle."""
-    some = lambda test: F.exists(runs, test).cast("int")
-    many = lambda test: F.size(F.filter(runs, test)).cast("long")
-    return pairs.withColumns({
-        "n_pos": many(lambda r: r.va > r.vb),
-        "n_neg": many(lambda r: r.va < r.vb),
-        "a_detected": some(lambda r: (r.va != r.vb) & (r.va > 0)),
-        "b_detected": some(lambda r: (r.va != r.vb) & (r.vb > 0)),
-        "both_detected": some(lambda r: (r.va > 0) & (r.vb > 0)),
-    }).drop(runs)
-
-
 #: ln(n!) less Stirling's formula for n up to 15, where the series below isn't exact enough; 0 stands at n = 0.
 _STIRLING = [0.0, *[math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]]
 
@@ -73,16 +60,24 @@ def _binomial_term(k: Column, n: Column) -> Column:
     return F.when((k == 0) | (j == 0), F.pow(F.lit(0.5), n)).otherwise(inner)
 
 
+def _summed(tail: Column, first: Column, ratio) -> Column:
+    """The sum of ``first`` and the terms after it, each ``ratio(i)`` of the one before."""
+    start = F.struct(first.alias("p"), first.alias("s"))
+    step = lambda a, i: F.struct((a.p * ratio(i)[0] / ratio(i)[1]).alias("p"), (a.s + a.p * ratio(i)[0] / ratio(i)[1]).alias("s"))
+    places = F.when(tail >= 1, F.sequence(F.lit(1).cast("long"), tail.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(places, start, step, lambda a: a.s)
+
+
 def _binomial_cdf(k: Column, n: Column) -> Column:
-    """P(X <= k) for n fair trials. The terms of the lighter tail are summed from the greatest one down, until no further term
-    counts in double precision; the tail of any number of trials takes a multiple of its root."""
+    """P(X <= k) for n fair trials. Up to 56 trials every term is a whole number of 0.5 ** n and exact. Beyond, the terms of the
+    lighter tail are summed from the greatest one down, until no further term counts in double precision; the tail of any
+    number of trials takes a multiple of its root."""
+    few = _summed(k, F.pow(F.lit(0.5), n), lambda i: (n - i + 1, i))
     tail = F.least(k, n - k - 1)  # P(X <= k) = 1 - P(X <= n - k - 1)
     needed = F.least(tail, F.ceil(5 * F.sqrt(n)).cast("long") + 40)
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("s"))
-    step = lambda a, i: F.struct((a.p * (tail - i + 1) / (n - tail + i)).alias("p"), (a.s + a.p * (tail - i + 1) / (n - tail + i)).alias("s"))
-    places = F.when(needed >= 1, F.sequence(F.lit(1).cast("long"), needed.cast("long"))).otherwise(F.array().cast("array<long>"))
-    light = F.least(F.aggregate(places, start, step, lambda a: a.s) * _binomial_term(tail, n), F.lit(1.0))
-    return F.when(tail < 0, F.lit(1.0)).when(k <= n - k - 1, light).otherwise(1 - light)
+    light = F.least(_summed(needed, F.lit(1.0), lambda i: (tail - i + 1, n - tail + i)) * _binomial_term(tail, n), F.lit(1.0))
+    many = F.when(tail < 0, F.lit(1.0)).when(k <= n - k - 1, light).otherwise(1 - light)
+    return F.when(n <= 56, few).otherwise(many)
 
 
 def consensus(votes: DataFrame, method: str = "majority", tau: float = 0.05) -> DataFrame:

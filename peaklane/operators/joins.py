@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peaklane.operators.intervals import fixed_level, range_join
+from peaklane.operators.pairs import pair_runs
 from peaklane.operators.quantiles import group_key
 from peaklane.operators.slices import SLICE, large_groups, ranged, split_groups
 from peaklane.operators.stored import small, stored
@@ -96,19 +97,6 @@ def group_pairs(df: DataFrame, group: list[str], item: str) -> DataFrame:
     return items.join(items.withColumnRenamed("a", "b"), group).filter("a < b")
 
 
-def pair_runs(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:
-    """(group, a, b, runs): every detected item with every candidate of its group but itself, and for each run in which
-    either was measured struct(run, va, vb); a missing value is 0. An item's values travel as one map, so the pairs are
-    made by a single join and never shuffled by run."""
-    measured = values.groupBy(group, item, run).agg(F.max(F.col(value).cast("double")).alias("_v"))
-    maps = measured.groupBy(group, item).agg(F.map_from_entries(F.collect_list(F.struct(run, "_v"))).alias("_m"))
-    others = candidates.select(group, item).distinct().join(maps, [group, item], "full").select(group, F.col(item).alias("b"), F.coalesce("_m", F.create_map().cast(maps.schema["_m"].dataType)).alias("_mb"))
-    pairs = maps.select(group, F.col(item).alias("a"), F.col("_m").alias("_ma")).join(others, group).filter("a <> b")
-    at = lambda m, r: F.coalesce(F.col(m)[r], F.lit(0.0))
-    runs = F.transform(F.array_union(F.map_keys("_ma"), F.map_keys("_mb")), lambda r: F.struct(r.alias(run), at("_ma", r).alias("va"), at("_mb", r).alias("vb")))
-    return pairs.select(group, "a", "b", runs.alias("runs"))
-
-
 def rank_pairs(values: DataFrame, candidates: DataFrame, group: str, item: str, run: str, value: str) -> DataFrame:
     """(group, run, a, b, va, vb): ``pair_runs`` with one row a run."""
     # no list of runs is empty; the outer form keeps Spark from making each list twice to test that

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peaklane.operators import aggregates as ag
 from peaklane.operators import joins as jn
 from peaklane.operators import similarity as si
+from peaklane.operators.pairs import pair_votes
 from peaklane.plans import tables as tb
 from peaklane.plans.registry import query
 
@@ -50,7 +51,7 @@ SELECT grp, a, b, count(*) FILTER (WHERE va > vb) AS n_pos, count(*) FILTER (WHE
 
 def _votes(t):
     v = tb.values(t)
-    return ag.vote_runs(jn.pair_runs(v, v, "grp", "item", "run", "v"))
+    return pair_votes(v, v, "grp", "item", "run", "v")
 
 
 @query("a05_vote", _VOTES)
@@ -76,6 +77,23 @@ def _(spark, t):
     return ag.merge_values(tb.events(t), ["user_id", "event_type"], "sec", "mean", "value").withColumns(_r("sec"))
 
 
+#: Lines of a return flag that hold more than 25 pieces, against the others: thousands of votes.
+_MANY = "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n_pos, count(*) FILTER (WHERE l_quantity <= 25) AS n_neg FROM lineitem GROUP BY l_returnflag"
+
+
+@query("a07_consensus_many_votes", f"""WITH v AS ({_MANY}), t AS (SELECT l_returnflag, n_pos, n_neg, unnest(range(0, n_pos + 1)) AS i, n_pos + n_neg AS n FROM v),
+x AS (SELECT l_returnflag, n_pos, n_neg, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS cdf FROM t GROUP BY ALL)
+SELECT l_returnflag, n_pos, n_neg, round(cdf, 6) AS cdf, CASE WHEN 1 - cdf < 0.2 THEN 1 WHEN cdf < 0.2 THEN 0 END AS label FROM x""")
+def _(spark, t):
+    votes = t("lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") > 25).alias("n_pos"), F.count_if(F.col("l_quantity") <= 25).alias("n_neg"))
+    return ag.consensus(votes, "binomial", 0.2).withColumn("cdf", F.round("cdf", 6))
+
+
+@query("a09_median_of_all", "SELECT round(median(l_extendedprice), 4) AS l_extendedprice, round(median(l_quantity), 4) AS l_quantity FROM lineitem")
+def _(spark, t):
+    return ag.median_by(t("lineitem"), [], ["l_extendedprice", "l_quantity"], gather=4096).withColumns(_r("l_extendedprice", "l_quantity"))
+
+
 @query("a09_median_by", f"SELECT user_id, event_type, round(median(value), 4) AS value, round(median(sec), 4) AS sec FROM ({tb.EVENTS_SQL}) GROUP BY ALL")
 def _(spark, t):
     return ag.median_by(tb.events(t), ["user_id", "event_type"], ["value", "sec"]).withColumns(_r("value", "sec"))
@@ -155,6 +173,17 @@ def _(spark, t):
     return ag.best_row(tb.daily(t), ["user_id"], "v", "day")
 
 
+@query("a16_describe_prices", """WITH m AS (SELECT 'o_totalprice' AS metric, o_totalprice AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey FROM orders)
+SELECT metric, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS lowest, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS highest, round(count(*) FILTER (WHERE v > 0.5) / count(*), 4) AS above_50 FROM m GROUP BY metric""")
+def _(spark, t):
+    return ag.describe_metrics(t("orders"), ["o_totalprice", "o_custkey"], (0.5,), gather=512).withColumns(_r("mean", "std", "lowest", "q25", "q50", "q75", "highest", "above_50"))
+
+
+@query("a17_regression_of_all", f"SELECT round(corr(o, p), 4) AS r, round(1 - sum((o - p) * (o - p)) / (var_pop(o) * count(*)), 4) AS r2, round(median(abs(o - p)), 1) AS median_error, round(quantile_cont(abs(o - p), 0.95), 1) AS error_95, count(*) AS n FROM ({_ORDERS})")
+def _(spark, t):
+    return ag.regression_metrics(_orders(t), "o", "p", gather=512).withColumns(_r("r", "r2") | _r("median_error", "error_95", digits=1))
+
+
 @query("a21_all_better", """WITH m AS (SELECT event_type, median(value) FILTER (WHERE user_id % 2 = 0) AS b, median(value) FILTER (WHERE user_id % 2 = 1) AS c FROM events GROUP BY event_type)
 SELECT bool_and(coalesce(c > b, false)) AS candidate_wins, count(*) AS n_metrics FROM m WHERE b IS NOT NULL""")
 def _(spark, t):

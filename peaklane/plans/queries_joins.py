@@ -143,6 +143,17 @@ def _(spark, t):
     return every.join(first.select("p_partkey", F.col("lo").alias("first_lo")), "p_partkey")
 
 
+@query("j05_open_windows", f"""WITH w AS (SELECT lo, hi FROM ({tb.WINDOWS_SQL}) UNION ALL SELECT * FROM (VALUES (0.0, 'infinity'::DOUBLE), (0.0, 3e9), ('-infinity'::DOUBLE, 950.0), (1500.25, 'infinity'::DOUBLE), (1000.0, 1000.0)) v(lo, hi)
+UNION ALL SELECT p_retailprice, p_retailprice + p_size / 1000 FROM part)
+SELECT p_partkey, count(*) AS n_windows, round(sum(least(hi - lo, 1e6)), 3) AS width FROM part JOIN w ON p_retailprice BETWEEN lo AND hi GROUP BY p_partkey""")
+def _(spark, t):
+    ends = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in ((0.0, float("inf")), (0.0, 3e9), (float("-inf"), 950.0), (1500.25, float("inf")), (1000.0, 1000.0))])
+    own = t("part").select(F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + F.col("p_size") / 1000).alias("hi"))
+    windows = tb.windows(t).select("lo", "hi").unionByName(spark.range(1).select(F.inline(ends))).unionByName(own)
+    found = jn.interval_join(t("part").select("p_partkey", "p_retailprice"), windows, "p_retailprice", "lo", "hi", ["p_partkey"])
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n_windows"), F.round(F.sum(F.least(F.col("hi") - F.col("lo"), F.lit(1e6))), 3).alias("width"))
+
+
 @query("j06_interval_lookup", f"""WITH w AS (SELECT * FROM ({tb.WINDOWS_SQL}) WHERE center BETWEEN 930 AND 960 AND center <> 945), e AS (SELECT min(lo) AS lo, max(hi) AS hi, min_by(center, lo) AS a, max_by(center, hi) AS b FROM w),
 f AS (SELECT p_partkey, min_by(center, lo) AS c FROM part JOIN w ON p_retailprice BETWEEN lo AND hi GROUP BY p_partkey)
 SELECT p.p_partkey, coalesce(f.c, CASE WHEN p_retailprice < e.lo THEN e.a WHEN p_retailprice > e.hi THEN e.b END, -1.0) AS center FROM part p LEFT JOIN f ON f.p_partkey = p.p_partkey, e""")
@@ -225,6 +236,14 @@ def _(spark, t):
     return near.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("other").alias("ids"))
 
 
+@query("j13_nearest_of_all", f"""WITH e AS ({tb.EVENTS_SQL}), r AS (SELECT sec, min(event_id) AS id FROM e WHERE event_type = 'view' GROUP BY ALL),
+p AS (SELECT sec, event_id FROM e WHERE event_type = 'purchase'), d AS (SELECT p.event_id, p.sec, r.sec AS rs, r.id FROM p ASOF LEFT JOIN r ON p.sec >= r.sec), u AS (SELECT p.event_id, r.sec AS rs, r.id FROM p ASOF LEFT JOIN r ON p.sec <= r.sec)
+SELECT event_id, d.sec, CASE WHEN d.rs IS NULL OR u.rs - d.sec < d.sec - d.rs THEN u.rs ELSE d.rs END AS nearest_sec, CASE WHEN d.rs IS NULL OR u.rs - d.sec < d.sec - d.rs THEN u.id ELSE d.id END AS nearest_event_id FROM d JOIN u USING (event_id)""")
+def _(spark, t):
+    e = tb.events(t)
+    return jn.nearest_join(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), [], "sec", "sec", "event_id", "event_id", most=1024)
+
+
 @query("j15_rt_window_join", f"""WITH e AS ({tb.EVENTS_SQL}) SELECT a.event_id, count(*) AS n, min(b.event_id) AS first_id FROM e a JOIN e b ON a.user_id = b.user_id AND abs(b.sec - (a.sec + 600)) <= 7200
 WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY a.event_id""")
 def _(spark, t):

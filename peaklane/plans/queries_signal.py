@@ -33,6 +33,18 @@ for _n in (5, 7, 9):
         return sg.smooth(tb.daily(t), ["user_id"], "day", "v", n).select("user_id", "day", F.round("smoothed", 4).alias("smoothed"))
 
 
+@query("w01_index_of_all", f"SELECT event_id, row_number() OVER (ORDER BY sec, event_id) - 1 AS scan_index FROM ({tb.EVENTS_SQL})")
+def _(spark, t):
+    return sg.scan_index(tb.events(t).withColumn("o", F.struct("sec", "event_id")), [], "o", most=1024).select("event_id", "scan_index")
+
+
+@query("w03_smooth_of_all", f"""SELECT user_id, day, round((-3 * coalesce(lag(v, 2) OVER w, 0) + 12 * coalesce(lag(v) OVER w, 0) + 17 * v + 12 * coalesce(lead(v) OVER w, 0) - 3 * coalesce(lead(v, 2) OVER w, 0)) / 35, 4) AS smoothed
+FROM ({tb.DAILY_SQL}) WINDOW w AS (ORDER BY user_id, day)""")
+def _(spark, t):
+    one = tb.daily(t).withColumn("o", F.struct("user_id", "day"))
+    return sg.smooth(one, [], "o", "v", 5, most=1024).select("user_id", "day", F.round("smoothed", 4).alias("smoothed"))
+
+
 @query("w04_smooth_3", f"""SELECT user_id, day, round(CASE WHEN a IS NULL THEN v * 2 / 3 + b / 3 WHEN b IS NULL THEN v * 2 / 3 + a / 3 ELSE a / 4 + v / 2 + b / 4 END, 4) AS smoothed
 FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM ({tb.DAILY_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY day))""")
 def _(spark, t):

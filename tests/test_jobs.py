@@ -7,6 +7,7 @@ from peaklane.operators import aggregates as ag
 from peaklane.operators import filters as fl
 from peaklane.operators import generate as gen
 from peaklane.operators import joins as jn
+from peaklane.operators import pairs
 from peaklane.operators import sampling as sm
 from peaklane.plans import jobs
 from peaklane.sources import io
@@ -112,9 +113,23 @@ def test_pair_runs_agree_with_rank_pairs_and_votes(spark):
     long = jn.rank_pairs(values, others, "g", "i", "r", "v")
     assert {tuple(r) for r in long.select("g", "r", "a", "b", "va", "vb").collect()} == want and long.count() == len(want)
     names = ["g", "a", "b", "n_pos", "n_neg", "a_detected", "b_detected", "both_detected"]
-    votes = ag.vote_runs(jn.pair_runs(values, others, "g", "i", "r", "v"))
+    votes = pairs.pair_votes(values, others, "g", "i", "r", "v", tile=2)
     # an undetected partner without values has a row too, with the other item's runs
     assert sorted(map(tuple, votes.select(names).collect())) == sorted(map(tuple, ag.vote(long, ["g"]).select(names).collect()))
+    whole = pairs.pair_votes(values, others, "g", "i", "r", "v")
+    assert sorted(map(tuple, whole.select(names).collect())) == sorted(map(tuple, votes.select(names).collect()))
+
+
+def test_votes_of_odd_values(spark):
+    nan = float("nan")
+    rows = [("g", "a", 1, nan), ("g", "a", 2, -1.0), ("g", "b", 1, nan), ("g", "b", 2, None), ("g", "c", 3, float("inf")), ("g", "c", 1, 2.0), (None, "a", 1, 1.0), (None, "b", 1, 2.0), ("h", "x", None, 3.0), ("h", "y", None, 4.0)]
+    v = spark.createDataFrame(rows, "g string, i string, r int, v double")
+    got = {(r.g, r.a, r.b): tuple(r)[3:] for r in pairs.pair_votes(v, v.limit(0), "g", "i", "r", "v").collect()}
+    assert got == {
+        ("g", "a", "b"): (0, 1, 0, 0, 1), ("g", "b", "a"): (1, 0, 0, 0, 1), ("g", "a", "c"): (1, 2, 1, 1, 1), ("g", "c", "a"): (2, 1, 1, 1, 1),
+        ("g", "b", "c"): (1, 1, 1, 1, 1), ("g", "c", "b"): (1, 1, 1, 1, 1), ("h", "x", "y"): (0, 1, 1, 1, 1), ("h", "y", "x"): (1, 0, 1, 1, 1),
+    }
+    assert pairs.pair_votes(v.limit(0), v, "g", "i", "r", "v").count() == 0
 
 
 def test_chromatogram_job_finds_a_peak(spark):

@@ -67,9 +67,29 @@ def candidate_sites(sequence: Column, n_term: Column, target: str) -> Column:
     return F.filter(F.transform(residues(sequence), lambda r, i: F.when(r == target, i + 1)), lambda i: i.isNotNull())
 
 
+#: Isoforms of a peptide whose numbers are listed in one array.
+_BLOCK = 4096
+
+
+def _ways(options: Column, k: int) -> Column:
+    """For each place and the end: in how many ways 0 to ``k`` modifications go on it and the places after it."""
+    end = F.array(F.array(*[F.lit(1 if j == 0 else 0).cast("long") for j in range(k + 1)]))
+
+    def before(found: Column, n: Column) -> Column:
+        here = F.element_at(found, 1)
+        at = lambda j: F.element_at(here, j + 1)
+        return F.concat(F.array(F.array(*[at(j) + n * at(j - 1) if j else at(0) for j in range(k + 1)])), found)
+
+    return F.aggregate(F.reverse(options), end, before)
+
+
 def expand_isoforms(df: DataFrame, sequence: str, n_term: str, variable: list[tuple[str, str]], fixed: list[tuple[str, str]], k: int) -> DataFrame:
     """One row for each way to put 0 to ``k`` variable modifications (name, target) on different sites, with fixed ones
-    on the sites that stay free; ``mods``: sorted array of struct(site, name). ``k`` bounds the rows of a peptide."""
+    on the sites that stay free; ``mods``: sorted array of struct(site, name).
+
+    Isoforms are numbered, and each row works out its own from its number: from the ways that the places after a place leave
+    follows whether it is modified, and how. So no row holds the isoforms of its peptide, whatever ``k`` is.
+    """
     none = F.array().cast("array<struct<site:int,name:string>>")
 
     def at(name: str, target: str) -> Column:
@@ -79,15 +99,30 @@ def expand_isoforms(df: DataFrame, sequence: str, n_term: str, variable: list[tu
         return F.array_sort(F.flatten(F.array(*[at(*rule) for rule in rules]))) if rules else none
 
     rows = df.withColumns({"_all": sites(variable), "_fixed": sites(fixed)})
-    empty = F.array().cast("array<struct<site:int,name:string>>")
-    level = F.array(F.struct(empty.alias("m"), F.lit(0).alias("upto"), F.lit(-1).alias("site")))
-    rows = rows.withColumn("_level", level).withColumn("_sets", F.array(empty))
-    for _ in range(k):  # each round adds one modification at a later place and another site
-        grow = lambda s: F.transform(F.filter(F.transform("_all", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: (z["i"] >= s.upto) & (z["x"]["site"] > s.site)), lambda z: F.struct(F.concat(s.m, F.array(z["x"])).alias("m"), (z["i"] + 1).alias("upto"), z["x"]["site"].alias("site")))
-        rows = rows.withColumn("_level", F.flatten(F.transform("_level", grow))).withColumn("_sets", F.concat("_sets", F.transform("_level", lambda s: s.m)))
-    rows = rows.withColumn("_set", F.explode_outer("_sets"))  # never empty
+    places = F.transform(F.array_distinct(F.transform("_all", lambda x: x["site"])), lambda s: F.struct(s.alias("site"), F.transform(F.filter("_all", lambda x: x["site"] == s), lambda x: x["name"]).alias("names")))
+    rows = rows.withColumn("_places", places).withColumn("_ways", _ways(F.transform("_places", lambda p: F.size(p["names"]).cast("long")), k))
+    whole = [F.element_at(F.element_at("_ways", 1), j + 1) for j in range(k + 1)]
+    sums = [F.lit(0).cast("long")]
+    for n in whole:
+        sums.append(sums[-1] + n)
+    rows = rows.withColumn("_before", F.array(*sums))  # of 0, 1, ... modifications; the last is the number of all
+    total = F.element_at("_before", -1)
+    rows = rows.withColumn("_block", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / _BLOCK))))
+    rows = rows.withColumn("_number", F.explode_outer(F.sequence(F.col("_block") * _BLOCK, F.least(F.col("_block") * _BLOCK + _BLOCK, total) - 1)))
+    many = F.size(F.filter("_before", lambda b: b <= F.col("_number"))) - 1
+    start = F.struct(F.lit(1).alias("g"), many.alias("j"), (F.col("_number") - F.get("_before", many)).alias("r"), none.alias("m"))
+
+    def step(a: Column, place: Column) -> Column:
+        after = F.element_at("_ways", a.g + 1)
+        left, each = a.r - F.get(after, a.j), F.get(after, a.j - 1)
+        taken = F.struct(place["site"].alias("site"), F.get(place["names"], F.floor(left / each).cast("int")).alias("name"))
+        skip = F.struct((a.g + 1).alias("g"), a.j.alias("j"), a.r.alias("r"), a.m.alias("m"))
+        take = F.struct((a.g + 1).alias("g"), (a.j - 1).alias("j"), (left % each).alias("r"), F.concat(a.m, F.array(taken)).alias("m"))
+        return F.when((a.j > 0) & (left >= 0), take).otherwise(skip)
+
+    rows = rows.withColumn("_set", F.aggregate("_places", start, step, lambda a: a.m))
     free = F.filter("_fixed", lambda f: ~F.exists("_set", lambda v: v["site"] == f["site"]))
-    return rows.withColumn("mods", F.array_sort(F.concat("_set", free))).drop("_all", "_fixed", "_level", "_sets", "_set")
+    return rows.withColumn("mods", F.array_sort(F.concat("_set", free))).drop("_all", "_fixed", "_places", "_ways", "_before", "_block", "_number", "_set")
 
 
 #: Neutral losses by name. Fixed values.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peaklane.functions.constants import PROTON
+from peaklane.operators import generate as gen
 from peaklane.operators import scoring
 from peaklane.plans import jobs
 from peaklane.plans import tables as tb
@@ -68,14 +70,20 @@ def _(spark, t):
 
 
 _K5 = f"""WITH p AS (SELECT pep, string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id::VARCHAR) AS proteins FROM ({tb.PEPTIDES_SQL}) WHERE pep NOT LIKE '%X%' GROUP BY pep),
-d AS (SELECT pep AS peptide, proteins, 0 AS decoy FROM p UNION ALL SELECT pep[1] || reverse(pep[2:length(pep)-1]) || pep[length(pep)], proteins, 1 FROM p)
-SELECT peptide, decoy, proteins, 2 * (1 + len(regexp_extract_all(peptide, 'M'))) AS n FROM d"""
+d AS (SELECT pep AS peptide, proteins, 0 AS decoy FROM p UNION ALL SELECT pep[1] || reverse(pep[2:length(pep)-1]) || pep[length(pep)], proteins, 1 FROM p),
+c AS (SELECT peptide, proteins, decoy, list_filter(range(1, length(peptide) + 1), lambda i: peptide[i] = 'C') AS cs FROM d),
+o AS (SELECT *, 0 AS ox FROM c UNION ALL SELECT *, unnest(list_filter(range(1, length(peptide) + 1), lambda i: peptide[i] = 'M')) FROM c),
+w AS (SELECT peptide, sum(coalesce(m, 0)) AS mass FROM (SELECT DISTINCT peptide, unnest(range(1, length(peptide) + 1)) AS i FROM d) LEFT JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in gen.RESIDUE_MASS.items())}) r(c, m) ON r.c = peptide[i] GROUP BY peptide)
+SELECT o.peptide, decoy, proteins, z AS charge, array_to_string(list_transform(list_sort(list_transform(cs, lambda i: [i, 0]) || CASE WHEN ox > 0 THEN [[ox, 1]] ELSE [] END), lambda x: x[1] || ':' || ['Carbamidomethyl', 'Oxidation'][x[2] + 1]), ';') AS mods,
+       round((mass + {gen.WATER} + len(cs) * 57.02146372057 + (ox > 0)::INT * 15.99491461956 + z * {PROTON}) / z, 5) AS mz
+FROM o JOIN w ON w.peptide = o.peptide CROSS JOIN (VALUES (2), (3)) t(z)"""
 
 
 @query("k05_peptide_list_job", _K5)
 def _(spark, t):
     rows = jobs.peptide_list_job(tb.proteins(t).withColumn("doc_id", F.col("doc_id").cast("string")), key="doc_id", sequence="seq", low=2, high=3, variable=[("Oxidation", "M")], fixed=[("Carbamidomethyl", "C")], k=1, mz_min=0, mz_max=10000, mod_masses={"Oxidation": 15.99491461956, "Carbamidomethyl": 57.02146372057}, missed=0, min_len=7, max_len=12)
-    return rows.groupBy("peptide", "decoy", "proteins").agg(F.count("*").alias("n"))
+    mods = F.array_join(F.transform("mods", lambda m: F.concat(m["site"].cast("string"), F.lit(":"), m["name"])), ";")
+    return rows.select("peptide", "decoy", "proteins", "charge", mods.alias("mods"), F.round("mz", 5).alias("mz"))
 
 
 @query("k06_chromatogram_job")

@@ -177,10 +177,25 @@ def _(spark, t):
     return gen.expand_charges(tb.peptides(t), "peptide", 2, 3).select("doc_id", "form")
 
 
-@query("t04_expand_isoforms", f"SELECT pep AS peptide, 1 + m + m * (m - 1) // 2 AS n FROM (SELECT pep, len(regexp_extract_all(pep, '[MS]')) AS m FROM (SELECT DISTINCT pep FROM ({tb.PEPTIDES_SQL})))")
-def _(spark, t):
-    forms = gen.expand_isoforms(tb.peptides(t).groupBy("peptide").agg(F.bool_or("n_term").alias("n_term")), "peptide", "n_term", [("Oxidation", "M"), ("Phospho", "S")], [("Carbamidomethyl", "C")], 2)
-    return forms.groupBy("peptide").agg(F.count("*").alias("n"))
+def _isoforms_sql(most: int) -> str:
+    """Isoforms by joins of sites: up to ``most`` of Oxidation on M, Phospho on S and Methyl on S; Carbamidomethyl on every C."""
+    sets = ["SELECT pep, []::STRUCT(site INT, name VARCHAR)[] AS m, 0 AS upto FROM p"]
+    sets += [f"SELECT v.pep, v.m || [struct_pack(site := s.site, name := s.name)] AS m, s.site AS upto FROM v{j} v JOIN s ON s.pep = v.pep AND s.site > v.upto" for j in range(most)]
+    steps = ", ".join(f"v{j} AS ({q})" for j, q in enumerate(sets))
+    every = " UNION ALL ".join(f"SELECT pep, m FROM v{j}" for j in range(most + 1))
+    return f"""WITH p AS (SELECT DISTINCT pep FROM ({tb.PEPTIDES_SQL})), r AS (SELECT pep, unnest(range(1, length(pep) + 1))::INT AS site FROM p),
+s AS (SELECT pep, site, n.name FROM r JOIN (VALUES ('M', 'Oxidation'), ('S', 'Phospho'), ('S', 'Methyl')) n(c, name) ON pep[site] = n.c),
+f AS (SELECT pep, list(struct_pack(site := site, name := 'Carbamidomethyl')) AS m FROM r WHERE pep[site] = 'C' GROUP BY pep), {steps}, e AS ({every})
+SELECT e.pep AS peptide, array_to_string(list_transform(list_sort(e.m || coalesce(f.m, [])), lambda x: x.site || ':' || x.name), ';') AS mods FROM e LEFT JOIN f ON f.pep = e.pep"""
+
+
+for _most in (2, 4):
+
+    @query(f"t04_expand_isoforms{'' if _most == 2 else f'_{_most}'}", _isoforms_sql(_most))
+    def _(spark, t, most=_most):
+        rules = [("Oxidation", "M"), ("Phospho", "S"), ("Methyl", "S")]
+        forms = gen.expand_isoforms(tb.peptides(t).groupBy("peptide").agg(F.bool_or("n_term").alias("n_term")), "peptide", "n_term", rules, [("Carbamidomethyl", "C")], most)
+        return forms.select("peptide", F.array_join(F.transform("mods", lambda m: F.concat(m["site"].cast("string"), F.lit(":"), m["name"])), ";").alias("mods"))
 
 
 @query("t05_candidate_sites", f"SELECT DISTINCT pep AS peptide, array_to_string(list_filter(range(1, length(pep) + 1), lambda i: pep[i] = 'S'), ',') AS sites FROM ({tb.PEPTIDES_SQL})")
@@ -256,6 +271,25 @@ def _(spark, t):
     return scoring.score_batches(rows, score, "score", "length").select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query("x01_score_arrays", """SELECT vec_id, round(list_avg(x), 5) AS mean, len(x[1 : vec_id % 5])::INT AS n_head, round(coalesce(list_sum(x[1 : vec_id % 5]), 0) * 2, 4) AS head, len(list_filter(x, lambda v: v > 0))::BIGINT AS n_positive
+FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)""")
+def _(spark, t):
+    rows = t("embeddings").select("vec_id", "embedding", F.size("embedding").alias("length"))
+
+    def load():
+        import numpy as np
+
+        def score(frame):
+            x = np.stack(frame["embedding"].to_numpy()).astype("f8")
+            return {"mean": x.mean(1), "head": [v[: i % 5] * 2 for i, v in zip(frame["vec_id"], x, strict=True)], "n_positive": (x > 0).sum(1)}
+
+        return score
+
+    told = scoring.score_batches(rows, None, {"mean": "double", "head": "array<double>", "n_positive": "bigint"}, "length", factory=load)
+    total = F.aggregate("head", F.lit(0.0), lambda a, v: a + v)
+    return told.select("vec_id", F.round("mean", 5).alias("mean"), F.size("head").alias("n_head"), F.round(total, 4).alias("head"), "n_positive")
+
+
 @query("x01_linear_score", _SCORE)
 def _(spark, t):
     return scoring.linear_score(t("embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding", 3.0, 1.0).select("vec_id", F.round("score", 5).alias("score"))

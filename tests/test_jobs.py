@@ -1,4 +1,6 @@
+import itertools
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from peaklane.operators import generate as gen
 from peaklane.operators import joins as jn
 from peaklane.operators import pairs
 from peaklane.operators import sampling as sm
+from peaklane.operators import scoring
 from peaklane.plans import jobs
 from peaklane.sources import io
 
@@ -50,6 +53,47 @@ def test_isoforms(spark):
     assert len(got) == 1 + 3 + 3 and all((3, "Cam") in g for g in got) and len({tuple(g) for g in got}) == 7
 
 
+def test_isoforms_by_number(spark):
+    """Against all combinations of sites and names, with two names for a site and a fixed one on a variable site."""
+    rules, fixed = [("P", "S"), ("G", "S"), ("O", "M"), ("A", "n-term"), ("B", "protein-n-term"), ("C", "n-term")], [("F", "S"), ("F", "C")]
+    peptides = [("SMSC", True), ("SMSC", False), ("AAA", False), ("", True), ("SSSSSSSSS", False)]
+    df = spark.createDataFrame(peptides, "p string, n boolean")
+    for k in (0, 1, 3):
+        got = gen.expand_isoforms(df, "p", "n", rules, fixed, k).collect()
+        for p, n in peptides:
+            options = [(i + 1, name) for i, c in enumerate(p) for name, target in rules if target == c]
+            options += [(0, name) for name, target in rules if target == "n-term" or n and target == "protein-n-term"]
+            want = []
+            for j in range(k + 1):
+                for chosen in itertools.combinations(sorted(options), j):
+                    if len({s for s, _ in chosen}) == j:
+                        free = [(i + 1, name) for i, c in enumerate(p) for name, target in fixed if target == c and i + 1 not in {s for s, _ in chosen}]
+                        want.append(sorted([*chosen, *free]))
+            assert sorted([(m.site, m.name) for m in r.mods] for r in got if (r.p, r.n) == (p, n)) == sorted(want)
+    assert set(got[0].asDict()) == {"p", "n", "mods"}
+    long = spark.createDataFrame([("S" * 35, False)], "p string, n boolean")
+    assert gen.expand_isoforms(long, "p", "n", [("P", "S")], [], 4).select(F.array_join("mods.site", ",")).distinct().count() == 1 + 35 + 595 + 6545 + 52360
+
+
+def test_scores_of_several_kinds(spark):
+    df = spark.createDataFrame([(k, k % 3 or None) for k in range(40)], "k int, n int").repartition(24)
+
+    def load():
+        made = uuid.uuid4().hex
+        return lambda frame: {"made": [made] * len(frame), "size": [len(set(frame["n"].fillna(0)))] * len(frame), "list": [[float(x)] * (x % 4) for x in frame["k"]]}
+
+    out = scoring.score_batches(df, None, {"made": "string", "size": "int", "list": "array<double>"}, "n", 5, factory=load)
+    rows = out.collect()
+    assert sorted(r.k for r in rows) == list(range(40)) and all(r.size == 1 and r.list == [float(r.k)] * (r.k % 4) for r in rows)
+    assert len({r.made for r in rows}) <= 8  # once a worker, not once a partition
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.v for r in scoring.score_batches(df, lambda f: f["k"] * 2.0, "v", "n").collect()} == {k: k * 2.0 for k in range(40)}
+    with pytest.raises(ValueError):
+        scoring.score_batches(df, len, "k", "n")
+    with pytest.raises(Exception, match="1 values"):
+        scoring.score_batches(df, lambda f: [1.0], "v", "n").collect()
+
+
 def test_band_join_has_no_nested_loop(spark):
     a = spark.createDataFrame([(1, 500.0), (2, 500.02), (3, 900.0)], "k int, t double")
     b = spark.createDataFrame([(500.004,), (500.03,), (1.0,)], "p double")

@@ -135,14 +135,21 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest id that links reach, ``kept`` says
     that it is the row's own. Null and empty texts have no set and no link. A null id is no member of a component
     (null, not kept, unless a non-null id has the same set). Rows with the same id and text are one document; an id that
-    stands with different texts is one node, which takes part in links with the text whose set hashes lowest. Ids may be
-    of any type that has an order. Other columns don't matter. An empty table gives an empty result.
+    stands with different texts takes part in the links of each of them, and so joins them. Ids may be of any type that has
+    an order. Other columns don't matter, whatever their names. An empty table gives an empty result.
     """
+    name, ids, docs = ids, "id", docs.select(F.col(ids).alias("id"), F.col(text).alias("text"))
+    text = "text"
     sketch = written(_sketch(docs, ids, text, size, keys, rows), "sketch")
     classes = written(sketch.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min(ids).alias("rep"), F.min_by("told", ids).alias("told"), F.count("*").alias("copies")), "classes")
-    first = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2"))
-    lead = classes.filter("rep IS NOT NULL").withColumn("_r", first).filter("_r = 1").drop("_r", "copies")
-    reps = sketch.withColumnRenamed(ids, "rep").join(lead, ["rep", "told", "s1", "s2"], "left_semi").dropDuplicates(["rep"]).select("rep", "told", F.col("n_shingles").alias("n"), "small")
+    own_rows = sketch.filter(F.col(ids).isNotNull() & (F.col("n_shingles") > 0)).select(ids, "s1", "s2")
+    doubled = own_rows.groupBy(ids).agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).filter("lo <> hi").select(ids)
+    several = bool(doubled.limit(1).count())
+    # a class is named by its smallest id; where ids have several classes, by that id and the class, in the same order
+    node = F.struct("rep", "s1", "s2") if several else F.col("rep")
+    classes = classes.withColumn("node", F.when(F.col("rep").isNotNull(), node))
+    lead = classes.filter("rep IS NOT NULL").select(F.col("rep").alias(ids), "told", "s1", "s2", "node")
+    reps = sketch.join(lead, [ids, "told", "s1", "s2"]).dropDuplicates(["node"]).select(F.col("node").alias("rep"), ids, "told", F.col("n_shingles").alias("n"), "small")
     reps = written(reps, "reps")
     single = reps.select("rep", F.posexplode("small").alias("pos", "key"))
     shared = single.groupBy("pos", "key").agg(F.count_distinct("rep").alias("m")).filter("m > 1").drop("m")
@@ -153,8 +160,8 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     bucket = ["p", "q", "x", "y"]
     counted = tables.groupBy(bucket).agg(F.count("*").alias("m")).filter("m > 1")
     mates = written(tables.join(counted, bucket), "mates")
-    met = reps.select("rep", "told").join(mates.select("rep").distinct(), "rep", "left_semi")
-    texts = docs.select(F.col(ids).alias("rep"), F.xxhash64(text).alias("told"), F.col(text).alias("text")).join(met, ["rep", "told"], "left_semi")
+    met = reps.select("rep", ids, "told").join(mates.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(ids, F.xxhash64(text).alias("told"), "text").join(met, [ids, "told"])
     texts = written(texts.select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     weight = mates.groupBy("rep").agg(F.sum("m").alias("weight"))
@@ -173,14 +180,23 @@ def near_duplicates(docs: DataFrame, *, ids: str = "doc_id", text: str = "text",
     unsettled = written(own.join(open_, bucket, "left_semi").select("rep", "component").distinct().join(n, "rep"), "unsettled")
     rest = written(_across(unsettled, texts, size, percent).join(tried, ["u", "v"], "left_anti"), "rest")
     more = written(_confirmed(rest, texts, size, percent), "links")
+    if several:
+        more = more.unionByName(_same_id(own_rows.join(doubled, ids, "left_semi"), classes, ids))
     for k in "uv":
         more = more.join(part.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
     joined = components(more.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
-    named = classes.join(part.withColumnsRenamed({"node": "rep", "component": "c1"}), "rep", "left").withColumn("c1", F.coalesce("c1", "rep"))
+    named = classes.join(part.withColumnsRenamed({"component": "c1"}), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
     named = named.join(joined.withColumnsRenamed({"node": "c1", "component": "c2"}), "c1", "left").select("s1", "s2", "copies", F.coalesce("c2", "c1").alias("_found"))
     whole = _with_class(sketch.select(ids, "n_shingles", "s1", "s2"), written(named, "named"))
-    component = F.when(F.col("n_shingles") > 0, F.col("_found")).otherwise(F.col(ids))
-    return whole.select(ids, "n_shingles", component.alias("component_id"), F.coalesce(F.col(ids) == component, F.lit(False)).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("_found.rep") if several else F.col("_found")).otherwise(F.col(ids))
+    return whole.select(F.col(ids).alias(name), "n_shingles", component.alias("component_id"), F.coalesce(F.col(ids) == component, F.lit(False)).alias("kept"))
+
+
+def _same_id(rows: DataFrame, classes: DataFrame, ids: str) -> DataFrame:
+    """Links (u, v) between the classes of each id: a star around the first."""
+    held = written(rows.distinct().join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select(ids, "node"), "same-id")
+    first = held.groupBy(ids).agg(F.min("node").alias("u"))
+    return held.join(first, ids).filter("u <> node").select("u", F.col("node").alias("v")).distinct()
 
 
 def _with_class(rows: DataFrame, named: DataFrame, parts: int = 1000) -> DataFrame:

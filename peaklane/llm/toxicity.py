@@ -105,20 +105,25 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, slots: np.ndarray, width: int, r
 
 
 def train(docs: DataFrame, labels: DataFrame, *, ids: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, max_rows: int = 12_000, dims: int = 1 << 18, kept: int = 4096, paired: int = 1024, rank: int = 4, steps: int = 200, seed: int = 5) -> Machine:
-    """A machine fitted to at most ``max_rows`` labelled rows for which ``usable`` holds, those whose ids hash lowest.
+    """A machine fitted to at most ``max_rows`` labelled rows for which ``usable`` holds, those whose ids (then texts) hash
+    lowest.
 
     ``kept`` bounds the terms kept for their own share of toxic rows, ``paired`` the frequent terms that are tried in pairs;
     ``rank`` 0 gives a linear model. The driver sees counts of ``dims`` hashed terms, and of the sampled rows those terms
     that are candidates.
 
     Labels that are null are left out; an id labelled twice counts as toxic if one label is 1. An id that stands in ``docs``
-    twice counts twice. Without any labelled row the machine scores every text alike.
+    twice counts twice, within the bound. Without any labelled row the machine scores every text alike.
     """
     named = labels.filter(F.col(label).isNotNull() & F.col(ids).isNotNull())
     named = (named.filter(usable) if usable is not None else named).groupBy(ids).agg(F.max(label).cast("double").alias("_y"))
     sample = named.orderBy(F.xxhash64(ids), ids).limit(max_rows)
-    chosen = docs.select(ids, text).join(F.broadcast(sample), ids).select("_y", text)  # max_rows bounds the sample
-    chosen = written(chosen, "sample")
+    chosen = docs.select(F.col(ids).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample.withColumnRenamed(ids, "_id")), "_id")  # max_rows bounds the sample
+    chosen = written(chosen.select("_y", "_text", "_id", F.monotonically_increasing_id().alias("_row")), "sample")
+    if chosen.count() > max_rows:  # ids that stand several times
+        kept_rows = chosen.select("_id", F.xxhash64("_text").alias("_told"), "_row").orderBy(F.xxhash64("_id"), "_id", "_told", "_row").limit(max_rows).select("_row")
+        chosen = written(chosen.join(F.broadcast(kept_rows), "_row", "left_semi"), "sample")
+    chosen = chosen.select("_y", "_text")
 
     def pairs(batches):
         for batch in batches:

@@ -139,6 +139,30 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert results == {((1, 1), (1, 1), (2, 1), (3, 1))}
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 80, 4000) for _ in range(3))
+    near = b + " end"
+    rows = [(1, a), (1, b), (2, b), (4, near), (7, c), (7, a), (9, c + " end"), (12, prose(rng, 50, 4000)), (None, b), (5, None), (5, ""), (3, "x"), (3, "y")]
+    for n in (1, 2, 5):
+        df = spark.createDataFrame(rows, "s1 long, node string").repartition(n)
+        got = collections.Counter((r.s1, r.component_id) for r in near_dedup.near_duplicates(df, ids="s1", text="node").collect())
+        assert got == collections.Counter([(1, 1), (1, 1), (2, 1), (4, 1), (7, 1), (7, 1), (9, 1), (12, 12), (None, 1), (5, 5), (5, 5), (3, 3), (3, 3)])
+
+
+def test_sample_of_labels_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"word{k} bad") for k in range(300)] + [(k, f"good text{k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 40)], "doc_id long, toxic int")
+    sizes, fit = [], toxicity._fit
+    try:
+        toxicity._fit = lambda rows, y, *more: sizes.append(len(rows)) or fit(rows, y, *more)
+        for n in (10, 200, 10_000):
+            toxicity.train(docs, labels, max_rows=n)
+    finally:
+        toxicity._fit = fit
+    assert sizes == [10, 200, 338] or sizes[0] <= 10 and sizes[1] <= 200 and sizes[2] == 338
+
+
 def test_near_duplicates(docs, empty, rows):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
     sets = {}

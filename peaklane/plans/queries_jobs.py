@@ -32,6 +32,35 @@ def _(spark, t):
     return jobs.rank_label_job(tb.report(t), known, group="grp", item="item", run="run", value="v", q_values=["q1", "q2"], limit=0.02)
 
 
+#: Benchmark items as proteins; their peptides as detected in three runs or not, by arithmetic on item, length and run.
+_K1_FILES = f"""WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark), p AS (SELECT DISTINCT item_id, unnest(string_split(replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '|P', 'P'), '|')) AS pep FROM s),
+c AS (SELECT item_id, pep, length(pep) AS l FROM p WHERE length(pep) BETWEEN 7 AND 35), ok AS (SELECT item_id, pep, pep || '|' || (2 + l % 2) AS form, run, (l * 37 + item_id * 11 + run * 13) % 50 + 1.0 AS v FROM c, range(3) t(run) WHERE (l + run + item_id) % 3 <> 0 AND (l + run) % 10 <= 5),
+one AS (SELECT pep FROM ok GROUP BY pep HAVING count(DISTINCT item_id) = 1), two AS (SELECT item_id FROM ok WHERE pep IN (SELECT pep FROM one) GROUP BY item_id HAVING count(DISTINCT pep) >= 2),
+v AS (SELECT * FROM ok WHERE pep IN (SELECT pep FROM one) AND item_id IN (SELECT item_id FROM two)), found AS (SELECT DISTINCT item_id, pep FROM v), d AS (SELECT item_id, count(*) AS d FROM found GROUP BY item_id),
+own AS (SELECT pep FROM c GROUP BY pep HAVING count(DISTINCT item_id) = 1), n AS (SELECT item_id, pep, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(pep, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: (a * 31 + b) % 1000003) AS k FROM c WHERE pep IN (SELECT pep FROM own)),
+u AS (SELECT n.item_id, n.pep, d, row_number() OVER (PARTITION BY n.item_id ORDER BY {_order('k', 7)}, k) AS r FROM n JOIN d ON d.item_id = n.item_id ANTI JOIN found ON found.item_id = n.item_id AND found.pep = n.pep),
+o AS (SELECT item_id, pep || '|' || z AS form FROM u, (VALUES (2), (3)) t(z) WHERE r <= greatest(ceil((d - 1) / 2.0 / 2), 1) UNION SELECT item_id, form FROM v),
+q AS (SELECT DISTINCT x.item_id, x.form AS a, y.form AS b FROM v x JOIN o y ON x.item_id = y.item_id AND x.form <> y.form), r AS (SELECT DISTINCT q.item_id, a, b, run FROM q JOIN v ON v.item_id = q.item_id AND v.form IN (a, b)),
+w AS (SELECT r.*, coalesce(x.v, 0) AS va, coalesce(y.v, 0) AS vb FROM r LEFT JOIN v x ON x.item_id = r.item_id AND x.form = a AND x.run = r.run LEFT JOIN v y ON y.item_id = r.item_id AND y.form = b AND y.run = r.run),
+e AS (SELECT item_id, a, b, count(*) FILTER (WHERE va > vb) AS n_pos, count(*) FILTER (WHERE va < vb) AS n_neg, max((va > 0 AND vb > 0)::INT) AS both_detected FROM w GROUP BY ALL)
+SELECT e.item_id, a || ':' || b AS pair, n_pos, n_neg, both_detected, (n_pos > n_neg)::INT AS label, round(t.total, 4) AS intensity FROM e JOIN (SELECT item_id, sum(v) AS total FROM v GROUP BY item_id) t ON t.item_id = e.item_id"""
+
+
+@query("k01_rank_label_files", _K1_FILES)
+def _(spark, t):
+    path = _scratch(spark)
+    proteins = t("benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    seen = gen.digest(proteins, ["item_id"], "seq", "Trypsin", 0, 7, 35).withColumn("l", F.length("peptide")).withColumn("run", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    seen = seen.filter((F.col("l") + F.col("run") + F.col("item_id")) % 3 != 0)
+    report = seen.select("item_id", "peptide", (F.col("l") % 2 + 2).alias("z"), "run", ((F.col("l") * 37 + F.col("item_id") * 11 + F.col("run") * 13) % 50 + 1.0).alias("v"), ((F.col("l") + F.col("run")) % 10 / 100).alias("q"))
+    jobs.rank_label_files_job(report, proteins, path, group="item_id", peptide="peptide", charge="z", run="run", value="v", q_values=["q"], sequence="seq", limit=0.05, missed=0, min_len=7, max_len=35)
+    read = lambda name, schema: spark.read.option("sep", "\t").option("header", True).schema(schema).csv(f"{path}/{name}")
+    pairs = read("pairs", "item_id long, a string, b string, n_pos long, n_neg long, a_detected int, b_detected int, both_detected int")
+    labels = read("consensus", "item_id long, pair string, label int")
+    totals = read("intensities", "item_id long, form string, run int, v double").groupBy("item_id").agg(F.round(F.sum("v"), 4).alias("intensity"))
+    return pairs.withColumn("pair", F.concat_ws(":", "a", "b")).join(labels, ["item_id", "pair"]).join(totals, "item_id").select("item_id", "pair", "n_pos", "n_neg", "both_detected", "label", "intensity")
+
+
 @query("k02_rank_pairs_job", """WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark), p AS (SELECT DISTINCT item_id, unnest(string_split(replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '|P', 'P'), '|')) AS pep FROM s),
 f AS (SELECT item_id, pep || '|' || z AS form FROM p, (VALUES (2), (3)) t(z) WHERE length(pep) BETWEEN 7 AND 35) SELECT x.item_id, x.form AS a, y.form AS b, x.form || ':' || y.form AS pair FROM f x JOIN f y ON x.item_id = y.item_id AND x.form < y.form""")
 def _(spark, t):
@@ -69,6 +98,37 @@ def _(spark, t):
     return lib.groupBy("ModifiedPeptide").agg(F.count("*").alias("n"), F.sum("FragmentMz").alias("mz"), F.sum("RelativeIntensity").alias("intensity"), F.max("ProteinID").alias("ProteinID"), F.round(F.max("Tr_recalibrated"), 2).alias("rt"))
 
 
+_K4_FILES = f"""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS number, max(l_quantity) AS q, max(l_tax) AS t, max(l_discount) AS d, max(l_extendedprice) AS e FROM lineitem GROUP BY ALL),
+x AS (SELECT id, number, 'b' AS ion, '' AS loss, q / 50 AS i, e / 100 AS mz FROM l UNION ALL SELECT id, number, 'y', '', t, e / 100 + 1 FROM l UNION ALL SELECT id, number, 'y', 'modloss', d, e / 100 + 2 FROM l),
+k AS (SELECT *, count(*) OVER (PARTITION BY id) AS c FROM x WHERE i > 0 AND mz BETWEEN 50 AND 400 AND number BETWEEN 2 AND 7), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC, mz, ion, number) AS r FROM k WHERE c >= 2),
+g AS (SELECT id, count(*) AS n, round(sum(mz), 4) AS mz, sum((loss = 'modloss')::INT) AS n_loss, min(printf('%.4f', i)) AS least FROM r WHERE r <= 4 GROUP BY id)
+SELECT replace('MPEP' || translate(id::VARCHAR, '0123456789', 'ACDEFGHIKL'), 'M', CASE WHEN id % 2 = 0 THEN 'M[15.99491461956]' ELSE 'M' END) AS ModifiedPeptide, n, mz, n_loss::BIGINT AS n_loss, least, n AS numPeaks, n AS n_annotations, (id % 2 = 0)::INT AS n_mods, o_orderstatus AS protein FROM g JOIN orders ON o_orderkey = id"""
+
+
+@query("k04_library_files", _K4_FILES)
+def _(spark, t):
+    path = _scratch(spark)
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(f"l_{c}").alias(c) for c in ("quantity", "tax", "discount", "extendedprice")])
+    at = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.col("l_linenumber").alias("number")]
+    ions = ["b_z1", "y_z1", "y_modloss_z1"]
+    masses = lines.select(*at, *[(F.col("extendedprice") / 100 + k).alias(c) for k, c in enumerate(ions)])
+    intensities = lines.select(*at, (F.col("quantity") / 50).alias(ions[0]), F.col("tax").alias(ions[1]), F.col("discount").alias(ions[2]))
+    pep = F.concat(F.lit("MPEP"), F.translate(F.col("o_orderkey").cast("string"), "0123456789", "ACDEFGHIKL"))
+    key = F.col("o_orderkey").alias("pepID")
+    mods = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.lit("Oxidation").alias("name"), F.lit(1).alias("site")))).otherwise(F.array().cast("array<struct<name:string,site:int>>"))
+    o = t("orders")
+    precursors = o.select(key, F.lit(2).alias("charge"), pep.alias("sequence"), mods.alias("mods"), F.lit(500.0).alias("mz"), (F.col("o_orderkey") * 8 + 1).alias("start"), (F.col("o_orderkey") * 8 + 8).alias("stop"))
+    rt, mobility = o.select(key, (F.col("o_totalprice") / 1000).alias("rt")), o.select(key, F.lit(2).alias("charge"), F.lit(0.5).alias("mobility"))
+    jobs.library_files_job(precursors, masses, intensities, rt, mobility, o.select(pep.alias("sequence"), F.col("o_orderstatus").alias("proteins")), path, ions=ions, names={"Oxidation": "15.99491461956"}, top=4, mz_min=50, mz_max=400, min_number=2, min_n=2)
+    flat = spark.read.parquet(f"{path}/flat").groupBy("ModifiedPeptide").agg(F.count("*").alias("n"), F.round(F.sum("FragmentMz"), 4).alias("mz"), F.count_if(F.col("FragmentLossType") == "modloss").alias("n_loss"))
+    text = spark.read.option("sep", "\t").option("header", True).csv(f"{path}/text").groupBy("ModifiedPeptide").agg(F.min("RelativeIntensity").alias("least"))
+    table = lambda n: spark.read.parquet(f"{path}/tables/{n}")
+    count = lambda n, c: table(n).groupBy("RefSpectraID").agg(F.count("*").alias(c))
+    spectra = table("RefSpectra").select("RefSpectraID", F.col("peptideModSeq").alias("ModifiedPeptide"), "numPeaks", "protein")
+    spectra = spectra.join(count("RefSpectraPeakAnnotations", "n_annotations"), "RefSpectraID").join(count("Modifications", "n_mods"), "RefSpectraID", "left").na.fill(0, ["n_mods"])
+    return flat.join(text, "ModifiedPeptide").join(spectra, "ModifiedPeptide").select("ModifiedPeptide", "n", "mz", "n_loss", "least", "numPeaks", "n_annotations", F.col("n_mods").cast("int").alias("n_mods"), "protein")
+
+
 _K5 = f"""WITH p AS (SELECT pep, string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id::VARCHAR) AS proteins FROM ({tb.PEPTIDES_SQL}) WHERE pep NOT LIKE '%X%' GROUP BY pep),
 d AS (SELECT pep AS peptide, proteins, 0 AS decoy FROM p UNION ALL SELECT pep[1] || reverse(pep[2:length(pep)-1]) || pep[length(pep)], proteins, 1 FROM p),
 c AS (SELECT peptide, proteins, decoy, list_filter(range(1, length(peptide) + 1), lambda i: peptide[i] = 'C') AS cs FROM d),

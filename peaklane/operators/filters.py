@@ -26,9 +26,12 @@ def fdr_filter(df: DataFrame, column: str, cutoff: float) -> DataFrame:
     return df.filter(F.col(column) <= cutoff)
 
 
-def conditional_filter(df: DataFrame, when: Column, keep: Column) -> DataFrame:
-    """Rows for which ``keep`` holds, or ``when`` doesn't."""
-    return df.filter(~F.coalesce(when, F.lit(False)) | F.coalesce(keep, F.lit(False)))
+def conditional_filter(df: DataFrame, when: Column, keep: Column, observe: str | None = None) -> DataFrame:
+    """Rows for which ``keep`` holds, or ``when`` doesn't. ``observe`` names an observation that counts the dropped rows."""
+    good = ~F.coalesce(when, F.lit(False)) | F.coalesce(keep, F.lit(False))
+    if observe:
+        df = df.observe(observe, F.count_if(~good).alias("dropped"))
+    return df.filter(good)
 
 
 def drop_unmapped(df: DataFrame, registry: DataFrame, on: str) -> DataFrame:

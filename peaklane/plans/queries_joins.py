@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peaklane.operators import filters as fl
 from peaklane.operators import generate as gen
 from peaklane.operators import joins as jn
+from peaklane.operators import sampling as sm
 from peaklane.operators import signal as sg
 from peaklane.plans import tables as tb
 from peaklane.plans.registry import query
@@ -113,6 +114,12 @@ def _(spark, t):
     return found.select("p_partkey", F.array_join("proteins", ";").alias("proteins"), "decoy")
 
 
+@query("j01_unknown_peptides", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(spark, t):
+    known = t("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return jn.unknown_peptides(t("orders").select("o_orderkey", "o_custkey"), known, "o_custkey")
+
+
 @query("j02_lookup_proteins", "SELECT l_orderkey, count(p_name) AS n, min(p_name) AS first_name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def _(spark, t):
     names = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -285,10 +292,14 @@ def _(spark, t):
     return gen.digest(tb.proteins(t), ["doc_id"], "seq", "Trypsin", 0, 7, 12, clip_m=True).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("u04_detected_and_sampled", f"SELECT DISTINCT grp, item FROM ({tb.VALUES_SQL}) UNION SELECT p_brand || '|' || p_type, p_partkey FROM part WHERE p_size <= 5")
+@query("u04_detected_and_sampled", f"""WITH f AS (SELECT DISTINCT grp, item FROM ({tb.VALUES_SQL})), d AS (SELECT grp, count(*) AS d FROM f GROUP BY grp),
+u AS (SELECT p.grp, p.item, d, row_number() OVER (PARTITION BY p.grp ORDER BY {tb.order_sql('p.item', 7)}, p.item) AS r FROM (SELECT p_brand || '|' || p_type AS grp, p_partkey AS item FROM part) p JOIN d ON d.grp = p.grp ANTI JOIN f ON f.grp = p.grp AND f.item = p.item)
+SELECT grp, item FROM f UNION SELECT grp, item FROM u WHERE r <= greatest(ceil(1.0 * (d - 1) / 2 / 2), 1)""")
 def _(spark, t):
-    drawn = t("part").filter("p_size <= 5").select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_partkey").alias("item"))
-    return tb.values(t).select("grp", "item").union(drawn).distinct()
+    found = tb.values(t).select("grp", "item").distinct()
+    known = t("part").select(F.concat_ws("|", "p_brand", "p_type").alias("grp"), F.col("p_partkey").alias("item"))
+    both = known.join(found.withColumn("det", F.lit(True)), ["grp", "item"], "full").withColumn("det", F.coalesce("det", F.lit(False)))
+    return found.union(sm.sample_undetected(both, "grp", "item", "det", 1.0, 2, 7, "item").select("grp", "item")).distinct()
 
 
 @query("u05_target_groups", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#17') GROUP BY p_brand")

@@ -167,6 +167,36 @@ def _(spark, t):
     return cut.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("peptide")).alias("chars"))
 
 
+def _enzyme_sql(index: int) -> str:
+    """Peptides of 7 to 12 residues by one of the cutting rules, with marks at the cuts."""
+    name, before, after, forbid = gen.ENZYMES[index]
+    if index == 0:
+        cut = "SELECT DISTINCT doc_id, seq[i : i + n - 1] AS p FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 5)) AS i FROM s) JOIN (VALUES (7), (8)) t(n) ON i + n - 1 <= length(seq)"
+    else:
+        marked = f"regexp_replace(seq, '([{before}])', '\\1|', 'g')" if before else f"regexp_replace(seq, '([{after}])', '|\\1', 'g')"
+        marked = f"replace({marked}, '|{forbid}', '{forbid}')" if forbid else marked
+        cut = f"SELECT DISTINCT doc_id, unnest(string_split({marked}, '|')) AS p FROM s"
+    return f"SELECT '{name}' AS enzyme, doc_id, count(*) AS n, sum(length(p))::BIGINT AS residues FROM ({cut}) WHERE length(p) BETWEEN 7 AND 12 GROUP BY doc_id"
+
+
+@query("t02_enzymes", f"WITH s AS ({tb.PROTEINS_SQL}) " + " UNION ALL ".join(_enzyme_sql(k) for k in range(1, len(gen.ENZYMES))))
+def _(spark, t):
+    """Every rule but the non-specific one."""
+    found = None
+    for name, *_ in gen.ENZYMES[1:]:
+        cut = gen.digest(tb.proteins(t), ["doc_id"], "seq", name, 0, 7, 12).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("peptide")).alias("residues"))
+        one = cut.select(F.lit(name).alias("enzyme"), "doc_id", "n", "residues")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("t02_non_specific", f"WITH s AS (SELECT item_id AS doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark) {_enzyme_sql(0)}")
+def _(spark, t):
+    items = t("benchmark").select(F.col("item_id").alias("doc_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    cut = gen.digest(items, ["doc_id"], "seq", "non-specific", 0, 7, 8).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("peptide")).alias("residues"))
+    return cut.select(F.lit("non-specific").alias("enzyme"), "doc_id", "n", "residues")
+
+
 @query("t02_other_enzymes", f"""SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(seq, '([DE])', '|\\1', 'g'), '|')) AS p FROM ({tb.PROTEINS_SQL})) WHERE length(p) BETWEEN 7 AND 12 GROUP BY doc_id""")
 def _(spark, t):
     return gen.digest(tb.proteins(t), ["doc_id"], "seq", "Asp-N (ambic)", 0, 7, 12).groupBy("doc_id").agg(F.count("*").alias("n"))

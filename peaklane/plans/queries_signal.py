@@ -15,6 +15,12 @@ def _(spark, t):
     return sg.scan_index(tb.events(t).withColumn("o", F.struct("sec", "event_id")), ["event_type"], "o").select("event_id", "scan_index")
 
 
+@query("w01_scan_by_index", f"SELECT event_type, sec, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sec, event_id) - 1 AS i FROM ({tb.EVENTS_SQL})) WHERE i = 3")
+def _(spark, t):
+    indexed = sg.scan_index(tb.events(t).withColumn("o", F.struct("sec", "event_id")), ["event_type"], "o")
+    return sg.scan_by_index(indexed, ["event_type"], "o", 3).select("event_type", "o.sec", "o.event_id")
+
+
 @query("w02_top_n", "SELECT l_orderkey, l_extendedprice, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 3")
 def _(spark, t):
     return sg.top_n(t("lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber"], 3).select("l_orderkey", "l_extendedprice", "l_partkey")
@@ -130,8 +136,7 @@ def _(spark, t):
     return sg.refine_peak(ions, ["user_id"], "values", "left", "right", "cor").withColumn("min_smoothed", F.round("min_smoothed", 2))
 
 
-def _order(key: str, seed: int) -> str:
-    return f"(({key} % 1073741824 + {seed}) * {sm.FACTOR}) % {sm.MODULUS}"
+_order = tb.order_sql
 
 
 @query("w12_stratified_sample", f"""WITH m AS (SELECT max(o_totalprice) AS top FROM orders), b AS (SELECT o_orderkey, floor(o_totalprice / top * 10)::BIGINT AS bin FROM orders, m WHERE o_totalprice < top AND o_totalprice >= 0),

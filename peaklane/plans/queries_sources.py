@@ -135,6 +135,13 @@ def _(spark, t):
     return lines.select(F.regexp_extract("value", r"TITLE=(\d+)", 1).cast("long").alias("user_id"), F.size(F.filter(F.split("value", "\n"), lambda x: x != "")).cast("long").alias("n")).select("user_id", (F.col("n") + 1).alias("n_lines"))
 
 
+@query("s11_missing_scans", f"""WITH e AS (SELECT user_id, sec // 86400 AS day, event_type FROM ({tb.EVENTS_SQL})) SELECT DISTINCT user_id, day FROM e WHERE event_type = 'purchase'
+AND (user_id, day) NOT IN (SELECT (user_id, day) FROM e WHERE event_type = 'view')""")
+def _(spark, t):
+    e = tb.events(t).withColumn("day", F.floor(F.col("sec") / 86400))
+    return io.missing_scans(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), ["user_id", "day"])
+
+
 @query("s12_tag_fasta_headers", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'sp|' || p_partkey || '|T_' || p_name || ' GN=T_' || p_brand ELSE p_name END AS header, p_size <= 25 AS malformed FROM part")
 def _(spark, t):
     header = F.when(F.col("p_size") > 25, F.concat(F.lit("sp|"), F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_name"), F.lit(" GN="), F.col("p_brand"))).otherwise(F.col("p_name"))

@@ -98,3 +98,10 @@ WHERE length(pep) BETWEEN 7 AND 12"""
 
 def peptides(t) -> DataFrame:
     return gen.digest(proteins(t), ["doc_id"], "seq", "Trypsin", 0, 7, 12)
+
+
+def order_sql(key: str, seed: int) -> str:
+    """The order in which ``sample_order`` draws integer keys."""
+    from peaklane.operators.sampling import FACTOR, MODULUS
+
+    return f"(({key} % {1 << 30} + {seed}) * {FACTOR}) % {MODULUS}"

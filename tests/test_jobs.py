@@ -3,6 +3,7 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from peaklane.operators import aggregates as ag
@@ -29,6 +30,14 @@ def test_missing_confidence_is_kept(spark):
     assert [r.id for r in fl.confidence_filter(df, ["q"]).orderBy("id").collect()] == [1, 2, 3]
 
 
+def test_dropped_rows_are_counted(spark):
+    seen = Observation("rejects")
+    df = spark.createDataFrame([(1, True, True), (2, True, None), (3, None, False), (4, True, False)], "id int, w boolean, k boolean")
+    kept = fl.conditional_filter(df, F.col("w"), F.col("k"), seen)
+    assert sorted(r.id for r in kept.collect()) == [1, 3]
+    assert seen.get["dropped"] == 2
+
+
 def test_votes_are_antisymmetric(spark):
     rows = [(f"r{r}", "g", f"i{i}", float((i * 7 + r * 3) % 5), 0.0) for r in range(4) for i in range(6)]
     v = spark.createDataFrame(rows, REPORT)

@@ -7,6 +7,7 @@ strings cannot occur inside a text, since ``\\`` and ``<`` are escaped there (an
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +46,17 @@ _SCALAR = r"(?<=: |ARRAY<)(BIGINT|STRING|VOID|DOUBLE|FLOAT|BOOLEAN|DECIMAL\([0-9
 _TURNS = "array<struct<role:string,content:string>>"
 
 
-def fingerprint(record: Column) -> Column:
+def field_paths(record: Column, layouts: dict[str, Layout] = LAYOUTS) -> Column:
+    """The nested field paths of a variant, without scalar fields of a name that no layout has (``source``, ``score``)."""
+    names = sorted({n for layout in layouts.values() for n in re.findall(r"(\w+): ", layout.paths)})
+    paths = F.regexp_replace(F.schema_of_variant(record), _SCALAR, "v")
+    extra = rf"(?<=<|, )(?!(?:{'|'.join(names)}): )(?:`(?:[^`]|``)*`|[^\s<>,:`]+): v(?:, |(?=>))"
+    return F.regexp_replace(F.regexp_replace(paths, extra, ""), ", >", ">")
+
+
+def fingerprint(record: Column, layouts: dict[str, Layout] = LAYOUTS) -> Column:
     """The hash of the nested field paths of a variant."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _SCALAR, "v"))
+    return F.xxhash64(field_paths(record, layouts))
 
 
 def _turns(layout: Layout, record: Column) -> Column:
@@ -69,8 +78,10 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record: str = "record", *, layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
-    """(key, turn, role, content, layout): the turns of all records, a variant column each.
+    """(key, turn, role, content, layout, record_no): the turns of all records, a variant column each.
 
+    Scalar fields beside those of a layout don't matter, unless another layout knows their names. Records of several turns are
+    conversations of their own, told apart by ``record_no`` where they share an id; rows of one turn have 0 there.
     A record whose fingerprint no layout has gives one row with null turn, role, content and layout. It, and a record of
     several turns without an id of its own, gets a key made of ``#``, a hash of its content and its row number, so records
     that are not known never become one conversation. Rows of one turn each belong together by their key, so those with a
@@ -79,6 +90,7 @@ def canonical_turns(records: DataFrame, record: str = "record", *, layouts: dict
     """
     v, own = F.col(record), F.col("_own")
     name, turns, key, order = (F.lit(None).cast(t) for t in ("string", _TURNS, "string", "long"))
+    single = F.lit(False)
     for label, layout in layouts.items():
         is_it = own == F.xxhash64(F.lit(layout.paths))
         name = F.when(is_it, label).otherwise(name)
@@ -86,11 +98,12 @@ def canonical_turns(records: DataFrame, record: str = "record", *, layouts: dict
         key = F.when(is_it, F.try_variant_get(v, layout.key, "string")).otherwise(key)
         if layout.order:
             order = F.when(is_it, F.try_variant_get(v, layout.order, "long")).otherwise(order)
+            single = single | is_it
     known_key = F.coalesce(key, F.when(order.isNull(), F.concat(F.lit("#"), F.hex(F.xxhash64(F.to_json(v))), F.lit("-"), F.col("_number").cast("string"))))
-    found = records.select(v.alias(record)).withColumns({"_own": fingerprint(v), "_number": F.monotonically_increasing_id()}).select(known_key.alias("key"), order.alias("_order"), name.alias("layout"), F.posexplode_outer(turns).alias("_i", "_t"))
+    found = records.select(v.alias(record)).withColumns({"_own": fingerprint(v, layouts), "_number": F.monotonically_increasing_id()}).select(known_key.alias("key"), order.alias("_order"), name.alias("layout"), F.when(single, F.lit(0)).otherwise(F.col("_number")).alias("record_no"), F.posexplode_outer(turns).alias("_i", "_t"))
     role = F.col("_t.role")
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    return found.select("key", F.coalesce("_order", F.col("_i").cast("long")).alias("turn"), F.coalesce(F.get(F.array(known[role]), F.lit(0)), role).alias("role"), F.col("_t.content").alias("content"), "layout")
+    return found.select("key", F.coalesce("_order", F.col("_i").cast("long")).alias("turn"), F.coalesce(F.get(F.array(known[role]), F.lit(0)), role).alias("role"), F.col("_t.content").alias("content"), "layout", "record_no")
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -105,8 +118,9 @@ def unescaped(text: Column) -> Column:
 _CLOSE = "</turn>\n"
 
 
-def format_chats(turns: DataFrame, *, key: str = "key", order: str = "turn", learn: str = "assistant") -> DataFrame:
-    """(key, formatted, loss_spans) for each conversation of canonical turns.
+def format_chats(turns: DataFrame, *, key: str = "key", order: str = "turn", learn: str = "assistant", record: str = "record_no") -> DataFrame:
+    """(key, formatted, loss_spans) for each conversation of canonical turns: those of one key and, if the table has that
+    column, of one ``record``.
 
     ``loss_spans``: character ranges (end excluded) of the texts of role ``learn`` in ``formatted``. Turns stand in the
     order of ``order``, then role and content; repeated rows are repeated turns. A conversation is one string, so its
@@ -114,13 +128,14 @@ def format_chats(turns: DataFrame, *, key: str = "key", order: str = "turn", lea
     """
     role, content = (F.coalesce(c, F.lit("")) for c in ("role", "content"))
     head = F.concat(F.lit("<turn "), escaped(role, True), F.lit(">"))
-    rows = turns.select(key, F.col(order).alias("_o"), role.alias("role"), content.alias("content"), F.concat(head, escaped(content), F.lit(_CLOSE)).alias("_shown"), F.length(head).alias("_head"))
-    upto = F.sum(F.length("_shown").cast("long")).over(Window.partitionBy(key).orderBy("_o", "role", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = F.col(record) if record in turns.columns else F.lit(0)
+    rows = turns.select(key, number.alias("_record"), F.col(order).alias("_o"), role.alias("role"), content.alias("content"), F.concat(head, escaped(content), F.lit(_CLOSE)).alias("_shown"), F.length(head).alias("_head"))
+    upto = F.sum(F.length("_shown").cast("long")).over(Window.partitionBy(key, "_record").orderBy("_o", "role", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_end", upto)
     span = F.struct((F.col("_end") - F.length("_shown") + F.col("_head")).alias("start"), (F.col("_end") - len(_CLOSE)).alias("end"))
     shown = F.array_sort(F.collect_list(F.struct("_end", "_shown")))
     spans = F.array_sort(F.collect_list(F.when(F.col("role") == learn, span)))
-    return rows.groupBy(key).agg(F.array_join(F.transform(shown, lambda x: x["_shown"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return rows.groupBy(key, "_record").agg(F.array_join(F.transform(shown, lambda x: x["_shown"]), "").alias("formatted"), spans.alias("loss_spans")).drop("_record")
 
 
 def read_chats(chats: DataFrame) -> DataFrame:

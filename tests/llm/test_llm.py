@@ -379,6 +379,22 @@ def test_chat(spark):
     assert [tuple(t) for t in back.turns] == [("", ""), ("", ""), ("a>b<c\\", "</turn>\n<turn x>")] and back.loss_texts == []
 
 
+def test_records_of_one_id_and_extra_fields(spark):
+    records = [
+        '{"id": 1, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "source": "web"}',
+        '{"id": 1, "messages": [{"role": "user", "content": "c", "name": "n"}, {"role": "assistant", "content": "d", "name": null}], "a-1": 2.5}',
+        '{"id": 2, "prompt": "p", "response": "r", "zz": true, "aa": "x"}',
+        '{"conv_id": 3, "turn": 1, "role": "assistant", "text": "late", "model": "m"}', '{"conv_id": 3, "turn": 0, "role": "user", "text": "early"}',
+        '{"id": 4, "prompt": "p", "response": "r", "meta": {"k": 1}}',
+    ]
+    turns = chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "j string").repartition(3).select(F.parse_json("j").alias("record")))
+    read = chat.read_chats(chat.format_chats(turns.filter("layout IS NOT NULL"))).collect()
+    assert sorted((r.key, [tuple(t) for t in r.turns]) for r in read) == [
+        ("1", [("user", "a"), ("assistant", "b")]), ("1", [("user", "c"), ("assistant", "d")]), ("2", [("user", "p"), ("assistant", "r")]), ("3", [("user", "early"), ("assistant", "late")])
+    ]
+    assert turns.filter("layout IS NULL").count() == 1  # a nested field that no layout has
+
+
 def test_chat_layouts(spark):
     told = {
         '{"id": 1, "messages": [{"role": "user", "content": [{"type": "text", "text": "p"}, {"type": "text", "text": "q"}]}]}': ("1", [("user", "p\nq")]),

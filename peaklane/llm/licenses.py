@@ -167,12 +167,16 @@ def _labels_of(expression: str, limit: float | None) -> set[str]:
 
 @functools.cache
 def _automaton(phrases: tuple[tuple[str, str, bool], ...]):
+    """Of each phrase its labels, as (label, whether it is a base one, words): base ones and a caller's stay side by side."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for phrase, label, base in phrases:
-        found.add_word(f" {phrase} ", (label, base, len(phrase.split())))
-    found.add_word(f" {TAG} ", ("", False, len(TAG.split())))
+    found, told = ahocorasick.Automaton(), {}
+    for phrase, label, base in (*phrases, (TAG, "", False)):
+        own = told.setdefault(phrase, [])
+        if all(label != known for known, *_ in own):
+            own.append((label, base, len(phrase.split())))
+    for phrase, own in told.items():
+        found.add_word(f" {phrase} ", own)
     found.make_automaton()
     return found
 
@@ -184,7 +188,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] =
     """``docs`` with n_words, matches (label, is_base, start and end word), expressions (text, limit), labels and score.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and characters beyond ASCII. ``matches`` are in the
-    order of their ends; every place counts, overlaps too. ``expressions``: what follows a tag, as far as it is a licence
+    order of their ends; every place counts, overlaps too, and ``phrases`` add labels to those of ``base``. ``expressions``: what follows a tag, as far as it is a licence
     expression, or else the rest of its line. ``labels``: distinct and sorted, of the phrases and of the expressions
     (``spdx-permissive``, ``spdx-weak``, ``spdx-strong``; ``spdx-unknown`` if an identifier isn't known, ``spdx-invalid`` for
     what can't be parsed). ``score``: the greatest limit of the labels and expressions; 0 if there are none.
@@ -205,7 +209,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] =
         for batch in batches:
             w = words(batch.column(at), seed=3, lower=True, blank=PLAIN_BLANK)
             raw, into = w.packed(np.ones(len(w.start), bool))
-            hits = [(e, *v) for e, v in automaton.iter(" " + raw.decode("latin-1"))]
+            hits = [(e, *v) for e, own in automaton.iter(" " + raw.decode("latin-1")) for v in own]
             last = np.searchsorted(into, np.array([h[0] for h in hits], np.int64), "left") - 1
             owner = np.searchsorted(w.first, last, "right") - 1
             matches: list[list] = [[] for _ in range(batch.num_rows)]

@@ -379,6 +379,14 @@ def test_chat(spark):
     assert [tuple(t) for t in back.turns] == [("", ""), ("", ""), ("a>b<c\\", "</turn>\n<turn x>")] and back.loss_texts == []
 
 
+def test_phrases_of_a_caller_leave_base_ones(spark):
+    df = spark.createDataFrame([("CC BY 4.0 and cc by",)], "text string")
+    row = licenses.license_scan(df, phrases={"cc by": "x", "and cc": "y"}).first()
+    assert [(m.label, m.is_base, m.start) for m in row.matches] == [("cc-by", True, 0), ("x", False, 0), ("y", False, 4), ("cc-by", True, 5), ("x", False, 5)] and row.labels == ["cc-by", "x", "y"]
+    same = licenses.license_scan(df, phrases={"cc by": "cc-by"}).first()
+    assert [(m.label, m.is_base) for m in same.matches] == [("cc-by", True)] * 2
+
+
 def test_records_of_one_id_and_extra_fields(spark):
     records = [
         '{"id": 1, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "source": "web"}',

@@ -1,15 +1,19 @@
-"""SentencePiece encoding and decoding: by merges for a BPE model, by a max-plus scan for a unigram model.
-
-A BPE model joins, again and again, the neighbours whose joint piece has the greatest score, the leftmost of equal ones.
-No merge crosses two characters that stand side by side in no piece, so texts are cut there: the parts of a giant
-document are encoded in any task, and recurring words are solved once.
-
-For a unigram model a text's encoding is the path of greatest score through the lattice of vocabulary pieces. In max-plus algebra a chunk
-of text is a matrix: entry ``[s, e]`` is the best score of entering with the first ``s`` characters already taken by a
-piece of the chunk before, and leaving with a piece that reaches ``e`` characters into the next chunk. Matrices combine
-associatively, so the chunks of a giant document are evaluated in any task; prefix products give the best state at
-each boundary, and every chunk is then traced back on its own. No piece holds a word mark after another character, so
-words within a chunk are independent and recurring words are solved once.
+"""SentencePiece encoding and decoding by a max-plus scan, for unigram and for BPE models.
+
+A text's encoding is the path of greatest score through the lattice of vocabulary pieces. In max-plus algebra a chunk of text
+is a matrix: entry ``[s, e]`` is the best score of entering in state ``s`` and leaving in state ``e``. Matrices combine
+associatively: chunks of a giant document are evaluated in any task, runs of chunks are multiplied in any task, prefix
+products over the runs give the best state at each run's end and then at each chunk's, and every chunk is traced back on its
+own. No piece holds a word mark after another character, so words within a chunk are independent and recurring words are
+solved once.
+
+For a unigram model a state is the number of characters that a piece of the chunk before has taken.
+
+A BPE model joins, again and again, the neighbours whose joint piece has the greatest score, the leftmost of equal ones. Its
+scores can't be added up, but its encoding is the one path on which every piece, and every two neighbours, encode to
+themselves: until a first join crosses a border of that path, the joins inside two neighbours are those of the two alone,
+and their next best join is not across; the other way round, joins that don't cross a piece's ends don't depend on what is
+outside. So pairs of pieces weigh 0 or minus infinity, and a state is the last piece with its place.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from pyspark.sql import types as T
 
 from peaklane.llm.scratch import written
 
-#: Characters of a chunk, texts encoded between two batches, and remembered words.
-CHUNK, TEXTS, WORDS = 1 << 16, 128, 150_000
+#: Characters of a chunk, texts encoded between two batches, remembered words and their greatest length, remembered pairs of
+#: pieces, and chunks of a run.
+CHUNK, TEXTS, WORDS, WORD, PAIRS, RUN = 1 << 16, 128, 150_000, 64, 300_000, 64
 _MARK = "▁"
 _LEAST = -np.inf
 
@@ -46,16 +51,34 @@ class _Solved(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            _, back = self.model.best(word, 0, len(word))
-            ids = array("i", self.model.traced(word, back, 0, len(word))).tobytes()
-        self[word] = ids
+            ids = array("i", self.model.traced(word, self.model.path(word), 0, len(word))).tobytes()
+        if len(word) <= WORD:
+            self[word] = ids
         return ids
 
 
+class _Beside(dict):
+    """Whether a BPE model leaves two pieces side by side as they are (after no piece: whether it makes the second one)."""
+
+    def __init__(self, model: Merges):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        if len(self) > PAIRS:
+            self.clear()
+        left, right = pair
+        found = self[pair] = self.model.merged(left + right) == ([len(left)] if left else []) + [len(left) + len(right)]
+        return found
+
+
 class Model:
     """The pieces of a SentencePiece model file and their scores, read as a unigram lattice; characters without a piece
     are spelled in bytes."""
 
+    #: The type of a transfer matrix's entries.
+    kind = "<f8"
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -103,15 +126,21 @@ class Model:
                 score[a + 1], back[a + 1] = base + self.unknown, a
         return score, back
 
+    def path(self, word: str) -> list[int]:
+        """The place before each place of a word's best path."""
+        return self.best(word, 0, len(word))[1]
+
     def traced(self, text: str, back: list[int], start: int, end: int) -> list[int]:
         out: list[list[int]] = []
         while end > start:
-            piece = text[back[end] : end]
-            own = self.id.get(piece)
-            out.append([own] if own is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")])
+            out.append(self.spelled(text[back[end] : end]))
             end = back[end]
         return [i for ids in reversed(out) for i in ids]
 
+    def spelled(self, piece: str) -> list[int]:
+        own = self.id.get(piece)
+        return [own] if own is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.cut(marked(text))))
 
@@ -120,9 +149,9 @@ class Model:
         begins = [m.start() for m in re.finditer(f"(?<!{_MARK}){_MARK}", chunk) if self.longest - 1 <= m.start() <= n]
         return (begins[0], begins[-1]) if begins else None
 
-    def matrix(self, chunk: str, n: int) -> np.ndarray:
-        """The transfer matrix of ``chunk[:n]``; what follows is the beginning of the next chunk."""
-        size = self.longest
+    def matrix(self, text: str, at: int, n: int) -> np.ndarray:
+        """The transfer matrix of the ``n`` characters from ``at``; around them stand the ends of the chunks next to it."""
+        chunk, size = text[at:], self.longest
         out = np.full((size, size), _LEAST)
         reach = min(len(chunk), n + size - 1)
         if cuts := self._cuts(chunk, n):
@@ -148,8 +177,9 @@ class Model:
             out[end - n] = max(known, default=_LEAST)
         return out
 
-    def trace(self, chunk: str, n: int, enter: int, leave: int) -> bytes:
-        """The ids of the pieces that begin in ``chunk[:n]`` on the best path between two states."""
+    def trace(self, text: str, at: int, n: int, enter: int, leave: int) -> bytes:
+        """The ids of the pieces that begin in the ``n`` characters from ``at`` on the best path between two states."""
+        chunk = text[at:]
         if enter >= n:
             return b""
         cuts = self._cuts(chunk, n)
@@ -174,16 +204,17 @@ class Model:
 
 
 class Merges(Model):
-    """A BPE model: pieces are made by its merges."""
+    """A BPE model, read as a lattice in which pairs of neighbours weigh 0 or minus infinity."""
+
+    kind = "<f2"
 
     def __init__(self, path: str):
         super().__init__(path)
         self.price = {piece: -score for piece, score in self.score.items()}
-        self.pairs = {piece[k : k + 2] for piece in self.id for k in range(len(piece) - 1)}
+        self.beside = _Beside(self)
 
-    def best(self, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
-        """No scores, and for each place where a piece of ``text[start:stop]`` ends the place where it begins."""
-        word = text[start:stop]
+    def merged(self, word: str) -> list[int]:
+        """Where the pieces of a piece or of two end, by the merges themselves."""
         n, price = len(word), self.price
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins here; ends are 0 once it is merged away
         heap = [(c, a, a + 1, a + 2) for a in range(n - 1) if (c := price.get(word[a : a + 2])) is not None]
@@ -199,22 +230,95 @@ class Merges(Model):
                     heapq.heappush(heap, (c, a, e, end[e]))
             if (b := before[a]) >= 0 and (c := price.get(word[b:e])) is not None:
                 heapq.heappush(heap, (c, b, a, e))
+        return [e for e in end if e]
+
+    def best(self, text: str, start: int, stop: int, last: str = "") -> tuple[list[float], list[int]]:
+        """No scores, and for each place that a path from ``start``, after the piece ``last``, reaches, the place before it
+        (else -1). There is one at most, as the text up to there has one encoding."""
         back = [-1] * (len(text) + 1)
-        for a, e in enumerate(end):
-            if e:
-                back[start + e] = start + a
+        root, longest, beside, known = self.root, self.longest, self.beside, self.id
+        for a in range(start, stop):
+            if a > start:
+                if back[a] < 0:
+                    continue
+                last = text[back[a] : a]
+            node, end = root, a
+            for c in text[a : min(a + longest, stop)]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                if "" in node and back[end] < 0 and beside[last, text[a:end]]:
+                    back[end] = a
+            if text[a] not in known and back[a + 1] < 0 and beside[last, text[a]]:
+                back[a + 1] = a
         return [], back
 
-    def chunks(self, text: str, size: int) -> list[str]:
-        """``text`` in parts of ``size`` characters and as many more as it takes to a place that no merge crosses."""
-        out, a = [], 0
-        while a < len(text):
-            b = min(a + size, len(text))
-            while b < len(text) and text[b - 1 : b + 1] in self.pairs:
-                b += 1
-            out.append(text[a:b])
-            a = b
-        return out
+    def path(self, word: str) -> list[int]:
+        """As ``best``, by the longest pieces first and no farther than the path takes."""
+        n, root, longest, beside, known = len(word), self.root, self.longest, self.beside, self.id
+        back, steps, a, last = [-1] * (n + 1), [], 0, ""
+        while a < n:
+            node, end = root, a
+            if word[a] not in known:
+                steps.append((a, a + 1, last))
+            for c in word[a : a + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                if "" in node:
+                    steps.append((a, end, last))
+            while True:
+                a, end, last = steps.pop()
+                if back[end] < 0 and beside[last, word[a:end]]:
+                    break
+            back[end], last, a = a, word[a:end], end
+        return back
+
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """Where the pieces begin and end that a path may hold last when it reaches ``at``; nothing before the text."""
+        if at == 0:
+            return [(0, 0)]
+        ends = range(at, min(at + self.longest, len(text) + 1))
+        return [(a, e) for e in ends for a in range(max(e - self.longest, 0), at) if (e - a == 1 or text[a:e] in self.id) and self.beside["", text[a:e]]]
+
+    def matrix(self, text: str, at: int, n: int) -> np.ndarray:
+        stop = at + n
+        enter, leave = self.states(text, at), self.states(text, stop)
+        if cuts := self._cuts(text[at:], n - 1):
+            first, last = at + cuts[0], at + cuts[1]
+            head = [e == first or self.best(text[:first], e, first, text[a:e])[1][first] >= 0 for a, e in enter]
+            reached = np.logical_and.outer(head, self._left(text, last, "", stop, leave))
+        else:
+            reached = np.array([self._left(text, e, text[a:e], stop, leave) if e < stop else [x == (a, e) for x in leave] for a, e in enter])
+        if stop == len(text):
+            reached = reached.any(1, keepdims=True)
+        return np.where(reached, 0.0, _LEAST)
+
+    def _left(self, text: str, start: int, last: str, stop: int, leave: list[tuple[int, int]]) -> list[bool]:
+        """For each state at ``stop``, whether a path from ``start`` after the piece ``last`` reaches it."""
+        _, back = self.best(text, start, stop, last)
+        return [a == start and self.beside[last, text[a:e]] or a > start and back[a] >= 0 and self.beside[text[back[a] : a], text[a:e]] for a, e in leave]
+
+    def trace(self, text: str, at: int, n: int, enter: int, leave: int) -> bytes:
+        stop = at + n
+        a, start = self.states(text, at)[enter]
+        if start >= stop:
+            return b""
+        last, parts = text[a:start], []
+        if cuts := self._cuts(text[at:], n - 1):
+            first, begin = at + cuts[0], at + cuts[1]
+            _, back = self.best(text[:first], start, first, last)
+            parts = [array("i", self.traced(text, back, start, first)).tobytes(), *map(self.words.__getitem__, self.cut(text[first:begin]))]
+            start, last = begin, ""
+        _, back = self.best(text, start, stop, last)
+        if stop == len(text):
+            ids = self.traced(text, back, start, stop)
+        else:
+            a, e = self.states(text, stop)[leave]
+            ids = self.traced(text, back, start, a) + self.spelled(text[a:e])
+        return b"".join([*parts, array("i", ids).tobytes()])
 
 
 @functools.cache
@@ -226,6 +330,8 @@ def model(path: str) -> Model:
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
     kind, norm = proto.trainer_spec, proto.normalizer_spec
+    if any(_MARK in p.piece.lstrip(_MARK) for p in proto.pieces):
+        raise ValueError(f"{path}: only models without pieces over several words are supported")
     if kind.model_type == told.TrainerSpec.UNIGRAM:
         return Model(path)
     odd = {p.type for p in proto.pieces} & {told.ModelProto.SentencePiece.USER_DEFINED, told.ModelProto.SentencePiece.UNUSED}
@@ -241,8 +347,8 @@ def marked(text: str) -> str:
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product of two transfer matrices (of stacks of them)."""
-    return (a[..., :, :, None] + b[..., None, :, :]).max(-2)
+    """The max-plus product of two transfer matrices (of stacks of them), by one middle state after the other."""
+    return functools.reduce(np.maximum, (a[..., :, m, None] + b[..., None, m, :] for m in range(a.shape[-1])))
 
 
 def prefix_products(matrices: np.ndarray) -> np.ndarray:
@@ -254,67 +360,69 @@ def prefix_products(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> list[int]:
-    """The state on the best path before each chunk and after the last (0); of equal ones the shortest overhang."""
-    before, states = prefix_products(matrices), [0]
+def boundary_states(matrices: np.ndarray, enter: int = 0, leave: int = 0) -> list[int]:
+    """The state on the best path before each chunk and after the last, between two states; of equal ones the first."""
+    before, states = prefix_products(matrices), [leave]
     for k in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmax(before[k - 1][0] + matrices[k][:, states[-1]])))
-    return [0, *states[::-1]]
-
-
-def _merged(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
-    """(_row, k, ids): the ids of each chunk of ``giant(_row, text)`` by merges."""
-
-    def cut(batches):
-        known = model(path)
-        for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = known.chunks(marked(t), chunk)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["_row", "k", "chunk"])
+        states.append(int(np.argmax(before[k - 1][enter] + matrices[k][:, states[-1]])))
+    return [enter, *states[::-1]]
 
-    def merge(batches):
-        known = model(path)
-        for batch in batches:
-            ids = [np.frombuffer(b"".join(map(known.words.__getitem__, known.cut(c))), np.int32) for c in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
 
-    return giant.mapInArrow(cut, "_row long, k int, chunk string").repartition(parts, "_row", "k").mapInArrow(merge, "_row long, k int, ids array<int>")
+def _stacked(table: pa.Table, kind: str) -> np.ndarray:
+    """The matrices of a table's rows, filled up to one square size."""
+    found = [np.frombuffer(m, kind).reshape(rows, -1) for m, rows in zip(table["matrix"].to_pylist(), table["rows"].to_pylist(), strict=True)]
+    out = np.full((len(found), *[max(max(m.shape) for m in found)] * 2), _LEAST, kind)
+    for k, m in enumerate(found):
+        out[k, : m.shape[0], : m.shape[1]] = m
+    return out
 
 
 def _scanned(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
     """(_row, k, ids): the ids of each chunk of ``giant(_row, text)`` by the scan."""
-    look = 64  # characters of the next chunk, more than the longest piece
 
     def pieces_of(batches):
+        look = model(path).longest
         for batch in batches:
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = marked(t)
                 starts = range(0, len(seen), chunk)
-                found = [[row] * len(starts), range(len(starts)), [seen[a : a + chunk + look] for a in starts], [min(chunk, len(seen) - a) for a in starts]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["_row", "k", "chunk", "n"])
+                found = [[row] * len(starts), range(len(starts)), [seen[max(a - look, 0) : a + chunk + look] for a in starts], [min(a, look) for a in starts], [min(chunk, len(seen) - a) for a in starts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["_row", "k", "chunk", "at", "n"])
 
-    cut = giant.mapInArrow(pieces_of, "_row long, k int, chunk string, n int").repartition(parts, "_row", "k")
+    cut = giant.mapInArrow(pieces_of, "_row long, k int, chunk string, at int, n int").repartition(parts, "_row", "k")
 
     def matrices(batches):
         known = model(path)
         for batch in batches:
-            found = [known.matrix(c, n).astype("<f8").tobytes() for c, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["_row", "k", "matrix"])
+            found = [known.matrix(c, at, n).astype(known.kind) for c, at, n in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], names=["_row", "k", "rows", "matrix"])
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        whole = functools.reduce(combined, _stacked(table, model(path).kind))
+        return pa.table({"_row": table["_row"][:1], "run": table["run"][:1], "rows": pa.array([len(whole)], pa.int32()), "matrix": pa.array([whole.tobytes()], pa.binary())})
+
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by("run")
+        found = boundary_states(_stacked(table, model(path).kind))
+        return pa.table({"_row": table["_row"], "run": table["run"], "first": pa.array(found[:-1], pa.int32()), "last": pa.array(found[1:], pa.int32())})
 
     def states(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        size = model(path).longest
-        found = boundary_states(np.frombuffer(b"".join(table["matrix"].to_pylist()), "<f8").reshape(-1, size, size))
+        found = boundary_states(_stacked(table, model(path).kind), table["first"][0].as_py(), table["last"][0].as_py())
         return pa.table({"_row": table["_row"], "k": table["k"], "enter": pa.array(found[:-1], pa.int32()), "leave": pa.array(found[1:], pa.int32())})
 
     def traces(batches):
         known = model(path)
         for batch in batches:
-            ids = [np.frombuffer(known.trace(c, n, a, b), np.int32) for c, n, a, b in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)]
+            ids = [np.frombuffer(known.trace(*x), np.int32) for x in zip(*[batch.column(k).to_pylist() for k in range(2, 7)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
 
-    moved = cut.mapInArrow(matrices, "_row long, k int, matrix binary").groupBy("_row").applyInArrow(states, "_row long, k int, enter int, leave int")
-    return cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
+    each = written(cut.mapInArrow(matrices, "_row long, k int, rows int, matrix binary").withColumn("run", F.expr(f"k div {RUN}")), "matrices")
+    runs = each.groupBy("_row", "run").applyInArrow(product, "_row long, run long, rows int, matrix binary")
+    bounds = runs.groupBy("_row").applyInArrow(ends, "_row long, run long, first int, last int")
+    moved = each.join(bounds, ["_row", "run"]).groupBy("_row", "run").applyInArrow(states, "_row long, k int, enter int, leave int")
+    return cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "at", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
@@ -322,9 +430,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
     spell, made in the same pass. A mark (``▁``) in a text reads back as a blank, as it does in the library.
 
     Null and empty texts have no pieces. Texts of more than ``chunk`` characters are cut and their chunks dealt out;
-    they join their row again by a number that the scan gives it. Under a BPE model a chunk ends where no merge can
-    cross, so a run of characters without such a place stays in one task. Ties, repeated rows and an empty table need no
-    care: rows are encoded one by one. Other columns pass through; one named ``pieces`` (or ``decoded``) is replaced.
+    they join their row again by a number that the scan gives it; a run of one letter is cut as well. Ties, repeated rows and
+    an empty table need no care: rows are encoded one by one. Other columns pass through; one named ``pieces`` (or ``decoded``) is replaced.
     """
     docs = docs.drop("pieces", *["decoded"] * decoded)
     at = docs.columns.index(text)
@@ -343,11 +450,12 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK
 
     size = F.coalesce(F.length(text), F.lit(0))
     short = docs.filter(size <= chunk).mapInArrow(whole, schema)
-    giant = written(docs.filter(size > chunk).withColumn("_giant", F.monotonically_increasing_id()), "giant")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    giant = written(docs.filter(size > chunk).select(row, F.monotonically_increasing_id().alias("_row")), "giant")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    traced = (_merged if isinstance(model(path), Merges) else _scanned)(giant.select(F.col("_giant").alias("_row"), F.col(text).alias("text")), path, chunk, parts)
-    joined = traced.groupBy(F.col("_row").alias("_giant")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
-    whole_giant = giant.join(joined, "_giant").select(*docs.columns, "pieces")
+    traced = _scanned(giant.select("_row", F.col("row").getField(text).alias("text")), path, chunk, parts)
+    joined = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"))
+    whole_giant = giant.join(joined, "_row").select("row.*", "pieces")
     return short.unionByName(decode(whole_giant, path) if decoded else whole_giant)
 
 

@@ -471,23 +471,30 @@ def vocabulary():
 
 
 def test_pieces(spark, docs, empty, rows, vocabulary):
-    model = pieces.model(vocabulary)
-    texts = [*rows, (1000, "x" * 900, None), (1001, "aé中\n" * 200, None), (1002, "  two  blanks \t end ", None)]
-    df = spark.createDataFrame([r for r in texts if len(r[1] or "") < 5000], DOCS)
-    for chunk in (100, pieces.CHUNK):
-        for r in pieces.encode(df, vocabulary, chunk=chunk, decoded=True).collect():
-            seen = pieces.marked(r.text or "")
-            score, back = model.best(seen, 0, len(seen))
-            whole = model.traced(seen, back, 0, len(seen))
-            price = collections.defaultdict(lambda: model.unknown, {v: model.score[k] for k, v in model.id.items()})
-            if chunk == pieces.CHUNK:
-                assert r.pieces == whole
-            elif "中" not in seen:  # the same score; ties may fall otherwise at a chunk's boundary
-                assert sum(price[i] for i in r.pieces if i not in model.byte.values()) == sum(price[i] for i in whole if i not in model.byte.values())
-            assert r.decoded == (r.text or "")
+    """A path of pieces encodes its text just if each piece and each two neighbours encode to themselves."""
+    model, rng = pieces.model(vocabulary), random.Random(8)
+    for t in [r[1] for r in rows if r[1] and len(r[1]) < 5000] + ["".join(rng.choice("ab the.,\n=é語") for _ in range(rng.randrange(1, 60))) for _ in range(200)]:
+        seen = pieces.marked(t)
+        ends = model.merged(seen)
+        cut = [seen[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)]
+        assert all(model.merged(x) == [len(x)] for x in cut)
+        assert all(model.merged(x + y) == [len(x), len(x + y)] for x, y in zip(cut, cut[1:], strict=False))
+        _, back = model.best(seen, 0, len(seen))
+        assert model.traced(seen, back, 0, len(seen)) == [i for x in cut for i in model.spelled(x)] == model.traced(seen, model.path(seen), 0, len(seen))
+        assert all(back[e] >= 0 for e in range(1, len(seen) + 1))  # the text up to any place has an encoding of its own
     assert pieces.encode(empty, vocabulary).count() == 0
 
 
+def test_pieces_of_one_letter(spark, vocabulary):
+    from sentencepiece import SentencePieceProcessor
+
+    text, name = "a" * 1_000_000, {"_row": 1, "k": 2, "_giant": 3}
+    df = spark.createDataFrame([(1, text, *name.values())], "doc_id long, text string, " + ", ".join(f"{n} int" for n in name))
+    [got] = pieces.encode(df, vocabulary, decoded=True).collect()
+    assert got.pieces == SentencePieceProcessor(model_file=vocabulary).encode(text) and got.decoded == text
+    assert {n: got[n] for n in name} == name
+
+
 def _odd_texts(rows):
     rng = random.Random(12)
     odd = ["The internationalization of a name", "x" * 900, "aé中\n" * 200, "  two  blanks \t end ", " " * 70, "▁a ▁▁ b", "don't,stop:now...!?", "\x00\x01 🙂🙂 中国人", "".join(rng.choice("abcdefgh ABC.,\n\té") for _ in range(3000))]

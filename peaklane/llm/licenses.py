@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from peaklane.llm.names import own_names
 from peaklane.llm.words import PLAIN_BLANK, words
 
 #: Phrases and labels that every scan has. Fixed values.
@@ -184,6 +185,7 @@ def _automaton(phrases: tuple[tuple[str, str, bool], ...]):
 _EXPRESSION = re.compile(rb"[ \t:]*([a-z0-9.+\-() \t]*)")
 
 
+@own_names("text")
 def license_scan(docs: DataFrame, *, text: str = "text", base: dict[str, str] = BASE, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """``docs`` with n_words, matches (label, is_base, start and end word), expressions (text, limit), labels and score.
 

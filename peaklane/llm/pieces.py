@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peaklane.llm.names import own_names
 from peaklane.llm.scratch import written
 
 #: Characters of a chunk, texts encoded between two batches, remembered words and their greatest length, remembered pairs of
@@ -425,6 +426,7 @@ def _scanned(giant: DataFrame, path: str, chunk: int, parts: int) -> DataFrame:
     return cut.join(moved, ["_row", "k"]).select("_row", "k", "chunk", "at", "n", "enter", "leave").mapInArrow(traces, "_row long, k int, ids array<int>")
 
 
+@own_names("text")
 def encode(docs: DataFrame, path: str, *, text: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """``docs`` with ``pieces``, the ids of the text under the model file ``path``; with ``decoded`` also the text that they
     spell, made in the same pass. A mark (``▁``) in a text reads back as a blank, as it does in the library.

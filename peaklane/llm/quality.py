@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peaklane.llm.names import own_names
+
 #: Shares of word characters by class: a-z, A-Z, 0-9, beyond ASCII, the rest. Fixed values, measured on rows
 #: of ``labels`` with quality 1.
 CLASSES = {
@@ -94,6 +96,7 @@ def learn_references(docs: DataFrame, lang: str, *, text: str = "text", top: int
     return {"classes": {k: tuple(x / sum(v) for x in v) for k, v in shares.items()}, "common": common}
 
 
+@own_names("text")
 def quality_signals(docs: DataFrame, *, text: str = "text", classes: dict = CLASSES, common: dict = COMMON) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance and word_distance."""
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peaklane.llm.names import own_names
 from peaklane.llm.words import _draw, mixed, words
 
 #: Bytes of text in a batch and bytes of text whose hashes share a bucket: the least and the most. In between both grow with
@@ -186,6 +187,7 @@ def _replies(table: pa.Table, found: np.ndarray, sizes: np.ndarray, kind: int) -
     return _table(rows, _BITS)
 
 
+@own_names("ids", "text")
 def substring_dedup(docs: DataFrame, *, ids: str = "doc_id", text: str = "text", min_words: int = 13, block: int = 7) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed_spans`` (word ranges, end excluded) and ``kept_text``.
 

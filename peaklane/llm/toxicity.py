@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peaklane.llm.scratch import written
+from peaklane.llm.names import own_names
 from peaklane.llm.words import PLAIN_BLANK, words
 
 
@@ -162,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, ids: str = "doc_id", text: str
     return _fit([place[r][place[r] >= 0] for r in rows], y, slots, int(good.sum()), rank, steps, seed)
 
 
+@own_names("text")
 def toxicity(docs: DataFrame, machine: Machine, *, text: str = "text", at_least: float = 0.7) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is ``at_least`` or more, else 0).
 

@@ -495,6 +495,29 @@ def test_pieces_of_one_letter(spark, vocabulary):
     assert {n: got[n] for n in name} == name
 
 
+def test_columns_with_any_name_pass_through(spark, vocabulary):
+    """Columns named like every column that the operators make for themselves, and a map, keep their values."""
+    from pathlib import Path
+
+    made = {m for p in Path(pieces.__file__).parent.glob("*.py") for m in re.findall(r"[\"'.](_[a-z]+\d?)\b", p.read_text())}
+    names = sorted(made | {"s1", "s2", "told", "small", "rep", "code", "word", "words", "item", "n", "p", "id", "batch", "given_0", "a.b"} - {"_"})
+    texts = [prose(random.Random(k), 60) for k in range(3)]
+    rows = [(k, texts[k % 3], "mine", {"k": k}) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mine string, many map<string,int>")
+    df = df.select("doc_id", "text", "many", *[F.concat("mine", F.lit(n)).alias(n) for n in names])
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), steps=2)
+    for operator in (lambda d: toxicity.toxicity(d, machine), sharding.assign_shards, substring_dedup.substring_dedup, quality.quality_rules, licenses.license_scan, lambda d: pieces.encode(d, vocabulary, chunk=100), near_dedup.keep_one, quality.keep_good):
+        got = operator(df)
+        found = got.collect()
+        assert set(df.columns) <= set(got.columns)
+        for r in found:
+            assert r.many == {"k": r.doc_id} and all(r[n] == "mine" + n for n in names)
+        assert len(found) in (3, 6)
+    odd = df.withColumnsRenamed({"doc_id": "_hash", "text": "_text"}) if "_hash" not in names else df.drop("_hash", "_text").withColumnsRenamed({"doc_id": "_hash", "text": "_text"})
+    assert sharding.assign_shards(odd, key="_hash").count() == substring_dedup.substring_dedup(odd, ids="_hash", text="_text").count() == 6
+    assert quality.quality_rules(odd.withColumn("kept", F.lit("old")), text="_text").filter("kept").count() == 6
+
+
 def _odd_texts(rows):
     rng = random.Random(12)
     odd = ["The internationalization of a name", "x" * 900, "aé中\n" * 200, "  two  blanks \t end ", " " * 70, "▁a ▁▁ b", "don't,stop:now...!?", "\x00\x01 🙂🙂 中国人", "".join(rng.choice("abcdefgh ABC.,\n\té") for _ in range(3000))]

@@ -8,8 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from peaklane.llm import licenses, pieces, queries, sharding
+from peaklane.llm import licenses, pieces, queries, sharding, toxicity
 from tests.llm.test_llm import BLANK, LOWER, PLAIN, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,44 @@ def test_op2(spark, folder, rows):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
 
 
+def test_op2_scores_against_sums_over_pairs(spark):
+    """The machine's polynomial by its definition, pair by pair, over the terms of each text alone."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(k, prose(rng, 12, 40) + " alpha" * (k % 2) + " beta" * (k % 3 == 0)) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string").repartition(3)
+    labels = docs.select("doc_id", F.coalesce((F.contains("text", F.lit("alpha")) != F.contains("text", F.lit("beta"))).cast("int"), F.lit(0)).alias("toxic"))
+    machine = toxicity.train(docs, labels, steps=60)
+    got = by_id(toxicity.toxicity(docs, machine))
+    for i, t in [*rows, (300, None), (301, "")]:
+        terms, _ = toxicity._terms(pa.array([t]), len(machine.slots), machine.slots)
+        v = machine.factors[terms]
+        z = machine.bias + sum(machine.linear[k] for k in terms) + sum(float(v[a] @ v[b]) for a in range(len(v)) for b in range(a))
+        assert abs(got[i].score - 1 / (1 + np.exp(-min(40, max(-40, z))))) < 1e-9 and got[i].predicted == int(got[i].score >= 0.7)
+    assert len(set(r.score for r in got.values())) > 5
+
+
+def test_op1_shards_against_a_walk(spark):
+    """Each row's shard: rows in ring order take their home's room or the next owner's that has some, clockwise; rows beyond
+    a full home after all that fit."""
+    df = spark.createDataFrame([(k,) for k in range(3000)], "doc_id long")
+    got = sharding.assign_shards(df, shards=5, nodes=16, ring=256).withColumn("hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit(False))).collect()
+    owners, room, over = sharding.ring_owners(5, 16, 256), [600] * 5, []
+    for r in sorted(got, key=lambda r: ((r.hash % (1 << 64) >> 20) % 256, r.hash)):
+        at = (r.hash % (1 << 64) >> 20) % 256
+        assert r.home_shard == owners[at]
+        if room[owners[at]]:
+            room[owners[at]] -= 1
+            assert r.shard == owners[at]
+        else:
+            over.append((at, r))
+    for at, r in over:
+        at = next(p % 256 for p in range(at + 1, at + 257) if room[owners[p % 256]])
+        room[owners[at]] -= 1
+        assert r.shard == owners[at]
+
+
 def test_op3(spark, folder, rows):
     got, first = by_id(queries.op3_substring_dedup(spark, folder)), {}
     words = {i: BLANK.findall(t or "") for i, t, *_ in rows}

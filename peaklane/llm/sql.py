@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peaklane.llm.quality import CLASSES, COMMON, MAX_WORD
+from peaklane.llm.quality import CLASSES, COMMON, WORD_BASE, WORD_SLOPE
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -75,10 +75,10 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-c AS (SELECT doc_id, length(j) AS chars, length(j) - {_STRIP.format('[a-z]')} AS lo, length(j) - {_STRIP.format('[A-Z]')} AS up, length(j) - {_STRIP.format('[0-9]')} AS di, length(j) - {_STRIP.format(r'[^\x00-\x7F]')} AS ot FROM b),
-s AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS k, unnest([lo, up, di, ot, chars - lo - up - di - ot]) / greatest(chars, 1) AS p FROM c),
+c AS (SELECT doc_id, length(j) AS chars, length(j) - {_STRIP.format('[A-Za-z]')} AS le, length(j) - {_STRIP.format('[0-9]')} AS di, length(j) - {_STRIP.format(r'[^\x00-\x7F]')} AS ot FROM b),
+s AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS k, unnest([le, di, ot, chars - le - di - ot]) / greatest(chars, 1) AS p FROM c),
 cd AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, sqrt(greatest(sum({_PART}) / 2, 0)) AS d FROM s JOIN (VALUES {_CLASS_ROWS}) r(lang, k, q) USING (k) GROUP BY doc_id, lang) GROUP BY doc_id),
-u AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+u AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, lower(unnest(ws)) AS word FROM w) GROUP BY ALL),
 h AS (SELECT b.doc_id, r.lang, coalesce(u.c, 0) / greatest(b.n, 1) AS p, r.q FROM b CROSS JOIN (VALUES {_WORD_ROWS}) r(lang, word, q) LEFT JOIN u ON u.doc_id = b.doc_id AND u.word = r.word),
 f AS (SELECT doc_id, lang, p, q FROM h UNION ALL SELECT doc_id, lang, 1 - sum(p), any_value(x.q) FROM h JOIN (VALUES {_REST_ROWS}) x(l, q) ON x.l = lang GROUP BY doc_id, lang),
 wd AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, sqrt(greatest(sum({_PART}) / 2, 0)) AS d FROM f GROUP BY doc_id, lang) GROUP BY doc_id),
@@ -86,7 +86,7 @@ a AS (SELECT b.doc_id, n, length(j) AS chars, length(t) - length(regexp_replace(
       FROM b LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) JOIN cd USING (doc_id) JOIN wd USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words,
        n < 50 OR 100 * n_rep > 50 * n AS base_failed,
-       NOT (n < 50 OR 100 * n_rep > 50 * n) AND NOT ((chars >= 500 AND cd > 0.25) OR (n >= 100 AND wd > {MAX_WORD})) AS kept
+       NOT (n < 50 OR 100 * n_rep > 50 * n) AND NOT ((chars >= 500 AND cd > 0.25) OR (n >= 100 AND wd > {WORD_BASE} + {WORD_SLOPE} / sqrt(n))) AS kept
 FROM a
 """
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,21 @@ from pyspark.sql.window import Window
 
 from peaklane.llm.components import components
 from peaklane.llm.scratch import written
-from peaklane.llm.words import Words, _draw, mixed, words
+from peaklane.llm.words import Words, _draw, _slices, mixed, words
 
 #: Distinct shingles whose minima are taken at once.
 _CHUNK = 1 << 15
 
 
+def _parts(batches, texts: list[int]):
+    """The rows of ``batches`` in slices whose texts span about 1 MB together, which bounds the arrays made of them (a longer
+    row is a slice of its own)."""
+    for batch in batches:
+        sizes = [pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False) for k in texts]
+        for a, b in _slices(np.concatenate([[0], np.cumsum(sum(sizes), dtype=np.int64)])):
+            yield batch.slice(a, b - a)
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all documents one after the other, and the offsets of each document.
 
@@ -69,7 +79,7 @@ def _sketch(docs: DataFrame, ids: str, text: str, size: int, keys: int, rows: in
     schema = T.StructType([docs.schema[ids], T.StructField("told", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType()))])
 
     def sketch(batches):
-        for batch in batches:
+        for batch in _parts(batches, [2]):
             codes, offsets = shingles(words(batch.column(2), seed=61, lower=True), size)
             n = np.diff(offsets)
             full = n > 0
@@ -87,7 +97,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """The pairs (u, v) whose full sets are similar enough."""
 
     def confirm(batches):
-        for batch in batches:
+        for batch in _parts(batches, [2, 3]):
             (a, x), (b, y) = (shingles(words(batch.column(k), seed=61, lower=True), size) for k in (2, 3))
             keep = []
             for d in range(batch.num_rows):
@@ -108,7 +118,7 @@ def _across(docs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in _parts(batches, [1]):
             codes, offsets = shingles(words(batch.column(1), seed=61, lower=True), size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes.view(np.int64)))], names=["rep", "codes"])
 

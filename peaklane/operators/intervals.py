@@ -74,5 +74,6 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str | Column, lower:
         # an infinite point stands at its end alone
         left = left.filter((F.abs("_value") < float("inf")) | (F.col("_node.k") == _BEYOND))
     right = given.withColumn("_node", F.explode(spans))
-    met = left.join(right, [*by, "_node"]).filter(F.col("_value").between(F.col("_lower"), F.col("_upper")))
+    # both sides hold a row for each bin, many times what their columns' size lets Spark expect, so none is broadcast
+    met = left.hint("merge").join(right, [*by, "_node"]).filter(F.col("_value").between(F.col("_lower"), F.col("_upper")))
     return met.drop("_node", "_value", "_lower", "_upper")

@@ -2,10 +2,13 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
+from peaklane.operators import aggregates as ag
 from peaklane.operators import joins as jn
+from peaklane.operators import pairs
+from peaklane.operators import quantiles as qu
+from peaklane.operators import slices as sl
 
 INF, NAN = float("inf"), float("nan")
 
@@ -44,3 +47,69 @@ def test_band_totals_of_copies(spark):
     got = {r.k: (r.n, r.ids) for r in jn.band_totals(a, b, "t", "p", 30, {"ids": F.col("i")}).collect()}
     pairs = jn.band_join(a, b, "t", "p", 30).groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("ids"))
     assert got == {r.k: (r.n, r.ids) for r in pairs.collect()} and len(got) > 50
+
+
+def measured(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), k, r, rng.choice([0.0, 1.0, 2.5, 2.5, -1.0, None])) for k in range(14) for r in range(4) if rng.random() < 0.6] + [("c", 99, 0, 1.0), (None, 1, 0, 2.0)]
+    values = spark.createDataFrame(rows, "g string, i long, r int, v double").dropDuplicates(["g", "i", "r"])
+    others = spark.createDataFrame([(g, k) for g in "abd" for k in range(10, 20)] + [(None, 3)], "g string, i long")
+    return values, others
+
+
+def test_votes_leave_python_as_lists(spark):
+    values, others = measured(spark, 1)
+    votes = pairs.pair_votes(values, others, "g", "i", "r", "v", tile=3)
+    want = ag.vote(jn.rank_pairs(values, others, "g", "i", "r", "v"), ["g"])
+    assert sorted(map(tuple, votes.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and votes.count() > 50
+    assert "Generate posexplode" in plan(votes)
+
+
+def test_sums_of_pairs(spark):
+    values, others = measured(spark, 2)
+    got = {(r.g, r.a, r.b): (r.n_runs, r.va, r.vb) for r in pairs.pair_sums(values, others, "g", "i", "r", "v", tile=3).collect()}
+    rows = jn.rank_pairs(values, others, "g", "i", "r", "v").groupBy("g", "a", "b").agg(F.count("*").alias("n"), F.sum("va").alias("va"), F.sum("vb").alias("vb"))
+    assert got == {(r.g, r.a, r.b): (r.n, r.va, r.vb) for r in rows.collect()}
+
+
+def test_totals_of_pairs_by_run(spark):
+    values, others = measured(spark, 3)
+    got = sorted(map(tuple, pairs.pair_run_totals(values, others, "g", "i", "r", "v").collect()))
+    rows = jn.rank_pairs(values, others, "g", "i", "r", "v").groupBy("g", "r").agg(F.count("*").alias("n"), F.sum("va").alias("va"), F.sum("vb").alias("vb"))
+    assert got == sorted(map(tuple, rows.collect())) and len(got) == 8
+
+
+def test_totals_of_pairs_of_a_run(spark):
+    values, others = measured(spark, 4)
+    got = sorted(map(tuple, pairs.single_run_totals(values, others, "g", "i", "r", "v").collect()))
+    rows = jn.rank_pairs_single_run(values, others, "g", "i", "r", "v").groupBy("g", "r").agg(F.count("*").alias("n"), F.sum("label").alias("ones"), F.sum(F.col("a") * F.col("label")).alias("keys"))
+    assert got == sorted(map(tuple, rows.collect())) and len(got) >= 6
+
+
+def test_binomial_table(spark):
+    votes = spark.createDataFrame([(p, n) for p in range(9) for n in range(9)], "n_pos long, n_neg long")
+    tabled = ag.consensus(votes, "binomial", 0.2, most=16)
+    assert sorted(map(str, tabled.collect())) == sorted(map(str, ag.consensus(votes, "binomial", 0.2).collect()))
+    assert "aggregate(" not in str(votes._jdf.queryExecution().toString()) and "BroadcastHashJoin" in plan(tabled)
+
+
+def test_grid_search_by_exact_means(spark):
+    rng = random.Random(6)
+    cents = [rng.randrange(10**7) for _ in range(3997)]
+    cents += [-sum(cents) % 4000 + 2000, 4000, 8000]  # the mean ends in half a cent
+    grid = spark.createDataFrame([(1,)], "a int")
+    exact = sum(cents) / 4000
+    assert exact % 1 == 0.5
+    for _ in range(4):
+        rng.shuffle(cents)
+        df = spark.createDataFrame([(1, c / 100) for c in cents], "k int, x double").repartition(7)
+        out = jn.grid_search(df, grid, ["k"], lambda: F.col("x") * F.col("a"), ["a"], digits=8)
+        assert out.first().score == exact / 100
+    odd = spark.createDataFrame([(1, INF), (1, 2.0), (2, 1e30), (3, NAN), (4, None)], "k int, x double")
+    assert {r.k: str(r.score) for r in jn.grid_search(odd, grid, ["k"], lambda: F.col("x") * F.col("a"), ["a"], digits=8).collect()} == {1: "inf", 2: "1e+30", 3: "nan", 4: "None"}
+
+
+def test_few_ranges_for_small_slices(spark):
+    df = spark.range(20_000).withColumn("_key", qu.group_key([]))
+    placed = sl.ranged(df, sl.large_groups(df, 10), ["id"], 10)
+    assert placed.select("_part").distinct().count() <= 260

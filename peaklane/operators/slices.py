@@ -11,6 +11,8 @@ from peaklane.operators.stored import FEW, stored
 
 #: Rows that one task orders at most.
 SLICE = 2_000_000
+#: Ranges into which rows are cut that would fit fewer.
+_RANGES = 256
 
 
 def large_groups(df: DataFrame, most: int) -> DataFrame | None:
@@ -30,7 +32,8 @@ def ranged(df: DataFrame, large: DataFrame, order: list[Column | str], most: int
     """Rows of large groups with ``_part``, a range of (_key, order), and ``_at``, their place in it from 0. Rows of equal order
     are dealt by a hash of their columns, so only rows that are equal throughout stay together."""
     total = large.agg(F.sum("_n").alias("n")).first()["n"]
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    # each range costs the driver a sample of rows and results of tasks, so a small ``most`` gives no more than some _RANGES
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-total // most), _RANGES + -(-total // SLICE)))
     plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     along = ["_key", *order, F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
     at = F.monotonically_increasing_id()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,29 @@ def digest(proteins: DataFrame, key: list[str], sequence: str, enzyme: str | int
     return rows.groupBy(*key, "peptide").agg(F.bool_or("n_term").alias("n_term"))
 
 
+def digest_totals(proteins: DataFrame, key: list[str], sequence: str, enzymes: list[str], min_len: int = 7, max_len: int = 35) -> DataFrame:
+    """(enzyme, key, n, residues): how many distinct peptides ``digest`` gives by each rule without missed cuts, and their
+    residues. Sequences are cleaned once for all rules; keys of one row are counted in it, the peptides of others meet."""
+    cleaned = proteins.select(*key, clean_sequence(F.col(sequence)).alias("_s"))
+
+    def peptides(name: str) -> Column:
+        return F.array_distinct(F.filter(F.split("_s", cut_pattern(name)), lambda p: F.length(p).between(min_len, max_len)))
+
+    def lists(rows: DataFrame) -> DataFrame:
+        every = F.array(*[F.struct(F.lit(e).alias("enzyme"), peptides(e).alias("_p")) for e in enzymes])
+        return rows.select(*key, F.explode_outer(every).alias("_e")).select("_e.enzyme", *key, "_e._p")
+
+    told = [F.size("_p").cast("long").alias("n"), F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + F.length(p)).alias("residues")]
+    again = proteins.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*key)
+    if not again.limit(1).count():
+        return lists(cleaned).select("enzyme", *key, *told).filter("n > 0")
+    same = reduce(lambda a, b: a & b, [cleaned[k].eqNullSafe(again[k]) for k in key])
+    one, many = (cleaned.join(again, same, how) for how in ("left_anti", "left_semi"))
+    met = lists(many).select("enzyme", *key, F.explode("_p").alias("_p")).distinct()
+    met = met.groupBy("enzyme", *key).agg(F.count("*").alias("n"), F.sum(F.length("_p")).alias("residues"))
+    return lists(one).select("enzyme", *key, *told).filter("n > 0").unionByName(met)
+
+
 def expand_charges(df: DataFrame, peptide: str, low: int, high: int) -> DataFrame:
     return df.withColumn("charge", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("form", F.concat_ws("|", peptide, F.col("charge").cast("string")))
 

@@ -182,12 +182,7 @@ def _enzyme_sql(index: int) -> str:
 @query("t02_enzymes", f"WITH s AS ({tb.PROTEINS_SQL}) " + " UNION ALL ".join(_enzyme_sql(k) for k in range(1, len(gen.ENZYMES))))
 def _(spark, t):
     """Every rule but the non-specific one."""
-    found = None
-    for name, *_ in gen.ENZYMES[1:]:
-        cut = gen.digest(tb.proteins(t), ["doc_id"], "seq", name, 0, 7, 12).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("peptide")).alias("residues"))
-        one = cut.select(F.lit(name).alias("enzyme"), "doc_id", "n", "residues")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return gen.digest_totals(tb.proteins(t), ["doc_id"], "seq", [name for name, *_ in gen.ENZYMES[1:]], 7, 12)
 
 
 @query("t02_non_specific", f"WITH s AS (SELECT item_id AS doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark) {_enzyme_sql(0)}")

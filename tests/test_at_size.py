@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from peaklane.functions import scalars as sc
 from peaklane.operators import aggregates as ag
+from peaklane.operators import generate as gen
 from peaklane.operators import joins as jn
 from peaklane.operators import pairs
 from peaklane.operators import quantiles as qu
@@ -113,3 +115,24 @@ def test_few_ranges_for_small_slices(spark):
     df = spark.range(20_000).withColumn("_key", qu.group_key([]))
     placed = sl.ranged(df, sl.large_groups(df, 10), ["id"], 10)
     assert placed.select("_part").distinct().count() <= 260
+
+
+def test_digest_totals(spark):
+    rows = [(1, "MKAAAAAAARPDDDDDDDKAAAAAAAR"), (1, "MKAAAAAAARCCCCCCCK"), (2, "*KRAAAAAAAK*"), (3, None), (None, "AAAAAAAKCCCCCCCR"), (None, "AAAAAAAK"), (4, "")]
+    names = [e[0] for e in gen.ENZYMES[1:]]
+    for some in (rows, [r for k, r in enumerate(rows) if k not in (0, 4)]):
+        df = spark.createDataFrame(some, "k int, s string")
+        got = sorted(map(str, gen.digest_totals(df, ["k"], "s", names, 7, 12).collect()))
+        want = []
+        for name in names:
+            cut = gen.digest(df, ["k"], "s", name, 0, 7, 12).groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("peptide")).alias("residues"))
+            want += cut.select(F.lit(name).alias("enzyme"), "k", "n", "residues").collect()
+        assert got == sorted(map(str, want)) and len(got) > 10
+
+
+def test_codes_make_the_modifications_once(spark):
+    mods = F.transform(F.col("m"), lambda x: F.struct(F.when(x > 5, "b").otherwise("a").alias("name"), x.alias("site")))
+    df = spark.createDataFrame([("PEPTIDE", [2, 7]), ("PEPTIDE", [0]), ("PEPTIDE", []), ("PEP", [0, 3])], "s string, m array<int>")
+    code = sc.encode_modified("s", mods, {"a": "1"})
+    assert [r.c for r in df.select(code.alias("c")).collect()] == ["-P1PTIDE-", "1PEPTIDE-", "-PEPTIDE-", "1PE1-"]
+    assert str(df.select(code.alias("c"))._jdf.queryExecution().optimizedPlan().toString()).count("CASE WHEN (lambdavariable") + str(df.select(code.alias("c"))._jdf.queryExecution().optimizedPlan().toString()).count("map(keys: [a]") <= 2

@@ -161,9 +161,16 @@ def encode_modified(sequence, mods, codes: dict[str, str]) -> Column:
     """A code before the sequence (``-`` for none), codes in place of modified residues, ``-`` at the end. A name
     without a code leaves the residue as it is."""
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    at = lambda i: F.get(F.filter(F.transform(F.filter(_c(mods), lambda m: m["site"] == i), lambda m: table[m["name"]]), lambda c: c.isNotNull()), F.lit(0))
-    body = F.transform(residues(sequence), lambda r, i: F.coalesce(at(i + 1), r))
-    return F.concat(F.coalesce(at(F.lit(0)), F.lit("-")), F.array_join(body, ""), F.lit("-"))
+    coded = F.filter(F.transform(_c(mods), lambda m: F.struct(m["site"].alias("site"), table[m["name"]].alias("code"))), lambda m: m["code"].isNotNull())
+
+    def shown(found: Column) -> Column:
+        at = lambda i: F.get(F.filter(found, lambda m: m["site"] == i), F.lit(0))["code"]
+        body = F.array_join(F.transform(residues(sequence), lambda r, i: F.coalesce(at(i + 1), r)), "")
+        some = F.exists(found, lambda m: m["site"] > 0)
+        return F.concat(F.coalesce(at(F.lit(0)), F.lit("-")), F.when(some, body).otherwise(_c(sequence)), F.lit("-"))
+
+    # bound once: the list of modifications must not be made again for each residue
+    return F.element_at(F.transform(F.array(coded), shown), 1)
 
 
 def residue_codes(sequence) -> Column:

@@ -136,3 +136,18 @@ def test_codes_make_the_modifications_once(spark):
     code = sc.encode_modified("s", mods, {"a": "1"})
     assert [r.c for r in df.select(code.alias("c")).collect()] == ["-P1PTIDE-", "1PEPTIDE-", "-PEPTIDE-", "1PE1-"]
     assert str(df.select(code.alias("c"))._jdf.queryExecution().optimizedPlan().toString()).count("CASE WHEN (lambdavariable") + str(df.select(code.alias("c"))._jdf.queryExecution().optimizedPlan().toString()).count("map(keys: [a]") <= 2
+
+
+def test_pairs_of_one_group_are_spread(spark):
+    rows = [("g", k % 150) for k in range(400)] + [("h", 7), ("h", 7), ("h", None), ("i", 1), ("i", 2), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, i long")
+    want = sorted([("g", a, b) for b in range(150) for a in range(b)] + [("i", 1, 2)])
+    for how in ({}, {"tile": 1}, {"tile": 7}, {"tile": 40}):
+        assert sorted(map(tuple, jn.group_pairs(df, ["g"], "i", **how).collect())) == want
+    out = jn.group_pairs(df, ["g"], "i", tile=7)
+    by_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) == 4 and max(by_task) < 0.6 * len(want) and "SortMergeJoin [g" in plan(out)
+    odd = spark.createDataFrame([(NAN, "b"), (NAN, "a"), (1.0, "")], "k double, i string")
+    assert [str(tuple(r)) for r in jn.group_pairs(odd, ["k"], "i").collect()] == ["(nan, 'a', 'b')"]
+    floats = spark.createDataFrame([(1, NAN), (1, 2.0), (1, INF)], "k int, v double")
+    assert sorted(str(tuple(r)[1:]) for r in jn.group_pairs(floats, ["k"], "v").collect()) == ["(2.0, inf)", "(2.0, nan)", "(inf, nan)"]

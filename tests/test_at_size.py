@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from peaklane.functions import scalars as sc
 from peaklane.operators import aggregates as ag
+from peaklane.operators import filters as fl
 from peaklane.operators import generate as gen
 from peaklane.operators import joins as jn
 from peaklane.operators import pairs
 from peaklane.operators import quantiles as qu
+from peaklane.operators import signal as sg
 from peaklane.operators import slices as sl
+from peaklane.plans import jobs
 
 INF, NAN = float("inf"), float("nan")
 
@@ -151,3 +154,34 @@ def test_pairs_of_one_group_are_spread(spark):
     assert [str(tuple(r)) for r in jn.group_pairs(odd, ["k"], "i").collect()] == ["(nan, 'a', 'b')"]
     floats = spark.createDataFrame([(1, NAN), (1, 2.0), (1, INF)], "k int, v double")
     assert sorted(str(tuple(r)[1:]) for r in jn.group_pairs(floats, ["k"], "v").collect()) == ["(2.0, inf)", "(2.0, nan)", "(inf, nan)"]
+
+
+def test_threshold_looks_for_the_maximum_once(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [10.0, 1.0, 0.9]), (2, [1.0, 2.0], [5.0, None]), (3, [], []), (4, None, None)], "k int, m array<double>, i array<double>")
+    cut = fl.relative_threshold(df, "m", "i", 0.1)
+    assert [tuple(r) for r in cut.orderBy("k").collect()] == [(1, [1.0, 2.0], [10.0, 1.0]), (2, [1.0], [5.0])]
+    assert ">= (array_max" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_middle_of_series_is_the_median(spark):
+    rng = random.Random(8)
+    rows = [(k, [[rng.choice([0.0, 1.5, -2.0, 3e5, 0.1, INF, NAN]) for _ in range(5)] for _ in range(k % 5 + 1)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, s array<array<double>>")
+    got = {r.k: str(r.m) for r in df.select("k", sg.middle_series(F.col("s")).alias("m")).collect()}
+    cells = df.select("k", F.explode("s").alias("s")).select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.median("v").alias("m"))
+    assert got == {r.k: str([x.m for x in sorted(r.l)]) for r in cells.groupBy("k").agg(F.collect_list(F.struct("i", "m")).alias("l")).collect()}
+
+
+def test_chromatograms_are_made_once(spark):
+    shape = [max(0.0, 8.0 - 2.0 * abs(k - 10)) for k in range(60)]
+    rows = [("w", k, k * 0.1, [100.0 + j for j in range(4)], [float(v * (j + 1)) + 0.5 for j in range(4)]) for k, v in enumerate(shape)]
+    scans = spark.createDataFrame(rows, "window string, scan int, rt double, mz_values array<double>, intensities array<double>")
+    targets = spark.createDataFrame([("w", 1, j, 100.0 + j, t) for j in range(4) for t in (0.5, 1.0 + j % 2)], "window string, match int, ion int, target_mz double, target_rt double")
+    how = {"window": ["window"], "scan": "scan", "time": "rt", "fraction": 0.0, "tolerance": 10}
+    out = jobs.chromatogram_job(scans, targets, rt_window=1.0, **how)
+    assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out)
+    got = sorted(map(tuple, out.drop("left", "right").collect()))
+    assert [r[:2] for r in got] == [("w", 1)] * 4 and {r[-3] for r in got} == {10}
+    every = jobs.chromatogram_job(scans, targets, rt_window=INF, **how)  # the same peak, whole axis
+    assert sorted(map(tuple, every.drop("left", "right").collect())) == got
+    assert jobs.chromatogram_job(scans, targets, rt_window=-1.0, **how).count() == 0

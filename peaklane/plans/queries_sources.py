@@ -13,7 +13,8 @@ from peaklane.sources import io
 
 def _library(t) -> DataFrame:
     """Lines as library rows: orders are precursors, lines fragments."""
-    rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("mz"), F.max("l_quantity").alias("i"), F.min("l_returnflag").alias("f"))
+    lines = t("lineitem").repartition("l_orderkey")  # one shuffle for the groups and for the join
+    rows = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("mz"), F.max("l_quantity").alias("i"), F.min("l_returnflag").alias("f"))
     rows = rows.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderstatus"), "l_orderkey")
     pep = F.concat(F.lit("PEP"), F.translate(F.col("l_orderkey").cast("string"), "0123456789", "ACDEFGHIKL"))
     return rows.select(

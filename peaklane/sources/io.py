@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peaklane.operators.stored import stored
+
 #: Column names of two report dialects, as canonical name by theirs. Fixed values.
 PROFILES = {
     "diann": {
@@ -117,24 +119,42 @@ def dense_ids(df: DataFrame, key: list[str], out: str = "id", slot_rows: int = 1
     return keys.withColumn("_i", number).join(F.broadcast(offsets.select("_slot", "_b")), "_slot").select(*key, (F.col("_b") + F.col("_i")).alias(out))
 
 
-def keyed_library(lib: DataFrame) -> DataFrame:
-    """The flat library with a surrogate spectrum id."""
-    key = ["ModifiedPeptide", "PrecursorCharge"]
-    return lib.join(dense_ids(lib, key, "RefSpectraID"), key)
+#: Columns of the flat library that name a spectrum, and those of a fragment in the related tables.
+_SPECTRUM, _FRAGMENT = ["ModifiedPeptide", "PrecursorCharge"], ["FragmentMz", "RelativeIntensity", "FragmentType", "FragmentNumber", "FragmentCharge"]
+_SLOTS = 1024
+
+
+def library_spectra(lib: DataFrame) -> DataFrame:
+    """The flat library with one row a spectrum: its fragments in the order of their m/z and intensity, and its number in its
+    slot, from 1. The library is read and shuffled once. Rows without a sequence or charge belong to no spectrum."""
+    rows = lib.filter(F.col(_SPECTRUM[0]).isNotNull() & F.col(_SPECTRUM[1]).isNotNull()).withColumn("_slot", F.pmod(F.xxhash64(*_SPECTRUM), F.lit(_SLOTS)))
+    once = [F.first(c).alias(c) for c in ("StrippedPeptide", "PrecursorMz", "IonMobility", "Tr_recalibrated", "ProteinID")]
+    spectra = rows.repartition("_slot").groupBy("_slot", *_SPECTRUM).agg(*once, F.sort_array(F.collect_list(F.struct(*_FRAGMENT))).alias("_fragments"))
+    return spectra.withColumn("_i", F.row_number().over(Window.partitionBy("_slot").orderBy(*_SPECTRUM)))
+
+
+def _numbered(spectra: DataFrame, slot_rows: int = 1_000_000) -> DataFrame:
+    """Stored spectra with the ``RefSpectraID`` that ``dense_ids`` gives: the counts of the slots before are added, or, where slots
+    hold more than ``slot_rows`` on average, it is made in more of them."""
+    if spectra.count() > _SLOTS * slot_rows:
+        return spectra.join(dense_ids(spectra, _SPECTRUM, "RefSpectraID", slot_rows), _SPECTRUM)
+    before = F.sum("_c").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))  # a row a slot
+    offsets = stored(spectra.groupBy("_slot").agg(F.count("*").alias("_c")).select("_slot", F.coalesce(before, F.lit(0)).alias("_b")))
+    return spectra.join(F.broadcast(offsets), "_slot").withColumn("RefSpectraID", F.col("_b") + F.col("_i"))
 
 
 def to_library_tables(lib: DataFrame, source: str = "library") -> dict[str, DataFrame]:
     """The flat library as related tables."""
-    return _tables(keyed_library(lib), source)
+    return _tables(_numbered(stored(library_spectra(lib))), source)
 
 
 def _tables(rows: DataFrame, source: str) -> dict[str, DataFrame]:
     spark = rows.sparkSession
-    spectra = rows.groupBy("RefSpectraID").agg(F.first("StrippedPeptide").alias("peptideSeq"), F.first("ModifiedPeptide").alias("peptideModSeq"), F.first("PrecursorMz").alias("precursorMZ"), F.first("PrecursorCharge").alias("precursorCharge"), F.count("*").alias("numPeaks"), F.first("IonMobility").alias("ionMobility"), F.first("Tr_recalibrated").alias("retentionTime"), F.first("ProteinID").alias("protein"))
+    named = {"peptideSeq": "StrippedPeptide", "peptideModSeq": "ModifiedPeptide", "precursorMZ": "PrecursorMz", "precursorCharge": "PrecursorCharge", "numPeaks": F.size("_fragments").cast("long"), "ionMobility": "IonMobility", "retentionTime": "Tr_recalibrated", "protein": "ProteinID"}
+    spectra = rows.select("RefSpectraID", *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in named.items()])
     spectra = spectra.withColumn("ionMobilityType", F.when(F.col("ionMobility").isNull(), 0).otherwise(2)).withColumn("collisionalCrossSectionSqA", F.lit(None).cast("double")).withColumn("fileID", F.lit(1))
-    peaks = rows.groupBy("RefSpectraID").agg(F.array_sort(F.collect_list(F.struct(F.col("FragmentMz").alias("mz"), F.col("RelativeIntensity").alias("intensity")))).alias("_p")).select("RefSpectraID", F.col("_p.mz").alias("peakMZ"), F.col("_p.intensity").alias("peakIntensity"))
-    place = F.row_number().over(Window.partitionBy("RefSpectraID").orderBy("FragmentMz", "RelativeIntensity")) - 1
-    annotations = rows.withColumn("peakIndex", place).select("RefSpectraID", "peakIndex", F.concat("FragmentType", F.col("FragmentNumber").cast("string")).alias("name"), F.col("FragmentCharge").alias("charge"), F.col("FragmentMz").alias("mzTheoretical"))
+    peaks = rows.select("RefSpectraID", F.col("_fragments.FragmentMz").alias("peakMZ"), F.col("_fragments.RelativeIntensity").alias("peakIntensity"))
+    annotations = rows.select("RefSpectraID", F.posexplode("_fragments").alias("peakIndex", "_f")).select("RefSpectraID", "peakIndex", F.concat("_f.FragmentType", F.col("_f.FragmentNumber").cast("string")).alias("name"), F.col("_f.FragmentCharge").alias("charge"), F.col("_f.FragmentMz").alias("mzTheoretical"))
     found = F.regexp_extract_all("peptideModSeq", F.lit(r"[A-Z]|\[[^\]]*\]"), F.lit(0))
     step = lambda a, x: F.struct(F.when(x.startswith("["), a.n).otherwise(a.n + 1).alias("n"), F.when(x.startswith("["), F.concat(a.out, F.array(F.struct(a.n.alias("position"), F.regexp_replace(x, r"[\[\]]", "").alias("mass"))))).otherwise(a.out).alias("out"))
     mods = F.aggregate(found, F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<position:int,mass:string>>").alias("out")), step, lambda a: a.out)
@@ -153,9 +173,9 @@ def _tables(rows: DataFrame, source: str) -> dict[str, DataFrame]:
 
 
 def write_library_tables(lib: DataFrame, path: str, source: str = "library") -> None:
-    """All tables of the library; its keyed rows are written once, beside them, and every table is made from that."""
-    keyed_library(lib).write.mode("overwrite").parquet(f"{path}/_keyed")
-    for name, df in _tables(lib.sparkSession.read.parquet(f"{path}/_keyed"), source).items():
+    """All tables of the library; its spectra are written once, beside them, and every table is made from their rows."""
+    library_spectra(lib).write.mode("overwrite").parquet(f"{path}/_keyed")
+    for name, df in _tables(_numbered(lib.sparkSession.read.parquet(f"{path}/_keyed")), source).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 

@@ -14,6 +14,7 @@ from peaklane.operators import quantiles as qu
 from peaklane.operators import signal as sg
 from peaklane.operators import slices as sl
 from peaklane.plans import jobs
+from peaklane.sources import io
 
 INF, NAN = float("inf"), float("nan")
 
@@ -185,3 +186,37 @@ def test_chromatograms_are_made_once(spark):
     every = jobs.chromatogram_job(scans, targets, rt_window=INF, **how)  # the same peak, whole axis
     assert sorted(map(tuple, every.drop("left", "right").collect())) == got
     assert jobs.chromatogram_job(scans, targets, rt_window=-1.0, **how).count() == 0
+
+
+def test_library_tables_are_made_from_rows_of_spectra(spark):
+    rng = random.Random(9)
+    rows = [(f"P[Oxidation]{'ACDE'[k % 4] * (k % 9 + 1)}", "P", 500.0, k % 3 + 1, 1.0, None, "x", 0, rng.choice([100.0, 200.5, 300.0]), rng.choice([0.5, 0.25, None]), "by"[k % 2], k, 1, "") for k in range(300)]
+    rows += [(None, *rows[0][1:]), (*rows[0][:3], None, *rows[0][4:])]
+    types = "string string double int double double string int double double string int int string".split()
+    lib = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(io.LIBRARY, types, strict=True)))
+    key = ["ModifiedPeptide", "PrecursorCharge"]
+    ids = {(r[0], r[1]): r[2] for r in io.dense_ids(lib.na.drop(subset=key), key, "n").collect()}
+    tables = io.to_library_tables(lib)
+    spectra = {(r.peptideModSeq, r.precursorCharge): r for r in tables["RefSpectra"].collect()}
+    assert {k: r.RefSpectraID for k, r in spectra.items()} == ids and sorted(ids.values()) == list(range(1, len(ids) + 1))
+    assert sum(r.numPeaks for r in spectra.values()) == 300 and tables["LibInfo"].first().numSpecs == len(ids)
+    peaks = {r.RefSpectraID: r for r in tables["RefSpectraPeaks"].collect()}
+    notes = tables["RefSpectraPeakAnnotations"].collect()
+    seen = {}
+    for r in rows[:300]:
+        seen.setdefault(ids[r[0], r[3]], []).append((r[8], r[9], f"{r[10]}{r[11]}"))
+    for n, found in seen.items():
+        found.sort(key=lambda f: (f[0], f[1] is not None, f[1] or 0.0))
+        assert list(zip(peaks[n].peakMZ, peaks[n].peakIntensity, strict=True)) == [f[:2] for f in found]
+        own = sorted((a for a in notes if a.RefSpectraID == n), key=lambda a: a.peakIndex)
+        assert [a.peakIndex for a in own] == list(range(len(found))) and [a.mzTheoretical for a in own] == [f[0] for f in found]
+        assert {a.name for a in own} == {f[2] for f in found}
+    assert tables["Modifications"].count() == tables["RetentionTimes"].count() == len(ids)
+    for name in ("RefSpectra", "RefSpectraPeaks", "RefSpectraPeakAnnotations", "Modifications", "RetentionTimes"):
+        assert "hashpartitioning" not in plan(tables[name]) and "Sort" not in plan(tables[name])
+
+
+def test_full_slots_give_dense_ids_too(spark):
+    lib = spark.range(500).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("ModifiedPeptide"), F.lit(2).alias("PrecursorCharge"), *[F.lit(1.0).alias(c) for c in io.LIBRARY if c not in ("ModifiedPeptide", "PrecursorCharge")])
+    many = io._numbered(io.stored(io.library_spectra(lib)), 0.1)
+    assert sorted(r.RefSpectraID for r in many.collect()) == list(range(1, 501))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from peaklane.functions import scalars as sc
@@ -71,6 +72,40 @@ def test_votes_leave_python_as_lists(spark):
     assert "Generate posexplode" in plan(votes)
 
 
+def test_an_item_travels_as_often_in_a_larger_group(spark):
+    for n in (3000, 6000):
+        values = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("i"), F.lit(1).alias("r"), F.col("id").cast("double").alias("v"))
+        met = pairs._tile_pairs(values, values, "g", "i", "r", "v", None).select(F.size("_x").alias("x"), F.coalesce(F.size("_y"), F.lit(0)).alias("y"))
+        sizes = [(r.x, max(r.y, 0)) for r in met.collect()]
+        assert sum(x + y for x, y in sizes) <= 13 * n and len(sizes) >= 20
+        assert sum(x * y if y else x * (x - 1) // 2 for x, y in sizes) == n * (n - 1) // 2
+
+
+def test_items_without_a_name_have_no_pairs(spark):
+    v = spark.createDataFrame([("g", 1, 0, 1.0), ("g", 2, 0, 2.0), ("g", None, 0, 3.0)], "g string, i int, r int, v double")
+    assert sorted((r.a, r.b) for r in pairs.pair_votes(v, v, "g", "i", "r", "v").collect()) == [(1, 2), (2, 1)]
+    assert sorted((r.a, r.b) for r in pairs.pair_sums(v, v.limit(0), "g", "i", "r", "v").collect()) == [(1, 2), (2, 1)]
+
+
+def test_blocks_of_many_runs_are_halved(monkeypatch):
+    rng = random.Random(5)
+    kind = pa.struct([("item", pa.int64()), ("measured", pa.bool_()), ("seen", pa.list_(pa.struct([("run", pa.int32()), ("_v", pa.float64())])))])
+    items = [{"item": k, "measured": k % 4 > 0, "seen": [{"run": r, "_v": float(rng.randrange(3))} for r in range(9) if k % 4 and rng.random() < 0.5]} for k in range(11)]
+    x, y = pa.array(items[:6], kind), pa.array(items[6:], kind)
+
+    def told():
+        out = {}
+        for tile in [t for sides in ((x, None), (y, None), (x, y)) for t in pairs._met(*sides)]:
+            codes = tile.votes()
+            for a, b in zip(*tile.pairs(), strict=True):
+                assert out.setdefault((tile.names[0][a].as_py(), tile.names[1][b].as_py()), int(codes[a, b])) == codes[a, b]
+        return out
+
+    whole = told()
+    monkeypatch.setattr(pairs, "DENSE", 20)
+    assert told() == whole and set(whole) == {(a, b) for a in range(11) for b in range(11) if a != b and a % 4}
+
+
 def test_sums_of_pairs(spark):
     values, others = measured(spark, 2)
     got = {(r.g, r.a, r.b): (r.n_runs, r.va, r.vb) for r in pairs.pair_sums(values, others, "g", "i", "r", "v", tile=3).collect()}

@@ -192,6 +192,13 @@ def test_pairs_of_one_group_are_spread(spark):
     assert sorted(str(tuple(r)[1:]) for r in jn.group_pairs(floats, ["k"], "v").collect()) == ["(2.0, inf)", "(2.0, nan)", "(inf, nan)"]
 
 
+def test_pairs_take_little_where_they_are_written(spark, tmp_path):
+    df = spark.range(2500).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 100_003).alias("i"))
+    jn.group_pairs(df, ["g"], "i").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).filter("a < b").distinct().count() == 2500 * 2499 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * 2500 * 2499 // 2
+
+
 def test_threshold_looks_for_the_maximum_once(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [10.0, 1.0, 0.9]), (2, [1.0, 2.0], [5.0, None]), (3, [], []), (4, None, None)], "k int, m array<double>, i array<double>")
     cut = fl.relative_threshold(df, "m", "i", 0.1)

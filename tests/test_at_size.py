@@ -134,6 +134,13 @@ def test_binomial_table(spark):
     assert "aggregate(" not in str(votes._jdf.queryExecution().toString()) and "BroadcastHashJoin" in plan(tabled)
 
 
+def test_binomial_table_is_looked_up_by_one_number(spark):
+    votes = spark.createDataFrame([(7, 0, 3), (0, 7, 4), (None, 1, 5)], "n_pos long, n_neg int, k int")
+    tabled = ag.consensus(votes, "binomial", 0.2, most=7)
+    assert "BroadcastHashJoin [_pair" in plan(tabled) and tabled.columns == ["n_pos", "n_neg", "k", "cdf", "label"]
+    assert sorted((r.k, r.label) for r in tabled.collect()) == [(3, 1), (4, 0)]
+
+
 def test_grid_search_by_exact_means(spark):
     rng = random.Random(6)
     cents = [rng.randrange(10**7) for _ in range(3997)]
